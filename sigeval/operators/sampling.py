@@ -39,8 +39,11 @@ def sample_balanced(df: DataFrame, n_per_class: int, seed: int | str = 42,
         raise ValueError("n_per_class must be a non-negative integer")
     keyed = with_shuffle_key(known_classes(df, label_col, classes), seed, id_col)
     w = Window.partitionBy(label_col).orderBy(SHUFFLE_KEY, id_col)
-    return (keyed.withColumn(rank_col, (F.row_number().over(w) - 1).cast("bigint"))
-                 .where(F.col(rank_col) < n_per_class))
+    # filter on the bare row_number so Spark plans a partial WindowGroupLimit
+    # (top-n per class per map task) before the shuffle
+    return (keyed.withColumn("_rn", F.row_number().over(w))
+                 .where(F.col("_rn") <= n_per_class)
+                 .withColumn(rank_col, (F.col("_rn") - 1).cast("bigint")).drop("_rn"))
 
 
 def load_examples(df: DataFrame, n_shots: int | None, seed: int | str = 42,
