@@ -77,67 +77,81 @@ def next_class(label) -> Column:
 
 
 # ---------------------------------------------------------------- C10 peaks
+def peak_index(seq) -> Column:
+    """ARRAY<INT> of 0-based positions of ``|`` and ``:`` (empty for '')."""
+    s = as_col(seq)
+    idx = F.filter(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))),
+                   lambda i: F.substring(s, i + 1, 1).isin(K.NARROW, K.WIDE))
+    # sequence(0, -1) is [0, -1], so the empty string is guarded
+    return F.when(F.length(s) > 0, idx).otherwise(F.array().cast("array<int>"))
+
+
 def peak_positions(seq) -> Column:
     """ARRAY<STRUCT<pos BIGINT, kind STRING>> of 0-based peak positions."""
     s = as_col(seq)
-    idx = F.sequence(F.lit(0), F.length(s) - 1)
-    marks = F.transform(
-        idx,
-        lambda i: F.struct(
-            i.cast("bigint").alias("pos"),
-            F.substring(s, i + 1, 1).alias("kind"),
-        ),
-    )
-    peaks = F.filter(marks, lambda m: m["kind"].isin(K.NARROW, K.WIDE))
-    # sequence(0, -1) is [0, -1], so guard the empty string
-    return F.when(F.length(s) > 0, peaks).otherwise(
-        F.array().cast("array<struct<pos:bigint,kind:string>>"))
+    return F.transform(peak_index(s), lambda i: F.struct(
+        i.cast("bigint").alias("pos"), F.substring(s, i + 1, 1).alias("kind")))
 
 
-def _positions(seq) -> Column:
-    return F.transform(peak_positions(seq), lambda m: m["pos"])
+# ---------------------------------------------------------------- C11 intervals
+def intervals_from_index(pos) -> Column:
+    """Distances between consecutive positions, ARRAY<BIGINT> (unclamped)."""
+    p = as_col(pos)
+    k = F.greatest(F.size(p) - 1, F.lit(0))
+    iv = F.zip_with(F.slice(p, 2, k), F.slice(p, 1, k), lambda b, a: (b - a).cast("bigint"))
+    return F.when(F.size(p) >= 2, iv).otherwise(F.array().cast("array<bigint>"))
 
 
-# ---------------------------------------------------------------- C11 intervals
 def peak_intervals(seq) -> Column:
-    """Distances between consecutive peaks, ARRAY<BIGINT> (unclamped)."""
-    pos = _positions(seq)
-    n = F.size(pos)
-    return F.when(
-        n >= 2,
-        F.zip_with(F.slice(pos, 2, F.greatest(n - 1, F.lit(1))),
-                   F.slice(pos, 1, F.greatest(n - 1, F.lit(1))),
-                   lambda b, a: b - a),
-    ).otherwise(F.array().cast("array<bigint>"))
+    return intervals_from_index(peak_index(seq))
 
 
-def rr_intervals(seq, clamp: bool = True) -> Column:
-    """ARRAY<DOUBLE> of intervals, clamped to [5, 50]; [1.0] for < 2 peaks."""
-    iv = peak_intervals(seq)
+def rr_from_intervals(iv, clamp: bool = True) -> Column:
     lo, hi = K.RR_CLAMP
-    d = F.transform(iv, lambda x: x.cast("double"))
+    d = F.transform(as_col(iv), lambda x: x.cast("double"))
     if clamp:
         d = F.transform(d, lambda x: F.greatest(F.lit(float(lo)), F.least(x, F.lit(float(hi)))))
-    return F.when(F.size(iv) >= 1, d).otherwise(F.array(F.lit(K.RR_SINGLE)))
+    return F.when(F.size(as_col(iv)) >= 1, d).otherwise(F.array(F.lit(K.RR_SINGLE)))
+
+
+def rr_intervals(seq, clamp: bool = True) -> Column:
+    """ARRAY<DOUBLE> of intervals, clamped to [5, 50]; [1.0] for < 2 peaks."""
+    return rr_from_intervals(peak_intervals(seq), clamp)
 
 
 # ---------------------------------------------------------------- C3 irregularity
-def rr_irregularity(seq) -> Column:
-    """Population std / mean of the measured intervals, 3 decimals; 0 when
-    fewer than 2 intervals. Computed from integer sums so every engine gets
+def irregularity_from_index(pos) -> Column:
+    """Population std / mean of the intervals between positions, 3 decimals;
+    0 when fewer than 2 intervals. One pass over the positions accumulates
+    n, sum and sum of squares of the gaps in integers, so every engine gets
     the same double: sqrt(n*sum(x^2) - sum(x)^2) / sum(x)."""
-    iv = peak_intervals(seq)
-    n = F.size(iv).cast("bigint")
-    s1 = F.aggregate(iv, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    s2 = F.aggregate(iv, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
-    val = F.sqrt((n * s2 - s1 * s1).cast("double")) / s1.cast("double")
-    return F.when((n >= 2) & (s1 > 0), F.round(val, 3)).otherwise(F.lit(0.0))
+    big = lambda v: F.lit(v).cast("bigint")
+    zero = F.struct(big(-1).alias("prev"), big(0).alias("n"), big(0).alias("s1"), big(0).alias("s2"))
+
+    def step(a, x):
+        gap = x.cast("bigint") - a["prev"]
+        first = F.struct(x.cast("bigint").alias("prev"), big(0).alias("n"), big(0).alias("s1"),
+                         big(0).alias("s2"))
+        more = F.struct(x.cast("bigint").alias("prev"), (a["n"] + 1).alias("n"),
+                        (a["s1"] + gap).alias("s1"), (a["s2"] + gap * gap).alias("s2"))
+        return F.when(a["prev"] < 0, first).otherwise(more)
+
+    def finish(a):
+        val = F.sqrt((a["n"] * a["s2"] - a["s1"] * a["s1"]).cast("double")) / a["s1"].cast("double")
+        return F.when((a["n"] >= 2) & (a["s1"] > 0), F.round(val, 3)).otherwise(F.lit(0.0))
+
+    return F.aggregate(as_col(pos), zero, step, finish)
+
+
+def rr_irregularity(seq) -> Column:
+    return irregularity_from_index(peak_index(seq))
 
 
 # ---------------------------------------------------------------- C5 concepts
 def concepts(seq, irregularity=None) -> Column:
     """Five-field concept struct. ``irregularity`` defaults to the measured
-    interval irregularity; pass ``F.lit(0.05)`` for the sequence-only form."""
+    interval irregularity; pass ``F.lit(0.05)`` for the sequence-only form,
+    or ``irregularity_from_intervals(col)`` after :func:`with_peak_columns`."""
     s = as_col(seq)
     irr = rr_irregularity(s) if irregularity is None else as_col(irregularity)
     return F.struct(

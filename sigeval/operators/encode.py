@@ -6,8 +6,9 @@ full chunks are kept. One output row per ``(user, chunk)``.
 
 Plan shape: the per-user numbering is the skew-safe
 :func:`~sigeval.operators.ordering.row_number_by_key` (a user holding a third
-of all events is spread over many range partitions), and the chunk assembly is
-a ``groupBy(user, chunk)`` whose groups never exceed ``chunk_length`` rows.
+of all events is spread over many range partitions; ordinary users keep a
+plain window), and the chunk assembly is a ``groupBy(user, chunk)`` whose
+groups never exceed ``chunk_length`` rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def event_symbol(event_type) -> Column:
 def encode_sequences(events: DataFrame, chunk_length: int = K.CHUNK_LENGTH,
                      user_col: str = "user_id", time_col: str = "ts",
                      tie_col: str = "event_id", type_col: str = "event_type",
-                     num_splits: int | None = None) -> DataFrame:
+                     num_splits: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """events -> (id STRING, user_id BIGINT, chunk BIGINT, sequence STRING)."""
     known = [name for name, _ in K.EVENT_SYMBOLS]
     ev = (events
@@ -38,7 +39,7 @@ def encode_sequences(events: DataFrame, chunk_length: int = K.CHUNK_LENGTH,
           .select(F.col(user_col).alias("user_id"), F.col(time_col).alias("_ts"),
                   F.col(tie_col).alias("_tie"), event_symbol(type_col).alias("_sym")))
     numbered = row_number_by_key(ev, ["user_id"], ["_ts", "_tie"], out="_rn",
-                                 num_splits=num_splits)
+                                 num_splits=num_splits, hot_rows=hot_rows)
     chunks = (numbered
               .select("user_id",
                       F.floor(F.col("_rn") / chunk_length).cast("bigint").alias("chunk"),

@@ -9,7 +9,7 @@ on the order partitions finish in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -23,10 +23,6 @@ def ratio(num, den) -> Column:
                               F.lit(0.0)), RATIO_DIGITS)
 
 
-def _classes(spark, classes=K.CLASSES) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, c in enumerate(classes)], "ord bigint, label string")
-
-
 # ---------------------------------------------------------------- H1
 def accuracy(pred: DataFrame, correct_col: str = "correct") -> DataFrame:
     """One row: correct, total, accuracy (0 when empty)."""
@@ -40,16 +36,19 @@ def accuracy(pred: DataFrame, correct_col: str = "correct") -> DataFrame:
 def per_class_fixed(pred: DataFrame, label_col: str = "label", correct_col: str = "correct",
                     classes=K.CLASSES) -> DataFrame:
     """Per class over the fixed classes; empty classes kept with zeros;
-    unknown true labels are not counted here (they are in :func:`accuracy`)."""
-    agg = (pred.where(F.col(label_col).isin(*classes)).groupBy(label_col)
-               .agg(F.count_if(F.col(correct_col)).cast("bigint").alias("tp"),
-                    F.count(F.lit(1)).cast("bigint").alias("total")))
-    cls = _classes(pred.sparkSession, classes)
-    j = cls.join(agg, cls["label"] == agg[label_col], "left")
-    tp = F.coalesce(agg["tp"], F.lit(0)).cast("bigint")
-    tot = F.coalesce(agg["total"], F.lit(0)).cast("bigint")
-    return j.select(cls["ord"], cls["label"], tp.alias("tp"), tot.alias("total"),
-                    ratio(tp, tot).alias("accuracy"))
+    unknown true labels are not counted here (they are in :func:`accuracy`).
+    One conditional aggregate (a single partial row per map task), then the
+    one-row result is unpivoted to one row per class."""
+    lab, ok = F.col(label_col), F.col(correct_col)
+    counters = []
+    for i, c in enumerate(classes):
+        counters += [F.count_if((lab == c) & ok).cast("bigint").alias(f"tp{i}"),
+                     F.count_if(lab == c).cast("bigint").alias(f"n{i}")]
+    one = pred.agg(*counters)
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(c).alias("label"),
+                              F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("total"))
+                     for i, c in enumerate(classes)])
+    return one.select(F.inline(rows)).withColumn("accuracy", ratio(F.col("tp"), F.col("total")))
 
 
 def per_class_observed(pred: DataFrame, label_col: str = "label",
@@ -103,33 +102,40 @@ def metrics_long(pred: DataFrame, task: int, n_shots: int, approach: str, ood: b
 # ---------------------------------------------------------------- H5
 def run_summary(pred: DataFrame, label_col: str = "label", correct_col: str = "correct",
                 **meta) -> DataFrame:
-    """One row: run metadata, totals and a ``per_class`` map keyed by label."""
+    """One row: run metadata, totals and a ``per_class`` map keyed by label.
+    Totals are summed from the (small) per-class table, so the predictions
+    are read once."""
     per = per_class_observed(pred, label_col, correct_col)
-    per_map = per.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col(label_col), F.struct("correct", "total", "accuracy")))).alias("per_class"))
-    acc = accuracy(pred, correct_col)
+    out = per.agg(
+        F.sum("total").cast("bigint").alias("total_samples"),
+        F.sum("correct").cast("bigint").alias("correct"),
+        F.map_from_entries(F.collect_list(F.struct(
+            F.col(label_col), F.struct("correct", "total", "accuracy")))).alias("per_class"))
     metas = [F.lit(v).alias(k) for k, v in meta.items()]
-    return acc.select(*metas, F.col("total").alias("total_samples"), "correct", "accuracy",
-                      per_map.select("per_class").scalar().alias("per_class"))
+    return out.select(*metas, F.coalesce("total_samples", F.lit(0)).alias("total_samples"),
+                      F.coalesce("correct", F.lit(0)).alias("correct"),
+                      ratio(F.col("correct"), F.col("total_samples")).alias("accuracy"), "per_class")
 
 
 # ---------------------------------------------------------------- H7
 def weighted_f1(pred: DataFrame, true_col: str = "label", pred_col: str = "pred") -> DataFrame:
     """Accuracy and F1 weighted by true support over the union of true and
-    predicted labels (a label never predicted or never right scores 0)."""
-    t = pred.select(F.col(true_col).alias("y"), F.col(pred_col).alias("p"))
-    # per-label tp / fp / fn from two small grouped counts
-    by_true = t.groupBy("y").agg(F.count(F.lit(1)).alias("support"),
-                                 F.count_if(F.col("y") == F.col("p")).alias("tp"))
-    by_pred = t.groupBy("p").agg(F.count(F.lit(1)).alias("n_pred"))
+    predicted labels (a label never predicted or never right scores 0).
+    The data is read once into a confusion table (at most labels^2 rows);
+    per-label support / tp / predicted counts come from that small table."""
+    conf = pred.groupBy(F.col(true_col).alias("y"), F.col(pred_col).alias("p")).agg(
+        F.count(F.lit(1)).alias("c"))
+    by_true = conf.groupBy("y").agg(F.sum("c").alias("support"),
+                                    F.sum(F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
+    by_pred = conf.groupBy("p").agg(F.sum("c").alias("n_pred"))
     lab = by_true.join(by_pred, by_true["y"] == by_pred["p"], "full_outer").select(
         F.coalesce("support", F.lit(0)).alias("support"),
         F.coalesce("tp", F.lit(0)).alias("tp"),
         F.coalesce("n_pred", F.lit(0)).alias("n_pred"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("n_pred")), F.lit(0.0))
     return lab.agg(
-        F.sum("support").cast("bigint").alias("total"),
-        F.sum("tp").cast("bigint").alias("correct"),
+        F.coalesce(F.sum("support"), F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce(F.sum("tp"), F.lit(0)).cast("bigint").alias("correct"),
         F.sum(F.col("support") * f1).alias("_wf1"),
     ).select("total", "correct", ratio(F.col("correct"), F.col("total")).alias("accuracy"),
              F.round(F.coalesce(F.try_divide(F.col("_wf1"), F.col("total").cast("double")),
@@ -138,12 +144,17 @@ def weighted_f1(pred: DataFrame, true_col: str = "label", pred_col: str = "pred"
 
 # ---------------------------------------------------------------- H8–H11
 def class_distribution(df: DataFrame, label_col: str = "label", classes=K.CLASSES) -> DataFrame:
-    """Rows per fixed class and percent of all rows (0 when empty)."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    fixed = per_class_fixed(df.withColumn("_c", F.lit(True)), label_col, "_c", classes)
-    return fixed.select("ord", "label", F.col("total").alias("n"),
-                        F.round(F.coalesce(F.try_divide(F.col("total") * 100.0, total), F.lit(0.0)),
-                                RATIO_DIGITS).alias("pct"))
+    """Rows per fixed class and percent of all rows (0 when empty), from one
+    conditional aggregate."""
+    lab = F.col(label_col)
+    one = df.agg(F.count(F.lit(1)).cast("bigint").alias("_all"),
+                 *[F.count_if(lab == c).cast("bigint").alias(f"n{i}") for i, c in enumerate(classes)])
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(c).alias("label"),
+                              F.col(f"n{i}").alias("n")) for i, c in enumerate(classes)])
+    return one.select("_all", F.inline(rows)).select(
+        "ord", "label", "n",
+        F.round(F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("_all")), F.lit(0.0)),
+                RATIO_DIGITS).alias("pct"))
 
 
 def length_stats(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
@@ -188,9 +199,10 @@ def peak_stats(df: DataFrame, ranges: DataFrame, regime: str = "in",
 def balance_check(head: DataFrame, label_col: str = "label",
                   min_per_class: int = K.BALANCE_MIN_PER_CLASS) -> DataFrame:
     """Counts per present class in a (bounded) head, and whether the smallest
-    present class reaches ``min_per_class``."""
+    present class reaches ``min_per_class``. The min runs over the grouped
+    counts (one row per class), not over the rows."""
     counts = head.groupBy(label_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    smallest = counts.select(F.min("n")).scalar()
+    smallest = F.min("n").over(Window.partitionBy(F.lit(0)))
     return counts.select(label_col, "n", (smallest >= min_per_class).alias("balanced"))
 
 

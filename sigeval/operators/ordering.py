@@ -3,7 +3,8 @@
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends every row of a key
 to one task. When one key holds a large share of the table (one user with a
 third of all events, one class, one split), that task becomes the whole job.
-The operators below number rows with the same result but split hot keys:
+The operators below number rows with the same result but split hot keys
+(keys above a row threshold; the others keep the plain window):
 
 1. ``repartitionByRange(key, order...)`` — Spark samples the data and cuts it
    into ranges of similar size, so a hot key spans many range partitions and
@@ -47,13 +48,47 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+HOT_ROWS = 2_000_000     # rows per key above which a key is split across tasks
+MAX_HOT_KEYS = 10_000    # bound on the broadcast hot-key list
+
+
 def row_number_by_key(df: DataFrame, keys: list[str], order: list[str],
-                      out: str = "rn", num_splits: int | None = None) -> DataFrame:
+                      out: str = "rn", num_splits: int | None = None,
+                      hot_rows: int | None = None) -> DataFrame:
     """0-based row number of each row within ``keys`` ordered by ``order``.
 
     ``order`` must be a total order within a key (end it with a unique column).
     Rows with a null key are numbered within the null group as well.
+
+    Key sizes are measured first (one pass, combined map-side). Keys with at
+    most ``hot_rows`` rows are numbered by a plain window (each group fits
+    one task); only hot keys go through the range split below. The hot-key
+    list is capped at ``MAX_HOT_KEYS`` rows, so broadcasting it is bounded;
+    past the cap every key takes the range split.
     """
+    limit = HOT_ROWS if hot_rows is None else int(hot_rows)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
+    hot = sizes.where(F.col(_N) > limit).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
+    if not hot:
+        return _plain_row_number(df, keys, order, out)
+    if len(hot) > MAX_HOT_KEYS:
+        return _split_row_number(df, keys, order, out, num_splits)
+    spark = df.sparkSession
+    schema = df.select(*keys).schema
+    hot_df = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], schema))
+    cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
+    cold = df.join(hot_df, cond, "left_anti")
+    warm = df.join(hot_df, cond, "left_semi")
+    return (_plain_row_number(cold, keys, order, out)
+            .unionByName(_split_row_number(warm, keys, order, out, num_splits)))
+
+
+def _plain_row_number(df: DataFrame, keys, order, out) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def _split_row_number(df: DataFrame, keys, order, out, num_splits) -> DataFrame:
     n = _num_splits(df, num_splits)
     ranged = pin(df.repartitionByRange(n, *keys, *order)
                    .withColumn(_SPLIT, F.spark_partition_id()))

@@ -46,13 +46,13 @@ def _lab(spark, d) -> DataFrame:
     return T.labelled(spark, d)
 
 
-def _split(spark, d, name) -> DataFrame:
-    return _lab(spark, d).where(F.col("split") == name)
+def _split(lab: DataFrame, name) -> DataFrame:
+    return lab.where(F.col("split") == name)
 
 
-def _predictions(spark, d, seed="resp") -> DataFrame:
+def _predictions(lab: DataFrame, seed="resp") -> DataFrame:
     """Test rows with the deterministic reply of ``seed``."""
-    return T.with_replies(_split(spark, d, "test"), seed)
+    return T.with_replies(_split(lab, "test"), seed)
 
 
 def _range_flag(regime_ranges, label="label", peaks="total_peaks"):
@@ -67,7 +67,7 @@ def _range_flag(regime_ranges, label="label", peaks="total_peaks"):
 @q
 def split_select(spark, d):
     """A2/B1 — the test split projected to (id, sequence, fc_class)."""
-    return _split(spark, d, "test").select("id", "sequence", F.col("label").alias("fc_class"))
+    return _split(_lab(spark, d), "test").select("id", "sequence", F.col("label").alias("fc_class"))
 
 
 @q
@@ -103,14 +103,14 @@ def manifest(spark, d):
 @q
 def known_classes(spark, d):
     """B2 — keyword predictions restricted to the known classes."""
-    p = _predictions(spark, d).select("id", P.parse_keyword("raw_response").alias("label"))
+    p = _predictions(_lab(spark, d)).select("id", P.parse_keyword("raw_response").alias("label"))
     return G.known_classes(p)
 
 
 @q
 def correctness_icl(spark, d):
     """B4 — few-shot form: missing prediction -> Unknown, then compare."""
-    p = _predictions(spark, d)
+    p = _predictions(_lab(spark, d))
     pred = F.coalesce(P.parse_keyword("raw_response"), F.lit(K.UNKNOWN))
     return p.select("id", F.col("label").alias("true_class"), pred.alias("predicted_class"),
                     P.correct_icl(pred, F.col("label")).alias("correct"))
@@ -119,7 +119,7 @@ def correctness_icl(spark, d):
 @q
 def correctness_ft(spark, d):
     """B5/B6/C14 — tuned form: null/empty prediction is wrong; reply cut at 200."""
-    p = _predictions(spark, d)
+    p = _predictions(_lab(spark, d))
     pred = P.parse_embedded_json("raw_response")
     return p.select("id", F.col("label").alias("true_label"), pred.alias("pred_label"),
                     P.correct_tuned(pred, F.col("label")).alias("correct"),
@@ -207,7 +207,7 @@ def target_json(spark, d):
 @q
 def response_preview(spark, d):
     r = F.col("raw_response")
-    return _predictions(spark, d).select(
+    return _predictions(_lab(spark, d)).select(
         "id", F.substring(r, 1, 200).alias("head_200"), F.substring(r, 1, 30).alias("head_30"),
         F.substring(r, 1, 50).alias("head_50"), F.substring(r, 1, 500).alias("head_500"),
         F.right(r, F.lit(200)).alias("tail_200"))
@@ -223,8 +223,8 @@ def label_names(spark, d):
 
 
 # ================================================================ D rendering
-def _icl_examples(spark, d, n):
-    return G.sample_balanced(_split(spark, d, "icl"), n, SEED)
+def _icl_examples(lab: DataFrame, n):
+    return G.sample_balanced(_split(lab, "icl"), n, SEED)
 
 
 @q
@@ -242,13 +242,13 @@ def example_cbm(spark, d):
 
 @q
 def few_shot_block(spark, d):
-    return R.few_shot_block(_icl_examples(spark, d, FEW_SHOT_N), "regular")
+    return R.few_shot_block(_icl_examples(_lab(spark, d), FEW_SHOT_N), "regular")
 
 
 @q
 def prompt_zero_shot(spark, d):
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
-    return _split(spark, d, "test").select("id", R.fill_template(tz, sequence=F.col("sequence"))
+    return _split(_lab(spark, d), "test").select("id", R.fill_template(tz, sequence=F.col("sequence"))
                                            .alias("prompt"))
 
 
@@ -256,8 +256,9 @@ def prompt_zero_shot(spark, d):
 def prompt_few_shot(spark, d):
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
-    block = R.few_shot_block(_icl_examples(spark, d, FEW_SHOT_N)).select("examples").scalar()
-    return _split(spark, d, "test").select("id", R.user_prompt(F.col("sequence"), tz, tf, block)
+    lab = _lab(spark, d)
+    block = R.few_shot_block(_icl_examples(lab, FEW_SHOT_N)).select("examples").scalar()
+    return _split(lab, "test").select("id", R.user_prompt(F.col("sequence"), tz, tf, block)
                                            .alias("prompt"))
 
 
@@ -266,8 +267,9 @@ def messages(spark, d):
     system = R.load_prompt("regular", "system_prompt")
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
-    block = R.few_shot_block(_icl_examples(spark, d, MESSAGES_N)).select("examples").scalar()
-    test = _split(spark, d, "test")
+    lab = _lab(spark, d)
+    block = R.few_shot_block(_icl_examples(lab, MESSAGES_N)).select("examples").scalar()
+    test = _split(lab, "test")
     m = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tf, block))
                     .alias("messages"))
     return R.explode_messages(m, ["id"])
@@ -286,14 +288,14 @@ def chat_template(spark, d):
 @q
 def prompt_finetuned(spark, d):
     """D8 — tuned prompt with one example per class."""
-    ex = _icl_examples(spark, d, TUNED_N)
-    block = R.tuned_block(ex).select("examples").scalar()
-    return _split(spark, d, "test").select(
+    lab = _lab(spark, d)
+    block = R.tuned_block(_icl_examples(lab, TUNED_N)).select("examples").scalar()
+    return _split(lab, "test").select(
         "id", R.tuned_prompt(F.col("sequence"), K.TUNED_SYSTEM_PROMPT, block).alias("prompt"))
 
 
-def _prompt_completion(spark, d):
-    train = _split(spark, d, "train")
+def _prompt_completion(lab: DataFrame):
+    train = _split(lab, "train")
     return train.select("id", "label",
                         R.tuned_prompt(F.col("sequence"), K.TUNED_SYSTEM_PROMPT).alias("prompt"),
                         X.target_json("sequence", F.col("label")).alias("completion"))
@@ -302,12 +304,12 @@ def _prompt_completion(spark, d):
 @q
 def prompt_completion(spark, d):
     """D9 — zero-shot prompt through the chat template + JSON completion."""
-    return _prompt_completion(spark, d).select("id", "prompt", "completion")
+    return _prompt_completion(_lab(spark, d)).select("id", "prompt", "completion")
 
 
 @q
 def chat_records(spark, d):
-    train = _split(spark, d, "train")
+    train = _split(_lab(spark, d), "train")
     m = train.select("id", R.chat_record(F.col("sequence"), F.col("label"), K.TUNED_SYSTEM_PROMPT)
                      .alias("messages"))
     return R.explode_messages(m, ["id"])
@@ -350,8 +352,9 @@ def choice_prompt(spark, d):
 def join_responses(spark, d):
     """E2 — score offline replies: test rows left-join the stored replies
     (empty replies were never stored); missing -> Unknown."""
-    test = _split(spark, d, "test")
-    stored = T.with_replies(_lab(spark, d), "resp").where(F.col("raw_response") != "") \
+    lab = _lab(spark, d)
+    test = _split(lab, "test")
+    stored = T.with_replies(lab, "resp").where(F.col("raw_response") != "") \
         .select(F.col("id").alias("_rid"), "raw_response")
     j = test.join(stored, test["id"] == stored["_rid"], "left")
     pred = F.coalesce(P.parse_keyword("raw_response"), F.lit(K.UNKNOWN))
@@ -364,7 +367,7 @@ def complete_batch_q(spark, d):
     """E1 — zero-shot message lists sent through the local rule client."""
     system = R.load_prompt("regular", "system_prompt")
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
-    test = _split(spark, d, "test")
+    test = _split(_lab(spark, d), "test")
     m = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tz, None))
                     .alias("messages"))
     return complete_batch(m, RuleClient)
@@ -373,17 +376,17 @@ def complete_batch_q(spark, d):
 # ================================================================ F parsing
 @q
 def parse_keyword(spark, d):
-    return _predictions(spark, d).select("id", P.parse_keyword("raw_response").alias("pred"))
+    return _predictions(_lab(spark, d)).select("id", P.parse_keyword("raw_response").alias("pred"))
 
 
 @q
 def parse_fenced_json(spark, d):
-    return _predictions(spark, d).select("id", P.parse_fenced_json("raw_response").alias("pred"))
+    return _predictions(_lab(spark, d)).select("id", P.parse_fenced_json("raw_response").alias("pred"))
 
 
 @q
 def parse_embedded_json(spark, d):
-    return _predictions(spark, d).select("id", P.parse_embedded_json("raw_response").alias("pred"))
+    return _predictions(_lab(spark, d)).select("id", P.parse_embedded_json("raw_response").alias("pred"))
 
 
 def _choice(spark, d, seed="choice"):
@@ -402,14 +405,14 @@ def parse_exact(spark, d):
 
 @q
 def completion_labels(spark, d):
-    pc = _prompt_completion(spark, d)
+    pc = _prompt_completion(_lab(spark, d))
     return pc.select("id", "label", P.completion_label("completion").alias("completion_label"))
 
 
 # ================================================================ G sampling
 @q
 def sample_balanced(spark, d):
-    return _icl_examples(spark, d, FEW_SHOT_N).select("id", "label", "class_rank")
+    return _icl_examples(_lab(spark, d), FEW_SHOT_N).select("id", "label", "class_rank")
 
 
 @q
@@ -419,12 +422,12 @@ def shuffle(spark, d):
 
 @q
 def sample_n(spark, d):
-    return G.sample_n(_split(spark, d, "test"), SAMPLE_N, SEED).select("id")
+    return G.sample_n(_split(_lab(spark, d), "test"), SAMPLE_N, SEED).select("id")
 
 
 @q
 def train_val_split(spark, d):
-    return G.train_val_split(_split(spark, d, "train").select("id"), 0.8, 0.2, SEED) \
+    return G.train_val_split(_split(_lab(spark, d), "train").select("id"), 0.8, 0.2, SEED) \
         .select("id", "split")
 
 
@@ -435,58 +438,58 @@ def head_n(spark, d):
 
 @q
 def first_per_class(spark, d):
-    return G.first_per_class(_split(spark, d, "train").select("id", "label"), SEED) \
+    return G.first_per_class(_split(_lab(spark, d), "train").select("id", "label"), SEED) \
         .select("label", "id")
 
 
 @q
 def balanced_dataset(spark, d):
-    return G.balanced_dataset(_split(spark, d, "train").select("id", "label"), None, SEED) \
+    return G.balanced_dataset(_split(_lab(spark, d), "train").select("id", "label"), None, SEED) \
         .select("id", "label", "class_rank", "dataset_pos")
 
 
 @q
 def examples_by_class(spark, d):
-    return G.examples_by_class(_split(spark, d, "icl"))
+    return G.examples_by_class(_split(_lab(spark, d), "icl"))
 
 
 # ================================================================ H metrics
-def _icl_pred(spark, d, seed="resp"):
-    p = _predictions(spark, d, seed)
+def _icl_pred(lab: DataFrame, seed="resp"):
+    p = _predictions(lab, seed)
     pred = F.coalesce(P.parse_keyword("raw_response"), F.lit(K.UNKNOWN))
     return p.select("id", "label", pred.alias("pred"), P.correct_icl(pred, F.col("label")).alias("correct"))
 
 
-def _ft_pred(spark, d, seed="resp"):
-    p = _predictions(spark, d, seed)
+def _ft_pred(lab: DataFrame, seed="resp"):
+    p = _predictions(lab, seed)
     pred = P.parse_embedded_json("raw_response")
     return p.select("id", "label", pred.alias("pred"), P.correct_tuned(pred, F.col("label")).alias("correct"))
 
 
 @q
 def accuracy(spark, d):
-    return M.accuracy(_icl_pred(spark, d))
+    return M.accuracy(_icl_pred(_lab(spark, d)))
 
 
 @q
 def metrics_fixed(spark, d):
-    return M.per_class_fixed(_icl_pred(spark, d))
+    return M.per_class_fixed(_icl_pred(_lab(spark, d)))
 
 
 @q
 def metrics_dynamic(spark, d):
-    return M.per_class_observed(_ft_pred(spark, d))
+    return M.per_class_observed(_ft_pred(_lab(spark, d)))
 
 
 @q
 def metrics_long(spark, d):
-    return M.metrics_long(_icl_pred(spark, d), task=1, n_shots=FEW_SHOT_N, approach="regular",
+    return M.metrics_long(_icl_pred(_lab(spark, d)), task=1, n_shots=FEW_SHOT_N, approach="regular",
                           ood=False, model="rule-replies")
 
 
 @q
 def run_summary(spark, d):
-    s = M.run_summary(_ft_pred(spark, d), task=1, n_shots=0, ood=False)
+    s = M.run_summary(_ft_pred(_lab(spark, d)), task=1, n_shots=0, ood=False)
     e = s.select("task", "n_shots", "ood", "total_samples", F.col("correct").alias("all_correct"),
                  F.col("accuracy").alias("all_accuracy"), F.explode("per_class").alias("label", "c"))
     return e.select("task", "n_shots", "ood", "total_samples", "all_correct", "all_accuracy", "label",
@@ -527,20 +530,20 @@ def peak_stats(spark, d):
 
 @q
 def balance_check(spark, d):
-    head = G.sample_n(_split(spark, d, "train"), K.BALANCE_WINDOW, SEED)
+    head = G.sample_n(_split(_lab(spark, d), "train"), K.BALANCE_WINDOW, SEED)
     return M.balance_check(head)
 
 
 @q
 def token_share(spark, d):
-    return M.token_share(_prompt_completion(spark, d)).select(
+    return M.token_share(_prompt_completion(_lab(spark, d))).select(
         "id", "prompt_tokens", "completion_tokens", "completion_share")
 
 
 @q
 def step_budget(spark, d):
     n = F.count(F.lit(1))
-    return _split(spark, d, "train").agg(n.cast("bigint").alias("n_rows")).select(
+    return _split(_lab(spark, d), "train").agg(n.cast("bigint").alias("n_rows")).select(
         "n_rows", *M.step_budget(F.col("n_rows"), batch=1, accum=4, epochs=3, warmup_ratio=0.1))
 
 
@@ -555,11 +558,11 @@ def label_consistency(spark, d):
 
 
 # ================================================================ I experiment
-def _run_evaluations(spark, d) -> DataFrame:
+def _run_evaluations(lab: DataFrame) -> DataFrame:
     """Every test row under every run of the grid whose regime it belongs to
     (in-distribution or shifted range of its label); fan-out is bounded by
     the grid size. Base model: keyword parser; tuned: embedded JSON."""
-    test = _split(spark, d, "test").select(
+    test = _split(lab, "test").select(
         "id", "sequence", "label", _range_flag(K.IN_RANGES).alias("_in"),
         _range_flag(K.OOD_RANGES).alias("_ood"))
     runs = F.array(*[F.struct(F.lit(r).cast("bigint").alias("run"),
@@ -577,8 +580,8 @@ def _run_evaluations(spark, d) -> DataFrame:
     return fan.select("run", "n_per_class", "ood", "model", "label", ok.alias("correct"))
 
 
-def _per_run(spark, d) -> DataFrame:
-    ev = _run_evaluations(spark, d)
+def _per_run(lab: DataFrame) -> DataFrame:
+    ev = _run_evaluations(lab)
     return ev.groupBy("run", "n_per_class", "ood", "model").agg(
         F.count_if("correct").cast("bigint").alias("correct"),
         F.count(F.lit(1)).cast("bigint").alias("total"))
@@ -586,28 +589,31 @@ def _per_run(spark, d) -> DataFrame:
 
 @q
 def sweep(spark, d):
-    return _per_run(spark, d).withColumn("accuracy", M.ratio(F.col("correct"), F.col("total")))
+    return _per_run(_lab(spark, d)).withColumn("accuracy", M.ratio(F.col("correct"), F.col("total")))
 
 
 @q
 def ood_drop(spark, d):
-    return M.ood_drop(_per_run(spark, d))
+    return M.ood_drop(_per_run(_lab(spark, d)))
 
 
 @q
 def hypothesis_verdict(spark, d):
-    return M.hypothesis_verdict(M.ood_drop(_per_run(spark, d)))
+    return M.hypothesis_verdict(M.ood_drop(_per_run(_lab(spark, d))))
 
 
 @q
 def model_compare(spark, d):
-    """I4 — base vs tuned on the same test rows, per class and overall."""
-    base = _icl_pred(spark, d, "resp0").select("id", "label", F.col("correct").alias("base_ok"))
-    tuned = _ft_pred(spark, d, "resp1").select(F.col("id").alias("_id"), F.col("correct").alias("tuned_ok"))
-    j = base.join(tuned, base["id"] == tuned["_id"], "inner")
-    agg = j.rollup("label").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                F.count_if("base_ok").cast("bigint").alias("base_correct"),
-                                F.count_if("tuned_ok").cast("bigint").alias("tuned_correct"))
+    """I4 — base vs tuned on the same test rows (two reply seeds on each row,
+    no join), per class and overall via ROLLUP."""
+    test = _split(_lab(spark, d), "test")
+    both = T.with_replies(T.with_replies(test, "resp0", "r0"), "resp1", "r1")
+    base_ok = P.correct_icl(F.coalesce(P.parse_keyword("r0"), F.lit(K.UNKNOWN)), F.col("label"))
+    tuned_ok = P.correct_tuned(P.parse_embedded_json("r1"), F.col("label"))
+    agg = both.select("label", base_ok.alias("base_ok"), tuned_ok.alias("tuned_ok")).rollup("label").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.count_if("base_ok").cast("bigint").alias("base_correct"),
+        F.count_if("tuned_ok").cast("bigint").alias("tuned_correct"))
     return agg.select(F.coalesce("label", F.lit("ALL")).alias("label"), "n", "base_correct",
                       "tuned_correct", M.ratio(F.col("base_correct"), F.col("n")).alias("base_accuracy"),
                       M.ratio(F.col("tuned_correct"), F.col("n")).alias("tuned_accuracy"))
@@ -616,17 +622,24 @@ def model_compare(spark, d):
 # ================================================================ J arrays
 @q
 def mask_labels(spark, d):
-    """J1/J2 — BOS + prompt ids + completion ids, labels masked on pad/image
-    ids and on the prompt positions; exploded to one row per position."""
-    pc = _prompt_completion(spark, d)
-    p_ids = F.concat(F.array(F.lit(J.BOS_ID).cast("bigint")), J.hashed_token_ids(F.col("prompt")))
-    c_ids = J.hashed_token_ids(F.col("completion"))
-    ids = F.concat(p_ids, c_ids)
-    labels = J.mask_prefix(J.mask_ids(ids), F.size(p_ids))
-    rows = pc.select("id", F.arrays_zip(ids.alias("input_id"), labels.alias("label")).alias("z"))
-    return rows.select("id", F.posexplode("z").alias("pos", "t")).select(
-        "id", F.col("pos").cast("bigint").alias("pos"), F.col("t.input_id").alias("input_id"),
-        F.col("t.label").alias("label"))
+    """J1/J2 — BOS + prompt ids + completion ids; labels masked on pad/image
+    ids and on the prompt positions. Tokens are exploded first, so each id
+    is one scalar expression on one row (no nested array lambdas)."""
+    pc = _prompt_completion(_lab(spark, d))
+    toks = lambda c: F.regexp_extract_all(F.col(c), F.lit(J.TOKEN_PATTERN), 0)
+    tid = lambda t: (F.pmod(F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("bigint"),
+                            F.lit(J.VOCAB)) + J.RESERVED).cast("bigint")
+    masked = lambda x: F.when(x.isin(J.PAD_ID, J.IMAGE_ID), F.lit(K.MASK_ID)).otherwise(x)
+    bos = pc.select("id", F.lit(0).cast("bigint").alias("pos"), F.lit(J.BOS_ID).cast("bigint").alias("input_id"),
+                    F.lit(K.MASK_ID).cast("bigint").alias("label"))
+    prompt = pc.select("id", F.posexplode(toks("prompt")).alias("i", "t")).select(
+        "id", (F.col("i") + 1).cast("bigint").alias("pos"), tid(F.col("t")).alias("input_id"),
+        F.lit(K.MASK_ID).cast("bigint").alias("label"))
+    comp = pc.select("id", F.size(toks("prompt")).alias("plen"),
+                     F.posexplode(toks("completion")).alias("i", "t")).select(
+        "id", (F.col("plen") + 1 + F.col("i")).cast("bigint").alias("pos"), tid(F.col("t")).alias("input_id"))
+    comp = comp.select("id", "pos", "input_id", masked(F.col("input_id")).cast("bigint").alias("label"))
+    return bos.unionByName(prompt).unionByName(comp)
 
 
 # keys that differ from the Python function names

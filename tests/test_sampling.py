@@ -55,10 +55,12 @@ def test_row_number_by_key_matches_window(spark, pairs):
     # key 0 is deliberately hot
     rows = [(k if i % 3 else 0, t, i) for i, (k, t) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "k int, t int, u int")
-    got = {(r.u, r.rn) for r in row_number_by_key(df, ["k"], ["t", "u"], num_splits=4).collect()}
     w = Window.partitionBy("k").orderBy("t", "u")
     want = {(r.u, r.rn) for r in df.select("u", (F.row_number().over(w) - 1).alias("rn")).collect()}
-    assert got == want
+    for hot_rows in (0, 10, None):   # all keys split / only hot keys split / plain window
+        got = {(r.u, r.rn) for r in row_number_by_key(df, ["k"], ["t", "u"], num_splits=4,
+                                                      hot_rows=hot_rows).collect()}
+        assert got == want
 
 
 def test_global_index_total(spark):
@@ -84,3 +86,11 @@ def test_window_group_limit_planned(spark):
     df = labelled(spark, {"Brady": 50, "Normal": 50, "Tachy": 50})
     plan = G.sample_balanced(df, 4)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_encode_hot_user_split_matches_plain(spark):
+    from sigeval.operators.encode import encode_sequences
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plain = sorted(tuple(r) for r in encode_sequences(ev).collect())
+    split = sorted(tuple(r) for r in encode_sequences(ev, num_splits=5, hot_rows=3).collect())
+    assert plain == split and len(plain) == 32
