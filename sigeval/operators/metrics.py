@@ -18,9 +18,18 @@ from ..functions import features as X
 RATIO_DIGITS = 6
 
 
+SCALE = 10.0 ** RATIO_DIGITS
+
+
 def ratio(num, den) -> Column:
-    return F.round(F.coalesce(F.try_divide(num.cast("double"), den.cast("double")),
-                              F.lit(0.0)), RATIO_DIGITS)
+    """``num / den`` rounded half-up to 6 places, 0 when ``den`` is 0.
+
+    The quotient is scaled before rounding (``round(num * 1e6 / den) / 1e6``):
+    a tie is then an exactly representable ``x.5``, so every engine rounds it
+    the same way (rounding ``num / den`` at the 6th decimal would depend on
+    how each engine reads the binary value)."""
+    q = F.try_divide(num.cast("double") * F.lit(SCALE), den.cast("double"))
+    return F.coalesce(F.round(q, 0) / F.lit(SCALE), F.lit(0.0))
 
 
 # ---------------------------------------------------------------- H1
@@ -138,8 +147,7 @@ def weighted_f1(pred: DataFrame, true_col: str = "label", pred_col: str = "pred"
         F.coalesce(F.sum("tp"), F.lit(0)).cast("bigint").alias("correct"),
         F.sum(F.col("support") * f1).alias("_wf1"),
     ).select("total", "correct", ratio(F.col("correct"), F.col("total")).alias("accuracy"),
-             F.round(F.coalesce(F.try_divide(F.col("_wf1"), F.col("total").cast("double")),
-                                F.lit(0.0)), RATIO_DIGITS).alias("weighted_f1"))
+             ratio(F.col("_wf1"), F.col("total")).alias("weighted_f1"))
 
 
 # ---------------------------------------------------------------- H8–H11
@@ -153,14 +161,13 @@ def class_distribution(df: DataFrame, label_col: str = "label", classes=K.CLASSE
                               F.col(f"n{i}").alias("n")) for i, c in enumerate(classes)])
     return one.select("_all", F.inline(rows)).select(
         "ord", "label", "n",
-        F.round(F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("_all")), F.lit(0.0)),
-                RATIO_DIGITS).alias("pct"))
+        ratio(F.col("n") * 100, F.col("_all")).alias("pct"))
 
 
 def length_stats(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                   F.sum(F.length(seq_col)).cast("bigint").alias("n_chars"),
-                  F.round(F.avg(F.length(seq_col)), RATIO_DIGITS).alias("avg_length"))
+                  ratio(F.sum(F.length(seq_col)), F.count(F.lit(1))).alias("avg_length"))
 
 
 SYMBOL_NAMES = (("narrow", K.NARROW), ("wide", K.WIDE), ("baseline", K.BASELINE),
@@ -176,8 +183,7 @@ def symbol_histogram(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
                     for i, (n, s) in enumerate(SYMBOL_NAMES)])
     out = sums.select("_chars", F.inline(arr))
     return out.select("ord", "symbol_name", "symbol", "n",
-                      F.round(F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("_chars")), F.lit(0.0)),
-                              RATIO_DIGITS).alias("pct"))
+                      ratio(F.col("n") * 100, F.col("_chars")).alias("pct"))
 
 
 def peak_stats(df: DataFrame, ranges: DataFrame, regime: str = "in",
@@ -185,7 +191,7 @@ def peak_stats(df: DataFrame, ranges: DataFrame, regime: str = "in",
     """Min / max / mean peaks per label next to the expected range."""
     agg = df.groupBy(label_col).agg(F.min(peaks_col).cast("bigint").alias("min_peaks"),
                                     F.max(peaks_col).cast("bigint").alias("max_peaks"),
-                                    F.round(F.avg(peaks_col), RATIO_DIGITS).alias("mean_peaks"),
+                                    ratio(F.sum(peaks_col), F.count(peaks_col)).alias("mean_peaks"),
                                     F.count(F.lit(1)).cast("bigint").alias("n"))
     r = ranges.where(F.col("regime") == regime).select(F.col("label").alias("_l"), "lo", "hi")
     j = agg.join(F.broadcast(r), agg[label_col] == r["_l"], "left")
@@ -221,9 +227,8 @@ def token_share(df: DataFrame, prompt_col: str = "prompt", completion_col: str =
     p = counter(prompt_col)
     c = counter(completion_col)
     return df.select("*", p.alias("prompt_tokens"), c.alias("completion_tokens")).withColumn(
-        "completion_share", F.round(F.coalesce(F.try_divide(
-            F.col("completion_tokens") * 100.0, F.col("prompt_tokens") + F.col("completion_tokens")),
-            F.lit(0.0)), RATIO_DIGITS))
+        "completion_share", ratio(F.col("completion_tokens") * 100,
+                                  F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
 def step_budget(n_rows: Column, batch: int, accum: int, epochs: int, warmup_ratio: float) -> list[Column]:

@@ -68,7 +68,8 @@ def strip(x: str) -> str:
 
 
 def ratio(a: str, b: str) -> str:
-    return f"round(coalesce(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0), 6)"
+    return (f"coalesce(round(CAST({a} AS DOUBLE) * CAST(1000000 AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0)"
+            f" / CAST(1000000 AS DOUBLE), 0.0)")
 
 
 def nxt(label: str) -> str:
@@ -281,8 +282,7 @@ def wf1_sql(src):
         FROM bt FULL OUTER JOIN bp ON bt.y = bp.p)
  SELECT CAST(sum(support) AS BIGINT) AS total, CAST(sum(tp) AS BIGINT) AS correct,
         {ratio('sum(tp)', 'sum(support)')} AS accuracy,
-        round(coalesce(sum(support * coalesce(CAST(2 AS DOUBLE) * tp / NULLIF(CAST(support + n_pred AS DOUBLE), 0), 0.0))
-              / NULLIF(CAST(sum(support) AS DOUBLE), 0), 0.0), 6) AS weighted_f1 FROM lb)"""
+        {ratio('sum(support * coalesce(CAST(2 AS DOUBLE) * tp / NULLIF(CAST(support + n_pred AS DOUBLE), 0), 0.0))', 'sum(support)')} AS weighted_f1 FROM lb)"""
 
 
 def runs_values():
@@ -498,20 +498,21 @@ lp AS (SELECT CAST(quality AS BIGINT) AS label, CAST(1 - toxic AS BIGINT) AS pre
 SELECT 'choice' AS dataset, * FROM {wf1_sql('cp')}
 UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
     o["class_distribution"] = with_base(select=f"""SELECT CAST(cls.ord AS BIGINT) AS ord, cls.label, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
-        round(coalesce(CAST(coalesce(c.n, 0) AS DOUBLE) * 100.0 / NULLIF(CAST((SELECT count(*) FROM lab) AS DOUBLE), 0), 0.0), 6) AS pct
+        {ratio('coalesce(c.n, 0) * 100', '(SELECT count(*) FROM lab)')} AS pct
         FROM {CLASSES_VALUES} LEFT JOIN (SELECT label, count(*) AS n FROM lab GROUP BY label) c ON cls.label = c.label""")
-    o["length_stats"] = with_base(select="""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length(sequence)) AS BIGINT) AS n_chars,
-        round(avg(length(sequence)), 6) AS avg_length FROM lab""")
+    o["length_stats"] = with_base(select=f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(length(sequence)) AS BIGINT) AS n_chars,
+        {ratio('sum(length(sequence))', 'count(*)')} AS avg_length FROM lab""")
     from ..operators.metrics import SYMBOL_NAMES
-    sym_union = "\nUNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS ord, {lit(n)} AS symbol_name, {lit(sy)} AS symbol, CAST(coalesce(sum({cnt('sequence', sy)}), 0) AS BIGINT) AS n, "
-        f"round(coalesce(CAST(coalesce(sum({cnt('sequence', sy)}), 0) AS DOUBLE) * 100.0 / NULLIF(CAST(sum(length(sequence)) AS DOUBLE), 0), 0.0), 6) AS pct FROM lab"
-        for i, (n, sy) in enumerate(SYMBOL_NAMES))
+    def sym_row(i, n, sy):
+        total = f"coalesce(sum({cnt('sequence', sy)}), 0)"
+        return (f"SELECT CAST({i} AS BIGINT) AS ord, {lit(n)} AS symbol_name, {lit(sy)} AS symbol, "
+                f"CAST({total} AS BIGINT) AS n, {ratio(total + ' * 100', 'sum(length(sequence))')} AS pct FROM lab")
+    sym_union = "\nUNION ALL ".join(sym_row(i, n, sy) for i, (n, sy) in enumerate(SYMBOL_NAMES))
     o["symbol_histogram"] = with_base(select=sym_union)
     o["peak_stats"] = with_base(select=f"""SELECT a.label, a.n, a.min_peaks, a.max_peaks, a.mean_peaks, CAST(rg.lo AS BIGINT) AS expected_lo,
         CAST(rg.hi AS BIGINT) AS expected_hi, (a.min_peaks >= rg.lo AND a.max_peaks <= rg.hi) AS within_range
         FROM (SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(min(total_peaks) AS BIGINT) AS min_peaks, CAST(max(total_peaks) AS BIGINT) AS max_peaks,
-              round(avg(total_peaks), 6) AS mean_peaks FROM lab GROUP BY label) a
+              {ratio('sum(total_peaks)', 'count(total_peaks)')} AS mean_peaks FROM lab GROUP BY label) a
         LEFT JOIN (SELECT * FROM {RANGES_VALUES} WHERE regime = 'in') rg ON a.label = rg.label""")
     o["balance_check"] = with_base(f"""_h AS (SELECT * FROM lab WHERE split = 'train' ORDER BY {key(42, 'id')}, id LIMIT {K.BALANCE_WINDOW}),
         _c AS (SELECT label, CAST(count(*) AS BIGINT) AS n FROM _h GROUP BY label)""",
@@ -519,8 +520,8 @@ UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
     tok = r"'\w+|[^\w\s]'"
     o["token_share"] = with_base(pc_cte(), f"""_t AS (SELECT id, CAST(len(regexp_extract_all(prompt, {tok})) AS BIGINT) AS prompt_tokens,
         CAST(len(regexp_extract_all(completion, {tok})) AS BIGINT) AS completion_tokens FROM pc)""",
-        select="""SELECT id, prompt_tokens, completion_tokens,
-        round(coalesce(CAST(completion_tokens AS DOUBLE) * 100.0 / NULLIF(CAST(prompt_tokens + completion_tokens AS DOUBLE), 0), 0.0), 6) AS completion_share FROM _t""")
+        select=f"""SELECT id, prompt_tokens, completion_tokens,
+        {ratio('completion_tokens * 100', 'prompt_tokens + completion_tokens')} AS completion_share FROM _t""")
     o["step_budget"] = with_base("_n AS (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM lab WHERE split = 'train')",
         select=f"""SELECT n_rows, CAST((n_rows // 1) * 3 // 4 AS BIGINT) AS total_steps,
         CAST(floor(CAST((n_rows // 1) * 3 // 4 AS DOUBLE) * {dbl(0.1)}) AS BIGINT) AS warmup_steps FROM _n""")
