@@ -34,21 +34,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset — local tests — a scratch folder is
-    created and registered.
+    Reads the checkpoint folder from the session (on a cluster,
+    ``spark.checkpoint.dir`` names a shared folder). Only when none is set —
+    local tests — a scratch folder is created and registered. Sessions
+    without a SparkContext (Spark Connect) rely on the server's setting.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="sigeval-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d) if _settable(spark) else None
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
