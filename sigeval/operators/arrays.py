@@ -8,6 +8,7 @@ and checked on real rows; a real tokenizer plugs in through
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +52,6 @@ def pad_to(ids, length, pad_id: int = PAD_ID) -> Column:
 def token_ids_udf(tokenizer_factory):
     """Wrap a user tokenizer (``str -> list[int]``) as an Arrow-batched UDF;
     the factory runs once per Python worker."""
-    import pandas as pd
-
     state = {}
 
     @F.pandas_udf(T.ArrayType(T.LongType()))

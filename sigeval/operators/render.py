@@ -130,7 +130,7 @@ def user_prompt(sequence, template_zero: str, template_few: str, block: Column |
     return F.when(F.coalesce(block, F.lit("")) == "", zero).otherwise(few)
 
 
-def messages(test: DataFrame, system_text: str, user: Column) -> Column:
+def messages(test: DataFrame | None, system_text: str, user: Column) -> Column:
     """[system, user] message array. The system text is sent verbatim."""
     return F.array(
         F.struct(F.lit("system").alias("role"), F.lit(system_text).alias("content")),

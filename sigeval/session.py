@@ -56,13 +56,6 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or d
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return spark.conf.isModifiable("spark.checkpoint.dir")
-    except Exception:  # pragma: no cover - older API
-        return False
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

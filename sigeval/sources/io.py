@@ -7,13 +7,13 @@ required columns and fail with the column names, as the pipeline does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from .. import constants as K
 from ..functions import features as X
+from ..functions.util import strip
 from ..operators import render as R
 
 REQUIRED_EXAMPLE_COLUMNS = ("sequence", "label")
@@ -79,7 +79,7 @@ def write_tsv(df: DataFrame, path: str, seq_col: str = "sequence", label_col: st
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """``sequence<TAB>class`` lines; blank lines skipped; any other field
     count raises at run time."""
-    lines = spark.read.text(path).select(X_strip(F.col("value")).alias("line")).where(F.col("line") != "")
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("line")).where(F.col("line") != "")
     parts = F.split(F.col("line"), "\t")
     checked = F.when(F.size(parts) == 2, parts).otherwise(
         F.raise_error(F.concat(F.lit("expected 2 tab-separated fields: "), F.col("line"))))
@@ -87,11 +87,6 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
                                                    F.col("p")[1].alias("fc_class"))
 
 
-def X_strip(c: Column) -> Column:
-    from ..functions.util import strip
-    return strip(c)
-
-
 # ---------------------------------------------------------------- A5
 CONCEPTS_TYPE = T.StructType([
     T.StructField(K.CONCEPT_KEYS[0], T.LongType()),
@@ -195,7 +190,7 @@ def read_templates(spark: SparkSession, prompts_dir: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", pat, 1).cast("int").alias("task"),
                       F.regexp_extract("path", pat, 2).alias("approach"),
                       F.regexp_extract("path", pat, 3).alias("prompt_type"),
-                      X_strip(F.col("value")).alias("text"))
+                      strip(F.col("value")).alias("text"))
 
 
 # ---------------------------------------------------------------- A12
