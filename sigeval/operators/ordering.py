@@ -49,6 +49,7 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 HOT_ROWS = 2_000_000     # rows per key above which a key is split across tasks
+HOT_ROWS_CONF = "spark.sigeval.hotKeyRows"   # session override of HOT_ROWS
 MAX_HOT_KEYS = 10_000    # bound on the broadcast hot-key list
 
 
@@ -61,12 +62,15 @@ def row_number_by_key(df: DataFrame, keys: list[str], order: list[str],
     Rows with a null key are numbered within the null group as well.
 
     Key sizes are measured first (one pass, combined map-side). Keys with at
-    most ``hot_rows`` rows are numbered by a plain window (each group fits
-    one task); only hot keys go through the range split below. The hot-key
+    most ``hot_rows`` rows (default: session setting ``spark.sigeval.hotKeyRows``,
+    else 2,000,000) are numbered by a plain window (each group fits one
+    task); only hot keys go through the range split below. The hot-key
     list is capped at ``MAX_HOT_KEYS`` rows, so broadcasting it is bounded;
     past the cap every key takes the range split.
     """
-    limit = HOT_ROWS if hot_rows is None else int(hot_rows)
+    if hot_rows is None:
+        hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
+    limit = int(hot_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
     hot = sizes.where(F.col(_N) > limit).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
     if not hot:

@@ -53,3 +53,16 @@ def test_query_matches_oracle(spark, con, key):
         return
     odf = con.execute(sql).df()
     assert _rows(sdf) == _rows(odf)
+
+
+@pytest.mark.parametrize("key", ["encode_sequences", "metadata_rows", "balanced_dataset",
+                                 "prompt_few_shot", "sweep"])
+def test_query_matches_oracle_on_hot_key_path(spark, con, key):
+    """Every user and class above the threshold: the range-split numbering
+    must give the same rows as the plain window."""
+    spark.conf.set("spark.sigeval.hotKeyRows", "3")
+    try:
+        sdf = E.queries()[key](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.unset("spark.sigeval.hotKeyRows")
+    assert _rows(sdf) == _rows(con.execute(E.oracle_sql()[key]).df())
