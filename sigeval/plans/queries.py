@@ -22,6 +22,7 @@ from ..operators import render as R
 from ..operators import sampling as G
 from ..operators.augment import augment_noise
 from ..operators.complete import RuleClient, complete_batch
+from ..operators.ordering import pin, row_number_by_key
 from ..session import read_table
 from . import tables as T
 
@@ -46,6 +47,13 @@ def _lab(spark, d) -> DataFrame:
     return T.labelled(spark, d)
 
 
+def _shared_lab(spark, d) -> DataFrame:
+    """The labelled table written once (reliable checkpoint in the shared
+    folder) for queries that read it in more than one branch, so the
+    events -> sequences shuffle runs once instead of once per branch."""
+    return pin(T.labelled(spark, d))
+
+
 def _split(lab: DataFrame, name) -> DataFrame:
     return lab.where(F.col("split") == name)
 
@@ -74,8 +82,7 @@ def split_select(spark, d):
 def metadata_rows(spark, d):
     """A3/C12 — ``<split>_%04d`` ids in dataset order (class, seeded rank),
     total peaks counted from the string."""
-    from ..operators.ordering import row_number_by_key
-    lab = G.with_shuffle_key(_lab(spark, d), SEED).withColumn("_ord", X.class_index(F.col("label")))
+    lab = G.with_shuffle_key(_shared_lab(spark, d), SEED).withColumn("_ord", X.class_index(F.col("label")))
     ranked = row_number_by_key(lab, ["split"], ["_ord", G.SHUFFLE_KEY, "id"], out="_i")
     return ranked.select(F.format_string("%s_%04d", "split", "_i").alias("id"),
                          F.col("id").alias("source_id"), "sequence", "label",
@@ -256,7 +263,7 @@ def prompt_zero_shot(spark, d):
 def prompt_few_shot(spark, d):
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
-    lab = _lab(spark, d)
+    lab = _shared_lab(spark, d)
     block = R.few_shot_block(_icl_examples(lab, FEW_SHOT_N)).select("examples").scalar()
     return _split(lab, "test").select("id", R.user_prompt(F.col("sequence"), tz, tf, block)
                                            .alias("prompt"))
@@ -267,7 +274,7 @@ def messages(spark, d):
     system = R.load_prompt("regular", "system_prompt")
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
-    lab = _lab(spark, d)
+    lab = _shared_lab(spark, d)
     block = R.few_shot_block(_icl_examples(lab, MESSAGES_N)).select("examples").scalar()
     test = _split(lab, "test")
     m = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tf, block))
@@ -288,7 +295,7 @@ def chat_template(spark, d):
 @q
 def prompt_finetuned(spark, d):
     """D8 — tuned prompt with one example per class."""
-    lab = _lab(spark, d)
+    lab = _shared_lab(spark, d)
     block = R.tuned_block(_icl_examples(lab, TUNED_N)).select("examples").scalar()
     return _split(lab, "test").select(
         "id", R.tuned_prompt(F.col("sequence"), K.TUNED_SYSTEM_PROMPT, block).alias("prompt"))
@@ -352,7 +359,7 @@ def choice_prompt(spark, d):
 def join_responses(spark, d):
     """E2 — score offline replies: test rows left-join the stored replies
     (empty replies were never stored); missing -> Unknown."""
-    lab = _lab(spark, d)
+    lab = _shared_lab(spark, d)
     test = _split(lab, "test")
     stored = T.with_replies(lab, "resp").where(F.col("raw_response") != "") \
         .select(F.col("id").alias("_rid"), "raw_response")
@@ -444,7 +451,7 @@ def first_per_class(spark, d):
 
 @q
 def balanced_dataset(spark, d):
-    return G.balanced_dataset(_split(_lab(spark, d), "train").select("id", "label"), None, SEED) \
+    return G.balanced_dataset(_split(_shared_lab(spark, d), "train").select("id", "label"), None, SEED) \
         .select("id", "label", "class_rank", "dataset_pos")
 
 
@@ -623,23 +630,24 @@ def model_compare(spark, d):
 @q
 def mask_labels(spark, d):
     """J1/J2 — BOS + prompt ids + completion ids; labels masked on pad/image
-    ids and on the prompt positions. Tokens are exploded first, so each id
-    is one scalar expression on one row (no nested array lambdas)."""
+    ids and on the prompt positions. One array of (token, part) per row is
+    exploded once, so each id is one scalar expression on one row."""
     pc = _prompt_completion(_lab(spark, d))
     toks = lambda c: F.regexp_extract_all(F.col(c), F.lit(J.TOKEN_PATTERN), 0)
-    tid = lambda t: (F.pmod(F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("bigint"),
-                            F.lit(J.VOCAB)) + J.RESERVED).cast("bigint")
-    masked = lambda x: F.when(x.isin(J.PAD_ID, J.IMAGE_ID), F.lit(K.MASK_ID)).otherwise(x)
-    bos = pc.select("id", F.lit(0).cast("bigint").alias("pos"), F.lit(J.BOS_ID).cast("bigint").alias("input_id"),
-                    F.lit(K.MASK_ID).cast("bigint").alias("label"))
-    prompt = pc.select("id", F.posexplode(toks("prompt")).alias("i", "t")).select(
-        "id", (F.col("i") + 1).cast("bigint").alias("pos"), tid(F.col("t")).alias("input_id"),
-        F.lit(K.MASK_ID).cast("bigint").alias("label"))
-    comp = pc.select("id", F.size(toks("prompt")).alias("plen"),
-                     F.posexplode(toks("completion")).alias("i", "t")).select(
-        "id", (F.col("plen") + 1 + F.col("i")).cast("bigint").alias("pos"), tid(F.col("t")).alias("input_id"))
-    comp = comp.select("id", "pos", "input_id", masked(F.col("input_id")).cast("bigint").alias("label"))
-    return bos.unionByName(prompt).unionByName(comp)
+    item = lambda tok, part: F.struct(tok.alias("tok"), F.lit(part).alias("part"))
+    items = F.concat(F.array(item(F.lit(None).cast("string"), "bos")),
+                     F.transform(toks("prompt"), lambda t: item(t, "prompt")),
+                     F.transform(toks("completion"), lambda t: item(t, "completion")))
+    rows = pc.select("id", F.posexplode(items).alias("pos", "it"))
+    tid = (F.pmod(F.conv(F.substring(F.md5(F.col("it.tok")), 1, 6), 16, 10).cast("bigint"),
+                  F.lit(J.VOCAB)) + J.RESERVED)
+    input_id = F.when(F.col("it.part") == "bos", F.lit(J.BOS_ID)).otherwise(tid).cast("bigint")
+    out = rows.select("id", F.col("pos").cast("bigint").alias("pos"), input_id.alias("input_id"),
+                      F.col("it.part").alias("_part"))
+    label = (F.when(F.col("_part") != "completion", F.lit(K.MASK_ID))
+             .when(F.col("input_id").isin(J.PAD_ID, J.IMAGE_ID), F.lit(K.MASK_ID))
+             .otherwise(F.col("input_id")).cast("bigint"))
+    return out.select("id", "pos", "input_id", label.alias("label"))
 
 
 # keys that differ from the Python function names
