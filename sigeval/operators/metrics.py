@@ -62,11 +62,13 @@ def per_class_fixed(pred: DataFrame, label_col: str = "label", correct_col: str
 
 def per_class_observed(pred: DataFrame, label_col: str = "label",
                        correct_col: str = "correct") -> DataFrame:
-    """Per observed true label (sorted by label when ordered)."""
+    """Per observed true label, sorted by label (the sort runs on the
+    aggregated rows, one per label)."""
     return (pred.groupBy(label_col)
                 .agg(F.count_if(F.col(correct_col)).cast("bigint").alias("correct"),
                      F.count(F.lit(1)).cast("bigint").alias("total"))
-                .withColumn("accuracy", ratio(F.col("correct"), F.col("total"))))
+                .withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+                .orderBy(label_col))
 
 
 # ---------------------------------------------------------------- H4

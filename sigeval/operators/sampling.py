@@ -65,6 +65,20 @@ def shuffle(df: DataFrame, seed: int | str = 42, id_col: str = "id",
     return global_index(keyed, [SHUFFLE_KEY, id_col], out=pos_col)
 
 
+def with_row_id(df: DataFrame, id_col: str = "id", order: list[str] | None = None) -> DataFrame:
+    """B6 — row id fallback: the ``id`` column when present and set, else the
+    row's 0-based position (in ``order``, or read order), as a string."""
+    if order is None:
+        base = df.withColumn("_read_pos", F.monotonically_increasing_id())
+        order = ["_read_pos"]
+    else:
+        base = df
+    pos = global_index(base, order, out="_row_pos")
+    fallback = F.col("_row_pos").cast("string")
+    rid = F.coalesce(F.col(id_col).cast("string"), fallback) if id_col in df.columns else fallback
+    return pos.withColumn(id_col, rid).drop("_row_pos", "_read_pos")
+
+
 def sample_n(df: DataFrame, n: int, seed: int | str = 42, id_col: str = "id") -> DataFrame:
     """G4/G6 — seeded sample of at most ``n`` rows (a top-k on the seeded key)."""
     keyed = with_shuffle_key(df, seed, id_col)

@@ -70,3 +70,8 @@ def test_run_summary_map(spark):
     df = preds(spark, [("1", "Brady", True), ("2", "Normal", False)])
     r = one(M.run_summary(df, task=1, n_shots=0))
     assert r.per_class["Brady"].correct == 1 and r.per_class["Normal"].total == 1
+
+
+def test_observed_classes_sorted(spark):
+    df = preds(spark, [("1", "Tachy", True), ("2", "Brady", False), ("3", "Normal", True)])
+    assert [r.label for r in M.per_class_observed(df).collect()] == ["Brady", "Normal", "Tachy"]

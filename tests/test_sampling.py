@@ -94,3 +94,11 @@ def test_encode_hot_user_split_matches_plain(spark):
     plain = sorted(tuple(r) for r in encode_sequences(ev).collect())
     split = sorted(tuple(r) for r in encode_sequences(ev, num_splits=5, hot_rows=3).collect())
     assert plain == split and len(plain) == 32
+
+
+def test_row_id_fallback(spark):
+    df = spark.createDataFrame([("a", 3), (None, 1), ("c", 2)], "id string, k int")
+    got = sorted((r.k, r.id) for r in G.with_row_id(df, order=["k"]).collect())
+    assert got == [(1, "0"), (2, "c"), (3, "a")]
+    no_id = spark.createDataFrame([(5,), (4,)], "k int")
+    assert sorted(r.id for r in G.with_row_id(no_id, order=["k"]).collect()) == ["0", "1"]
