@@ -132,19 +132,25 @@ def run_summary(pred: DataFrame, label_col: str = "label", correct_col: str = "c
 def weighted_f1(pred: DataFrame, true_col: str = "label", pred_col: str = "pred") -> DataFrame:
     """Accuracy and F1 weighted by true support over the union of true and
     predicted labels (a label never predicted or never right scores 0).
-    The data is read once into a confusion table (at most labels^2 rows);
-    per-label support / tp / predicted counts come from that small table."""
+
+    The data is read once into a confusion table (one row per (true,
+    predicted) pair, combined map-side). Each cell then counts once for its
+    true label (support, hits) and once for its predicted label, through a
+    two-element explode and one grouped sum — no join."""
     conf = pred.groupBy(F.col(true_col).alias("y"), F.col(pred_col).alias("p")).agg(
         F.count(F.lit(1)).alias("c"))
-    by_true = conf.groupBy("y").agg(F.sum("c").alias("support"),
-                                    F.sum(F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
-    by_pred = conf.groupBy("p").agg(F.sum("c").alias("n_pred"))
-    lab = by_true.join(by_pred, by_true["y"] == by_pred["p"], "full_outer").select(
-        F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("n_pred", F.lit(0)).alias("n_pred"))
+    hit = F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    roles = F.array(
+        F.struct(F.col("y").alias("lab"), F.col("c").alias("support"), hit.cast("bigint").alias("tp"),
+                 zero.alias("n_pred")),
+        F.struct(F.col("p").alias("lab"), zero.alias("support"), zero.alias("tp"),
+                 F.col("c").alias("n_pred")))
+    per_label = (conf.select(F.inline(roles)).groupBy("lab")
+                     .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                          F.sum("n_pred").alias("n_pred")))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("n_pred")), F.lit(0.0))
-    return lab.agg(
+    return per_label.agg(
         F.coalesce(F.sum("support"), F.lit(0)).cast("bigint").alias("total"),
         F.coalesce(F.sum("tp"), F.lit(0)).cast("bigint").alias("correct"),
         F.sum(F.col("support") * f1).alias("_wf1"),
