@@ -25,8 +25,9 @@ OUTPUT_SCHEMA = "id string, raw_response string, error string"
 
 class RuleClient:
     """Local stand-in model: counts the peaks of the last ``Strip:``/
-    ``Sequence:`` line of the user message and answers with the JSON summary.
-    No network."""
+    ``Sequence:`` line of the user message and answers with the JSON summary
+    (or, when the prompt asks for concepts, a fenced concept JSON). No
+    network."""
 
     _line = re.compile(r"(?:Strip|Sequence|Sample): *([^\n]*)")
 
@@ -40,8 +41,12 @@ class RuleClient:
         total = narrow + wide
         label = (K.CLASSES[0] if total <= K.BRADY_MAX_PEAKS
                  else K.CLASSES[1] if total <= K.NORMAL_MAX_PEAKS else K.CLASSES[2])
-        out = (f'{{"Narrow_peaks": {narrow}, "Wide_peaks": {wide}, '
-               f'"Total_peaks": {total}, "Label": "{label}"}}')
+        if any(K.CBM_CLASS_KEY in m["content"] for m in messages):
+            out = (f'```json\n{{"{K.CBM_CONCEPTS_KEY}": {{"{K.CONCEPT_KEYS[0]}": {narrow}, '
+                   f'"{K.CONCEPT_KEYS[1]}": {wide}}}, "{K.CBM_CLASS_KEY}": "{label}"}}\n```')
+        else:
+            out = (f'{{"Narrow_peaks": {narrow}, "Wide_peaks": {wide}, '
+                   f'"Total_peaks": {total}, "Label": "{label}"}}')
         return out[: max_tokens * 4]
 
 

@@ -91,7 +91,8 @@ def test_templates_table(spark):
     from sigeval.operators.render import TEMPLATE_DIR
     t = io.read_templates(spark, str(TEMPLATE_DIR))
     got = {(r.task, r.approach, r.prompt_type) for r in t.collect()}
-    assert (1, "regular", "system_prompt") in got and len(got) == 3
+    assert (1, "regular", "system_prompt") in got and (1, "cbm", "user_prompt_few_shot") in got
+    assert len(got) == 6
 
 
 def test_image_folder(spark, tmp_dir):

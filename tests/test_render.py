@@ -59,5 +59,5 @@ def test_checks(spark):
     with pytest.raises(ValueError):
         R.check_approach("other")
     with pytest.raises(FileNotFoundError):
-        R.load_prompt("cbm", "system_prompt")
+        R.load_prompt("regular", "system_prompt", task=3)
     assert "{sequence}" in R.load_prompt("regular", "user_prompt_zero_shot")

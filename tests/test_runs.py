@@ -42,7 +42,7 @@ def test_evaluate_icl_zero_shot_and_checks(spark, built):
     pred, _ = runs.evaluate_icl(None, built["test"], RuleClient, n_shots=0)
     assert pred.where("correct").count() == pred.count()
     with pytest.raises(FileNotFoundError):
-        runs.evaluate_icl(None, built["test"], RuleClient, n_shots=0, approach="cbm")
+        runs.evaluate_icl(None, built["test"], RuleClient, n_shots=0, task=2)
     with pytest.raises(ValueError):
         runs.evaluate_icl(None, built["test"], RuleClient, task=5)
 
@@ -61,3 +61,10 @@ def test_training_records(spark, built):
     assert p.total_steps == (p.num_train_samples // 1) * 3 // 4
     r = pairs.orderBy("pos").collect()[0]
     assert r.prompt.endswith("<start_of_turn>model\n") and '"Label": ' in r.completion
+
+
+def test_evaluate_icl_concept_mode(spark, built):
+    pred, metrics = runs.evaluate_icl(built["icl"], built["test"], RuleClient, n_shots=1, approach="cbm")
+    rows = pred.collect()
+    assert rows and all(r.correct for r in rows)
+    assert all(r.raw_response.startswith("```json") for r in rows)
