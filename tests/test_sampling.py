@@ -102,3 +102,26 @@ def test_row_id_fallback(spark):
     assert got == [(1, "0"), (2, "c"), (3, "a")]
     no_id = spark.createDataFrame([(5,), (4,)], "k int")
     assert sorted(r.id for r in G.with_row_id(no_id, order=["k"]).collect()) == ["0", "1"]
+
+
+def test_encode_with_one_user_holding_a_third_of_events(spark):
+    """One user owns a third of the events (every third event is re-assigned
+    to user 0): the hot-key path splits that user across range partitions and
+    must still give exactly the plain window's sequences."""
+    from sigeval.operators.encode import encode_sequences
+    from sigeval.operators.ordering import row_number_by_key
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    skewed = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0))
+                           .otherwise(F.col("user_id") + 1))
+    hot_share = skewed.where("user_id = 0").count() / skewed.count()
+    assert 0.3 < hot_share < 0.36
+    plain = sorted(tuple(r) for r in encode_sequences(skewed, hot_rows=10**9).collect())
+    split = sorted(tuple(r) for r in encode_sequences(skewed, num_splits=8, hot_rows=500).collect())
+    assert plain == split and len(plain) > 100
+    sizes = skewed.groupBy("user_id").count()
+    hot = [r.user_id for r in sizes.where("count > 500").collect()]
+    assert hot == [0]
+    numbered = row_number_by_key(skewed.select("user_id", "ts", "event_id"), ["user_id"],
+                                 ["ts", "event_id"], num_splits=8, hot_rows=500)
+    rn = sorted(r.rn for r in numbered.where("user_id = 0").collect())
+    assert rn == list(range(len(rn)))
