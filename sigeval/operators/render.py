@@ -148,7 +148,8 @@ def explode_messages(df: DataFrame, keys: list[str], col: str = "messages") -> D
 @dataclass(frozen=True)
 class ChatTemplate:
     """Turn-based chat markup; all tokens are parameters. The defaults follow
-    the public Gemma turn format (assistant turns are called ``model``)."""
+    a common start-of-turn / end-of-turn markup (assistant turns are called
+    ``model``)."""
     bos: str = "<bos>"
     turn_open: str = "<start_of_turn>"
     turn_close: str = "<end_of_turn>\n"
@@ -172,7 +173,7 @@ class ChatTemplate:
         return F.concat(head, body, tail)
 
 
-GEMMA = ChatTemplate()
+TURN_TEMPLATE = ChatTemplate()
 
 
 def merge_system(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -199,7 +200,7 @@ def merge_system(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return rest.select(*cols).unionByName(merged.select(*cols)).unionByName(lone_sys.select(*cols))
 
 
-def chat_turn_pieces(conv: DataFrame, template: ChatTemplate = GEMMA,
+def chat_turn_pieces(conv: DataFrame, template: ChatTemplate = TURN_TEMPLATE,
                      add_generation_prompt: bool = True, conv_col: str = "conv_id",
                      turn_col: str = "turn", role_col: str = "role",
                      text_col: str = "text") -> DataFrame:
@@ -259,7 +260,7 @@ def tuned_block(examples: DataFrame, order=("shuffle_key", "id")) -> DataFrame:
 
 
 def tuned_prompt(sequence, system_text: str, block: Column | None = None,
-                 template: ChatTemplate = GEMMA) -> Column:
+                 template: ChatTemplate = TURN_TEMPLATE) -> Column:
     """D8 — one user turn through the chat template with generation header."""
     user = tuned_user_content(sequence, system_text, block)
     # a single turn is rendered directly (no higher-order function), so the

@@ -20,7 +20,7 @@ def test_append_turn(spark):
 def test_render_through_template(spark):
     df = spark.createDataFrame([([("user", "hi"), ("assistant", "yo")],)],
                                "m array<struct<role:string,content:string>>")
-    r = df.select(R.GEMMA.render(F.col("m"), add_generation_prompt=False).alias("t")).collect()[0]
+    r = df.select(R.TURN_TEMPLATE.render(F.col("m"), add_generation_prompt=False).alias("t")).collect()[0]
     assert r.t == "<bos><start_of_turn>user\nhi<end_of_turn>\n<start_of_turn>model\nyo<end_of_turn>\n"
 
 
