@@ -26,12 +26,42 @@ JSON_OPTIONS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"
 EMBEDDED_OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 
 
+def first_value_end(text) -> Column:
+    """0-based position where the first top-level JSON object or array of
+    ``text`` closes (-1 if it never does). One pass over the characters that
+    tracks nesting depth, string state and escapes, so braces inside strings
+    do not count."""
+    t = as_col(text)
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("in_str"),
+                    F.lit(False).alias("esc"), F.lit(-1).alias("end"))
+
+    def step(st, c):
+        done = st["end"] >= 0
+        opens = ~st["in_str"] & c.isin("{", "[")
+        closes = ~st["in_str"] & c.isin("}", "]")
+        depth = (F.when(done, st["depth"]).when(opens, st["depth"] + 1)
+                 .when(closes, st["depth"] - 1).otherwise(st["depth"]))
+        in_str = (F.when(done, st["in_str"])
+                  .when(st["in_str"], F.when(st["esc"], F.lit(True)).otherwise(c != '"'))
+                  .otherwise(c == '"'))
+        esc = F.when(done, F.lit(False)).otherwise(st["in_str"] & ~st["esc"] & (c == "\\"))
+        end = F.when(~done & closes & (st["depth"] == 1), st["i"]).otherwise(st["end"])
+        return F.struct((st["i"] + 1).alias("i"), depth.alias("depth"), in_str.alias("in_str"),
+                        esc.alias("esc"), end.alias("end"))
+
+    return F.aggregate(F.split(t, ""), zero, step, lambda st: st["end"])
+
+
 def json_object(text) -> Column:
     """``map<string,string>`` of a text that is exactly one JSON object; null
-    otherwise. Nested values come back as their JSON text."""
+    otherwise. Nested values come back as their JSON text. Spark's JSON
+    readers stop after the first value, so text after the object's closing
+    brace (``{..}{..}``, ``{..} x``) is rejected here explicitly, as
+    ``json.loads`` does."""
     t = strip(text)
-    whole = t.startswith("{") & t.endswith("}")
-    return F.when(whole, F.from_json(t, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS))
+    end = first_value_end(t)
+    single = t.startswith("{") & (end == F.length(t) - 1)
+    return F.when(single, F.from_json(t, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS))
 
 
 # ---------------------------------------------------------------- F1 keyword
