@@ -22,6 +22,7 @@ from ..operators import render as R
 from ..operators import sampling as G
 from ..operators.augment import augment_noise
 from ..operators.complete import RuleClient, complete_batch
+from ..operators.labels import range_labels
 from ..operators.ordering import pin, row_number_by_key
 from ..session import read_table
 from . import tables as T
@@ -183,9 +184,7 @@ def label_by_range(spark, d):
     """C7 — range join against the 6-row range table (broadcast; a row may
     match both regimes)."""
     lab = _lab(spark, d).select("id", "total_peaks")
-    rng = T.label_ranges(spark)
-    j = lab.join(F.broadcast(rng), lab["total_peaks"].between(rng["lo"], rng["hi"]), "inner")
-    return j.select("id", "total_peaks", "regime", "label")
+    return range_labels(lab, T.label_ranges(spark)).select("id", "total_peaks", "regime", "label")
 
 
 @q

@@ -94,3 +94,13 @@ def test_augment_keeps_peaks(spark):
         assert len(r.a) == len(r.sequence)
         assert r.a.count("|") == r.sequence.count("|") and r.a.count(":") == r.sequence.count(":")
         assert set(r.a) <= set("|:._~")
+
+
+def test_range_overlap(spark):
+    from sigeval.operators.labels import range_labels
+    from sigeval.plans.tables import label_ranges
+    df = spark.createDataFrame([(p,) for p in (5, 9, 15, 20, 1)], "total_peaks bigint")
+    got = {}
+    for r in range_labels(df, label_ranges(spark)).collect():
+        got.setdefault(r.total_peaks, set()).add(r.regime)
+    assert got == {5: {"in", "ood"}, 9: {"in", "ood"}, 15: {"in", "ood"}, 20: {"ood"}}
