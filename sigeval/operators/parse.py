@@ -1,10 +1,13 @@
 """F — reply parsing as column expressions (no Python workers).
 
-JSON leniency: Spark's ``from_json`` accepts things Python's ``json.loads``
-rejects (trailing text, single quotes). The parsers therefore parse into
-``map<string,string>`` with single quotes off and only accept text that is a
-whole object (``{`` ... ``}`` after stripping). ``strict_json_valid`` is an
-optional Arrow-batched Python check with ``json.loads`` semantics.
+JSON strictness: Spark's JSON readers stop after the first value and would
+accept ``{..}{..}`` or ``{..} trailing``, which Python's ``json.loads``
+rejects. :func:`json_object` therefore finds where the first top-level value
+closes with a one-pass character scan (strings and escapes respected) and
+only parses text that ends there; single quotes and unquoted names are off.
+Checked against a plain-Python statement of the rules on generated replies
+(``tests/test_parse_property.py``). ``strict_json_valid`` is an optional
+Arrow-batched ``json.loads`` check.
 """
 
 from __future__ import annotations
