@@ -11,7 +11,9 @@ before parsing so that no later action calls the model again.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,27 +54,45 @@ class RuleClient:
 
 def complete_batch(df: DataFrame, client_factory: Callable[[], object], id_col: str = "id",
                    messages_col: str = "messages", max_tokens: int = 500,
-                   fail_fast: bool = False, num_slots: int | None = None) -> DataFrame:
-    """(id, messages ARRAY<STRUCT<role, content>>) -> (id, raw_response, error)."""
+                   fail_fast: bool = False, num_slots: int | None = None,
+                   threads_per_task: int = 1, retries: int = 0,
+                   retry_wait_s: float = 0.5) -> DataFrame:
+    """(id, messages ARRAY<STRUCT<role, content>>) -> (id, raw_response, error).
+
+    ``threads_per_task`` sends that many requests at once from each task (calls
+    are I/O-bound; results keep row order); ``retries`` re-sends a failed
+    request with a growing wait before the error is recorded. Total
+    concurrency is tasks x threads, bounded by ``num_slots`` when given."""
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(messages_col).alias("messages"))
     if num_slots:
         src = src.repartition(int(num_slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
-        for pdf in batches:
-            replies, errors = [], []
-            for msgs in pdf["messages"]:
-                conv = [{"role": m["role"], "content": m["content"]} for m in msgs]
+
+        def call(msgs):
+            conv = [{"role": m["role"], "content": m["content"]} for m in msgs]
+            for attempt in range(retries + 1):
                 try:
-                    replies.append(str(client.predict(conv, max_tokens=max_tokens)).strip())
-                    errors.append(None)
+                    return str(client.predict(conv, max_tokens=max_tokens)).strip(), None
                 except Exception as exc:  # noqa: BLE001 - recorded per row
+                    if attempt < retries:
+                        time.sleep(retry_wait_s * (2 ** attempt))
+                        continue
                     if fail_fast:
                         raise
-                    replies.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"id": pdf["id"], "raw_response": replies, "error": errors})
+                    return None, f"{type(exc).__name__}: {exc}"
+
+        pool = ThreadPoolExecutor(threads_per_task) if threads_per_task > 1 else None
+        try:
+            for pdf in batches:
+                msgs = list(pdf["messages"])
+                out = list(pool.map(call, msgs)) if pool else [call(m) for m in msgs]
+                yield pd.DataFrame({"id": pdf["id"], "raw_response": [o[0] for o in out],
+                                    "error": [o[1] for o in out]})
+        finally:
+            if pool:
+                pool.shutdown(wait=True)
 
     return src.mapInPandas(run, OUTPUT_SCHEMA)
 

@@ -81,7 +81,8 @@ def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *,
                  n_shots: int = 4, approach: str = "regular", ood: bool = False,
                  model_name: str = "local-model", seed: int = 42, prompts_dir: str | None = None,
                  out_dir: str | None = None, run_ts: str | None = None,
-                 num_slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 num_slots: int | None = None, threads_per_task: int = 1,
+                 retries: int = 0) -> tuple[DataFrame, DataFrame]:
     """Few-shot evaluation: ``n_shots`` examples per class, one message list
     per test row, batch completion, parsing, scoring. Returns
     ``(predictions, metrics_long)``; writes them under ``out_dir`` partitioned
@@ -100,7 +101,8 @@ def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *,
         block = R.few_shot_block(ex, approach).select("examples").scalar()
     msgs = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), zero, few, block))
                        .alias("messages"))
-    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots))
+    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots,
+                                                 threads_per_task=threads_per_task, retries=retries))
     rows = test.select("id", "sequence", F.col("label").alias("true_class")).join(replies, "id", "left")
     parsed = (P.parse_keyword("raw_response") if approach == "regular"
               else P.parse_fenced_json("raw_response"))
@@ -122,7 +124,8 @@ def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *,
 # ---------------------------------------------------------------- tuned evaluation
 def evaluate_tuned(test: DataFrame, client_factory, *, system_prompt: str = K.TUNED_SYSTEM_PROMPT,
                    examples: DataFrame | None = None, n_shots: int = 0, max_samples: int | None = None,
-                   seed: int = 42, num_slots: int | None = None, **meta) -> tuple[DataFrame, DataFrame]:
+                   seed: int = 42, num_slots: int | None = None, threads_per_task: int = 1,
+                   retries: int = 0, **meta) -> tuple[DataFrame, DataFrame]:
     """Tuned-model evaluation: ``system\\n\\nSequence: s`` prompts (optionally
     with numbered example pairs), embedded-JSON parsing, tuned-form scoring.
     Returns ``(predictions, summary)``."""
@@ -133,7 +136,8 @@ def evaluate_tuned(test: DataFrame, client_factory, *, system_prompt: str = K.TU
     user = R.tuned_user_content(F.col("sequence"), system_prompt, block)
     msgs = rows.select("id", F.array(F.struct(F.lit("user").alias("role"), user.alias("content")))
                        .alias("messages"))
-    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots))
+    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots,
+                                                 threads_per_task=threads_per_task, retries=retries))
     j = rows.select("id", "sequence", F.col("label").alias("true_label")).join(replies, "id", "left")
     pred = P.parse_embedded_json("raw_response")
     predictions = j.select("id", "sequence", "true_label", pred.alias("pred_label"),

@@ -44,3 +44,29 @@ def test_streaming_scoring(spark, tmp_dir):
     q.awaitTermination(120)
     got = {r.label: (r.correct, r.total) for r in spark.table("scores_t").collect()}
     assert got == {"Brady": (1, 1), "Tachy": (0, 2)}
+
+
+def test_complete_batch_retries_and_threads(spark):
+    class _Flaky(RuleClient):
+        """Fails the first call for every prompt, then answers."""
+
+        def __init__(self):
+            self.seen = set()
+
+        def predict(self, messages, max_tokens=500):
+            key = messages[-1]["content"]
+            if key not in self.seen:
+                self.seen.add(key)
+                raise TimeoutError("first call times out")
+            return super().predict(messages, max_tokens)
+
+    rows = [(str(i), "Strip: " + "|" * i + "..") for i in range(1, 16)]
+    df = _msgs(spark, rows)
+    plain = {r.id: r.raw_response for r in complete_batch(df, RuleClient).collect()}
+    threaded = {r.id: r.raw_response for r in complete_batch(df, RuleClient, threads_per_task=4).collect()}
+    assert threaded == plain
+    no_retry = complete_batch(df, _Flaky).collect()
+    assert all(r.error and "TimeoutError" in r.error for r in no_retry)
+    retried = {r.id: (r.raw_response, r.error)
+               for r in complete_batch(df, _Flaky, retries=1, retry_wait_s=0.01, threads_per_task=3).collect()}
+    assert {k: v[0] for k, v in retried.items()} == plain and all(v[1] is None for v in retried.values())
