@@ -22,6 +22,7 @@ from .operators import render as R
 from .operators import sampling as G
 from .operators.complete import complete_batch, persist_completions
 from .operators.encode import encode_sequences
+from .operators.ordering import pin
 from .plans.tables import split_of
 from .sources import io
 
@@ -47,7 +48,8 @@ def build_datasets(events: DataFrame, out_dir: str | None = None, seed: int = 42
     """events -> labelled splits (train balanced per class, icl, test, shifted
     test), chat training records and a manifest; written under ``out_dir``
     (metadata CSVs, chat JSONL, manifest JSON) when given."""
-    lab = label_sequences(encode_sequences(events))
+    # read by five branches below: written once to the shared checkpoint folder
+    lab = pin(label_sequences(encode_sequences(events)))
     train = G.balanced_dataset(lab.where(F.col("split") == "train"), n_train_per_class, seed)
     icl = lab.where(F.col("split") == "icl")
     test = lab.where(F.col("split") == "test")
