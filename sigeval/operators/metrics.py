@@ -239,6 +239,16 @@ def token_share(df: DataFrame, prompt_col: str = "prompt", completion_col: str =
                                   F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
+def token_share_total(rows: DataFrame) -> DataFrame:
+    """Overall prompt / completion token totals and completion share (%),
+    from the per-row counts of :func:`token_share` (one aggregate)."""
+    return rows.agg(F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
+                    F.sum("completion_tokens").cast("bigint").alias("completion_tokens")).select(
+        "prompt_tokens", "completion_tokens",
+        ratio(F.col("completion_tokens") * 100, F.col("prompt_tokens") + F.col("completion_tokens"))
+        .alias("completion_share"))
+
+
 def step_budget(n_rows: Column, batch: int, accum: int, epochs: int, warmup_ratio: float) -> list[Column]:
     """Optimizer steps and warm-up steps from a row count (integer arithmetic)."""
     steps = F.floor(F.floor(n_rows / batch) * epochs / accum).cast("bigint")

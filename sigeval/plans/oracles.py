@@ -155,6 +155,7 @@ def reply(style, s, label):
     payload = cat("'{\"conceptos\": {\"C1_picos_estrechos\": '", f"CAST({cnt(s, '|')} AS VARCHAR)",
                   "', \"C2_picos_anchos\": '", f"CAST({cnt(s, ':')} AS VARCHAR)",
                   "'}, \"fc_clase\": \"'", label, "'\"}'")
+    broken = cat(lit('{"Narrow_peaks": '), f"CAST({cnt(s, '|')} AS VARCHAR)", lit(', "Label": '))
     return (f"CASE {style} "
             f"WHEN 0 THEN {tjson(s, label)} "
             f"WHEN 1 THEN {cat(lit('Counting the peaks first.'), NL, lit('```json'), NL, payload, NL, lit('```'))} "
@@ -162,7 +163,7 @@ def reply(style, s, label):
             f"WHEN 3 THEN {cat(lit('This strip looks '), f'lower({label})', lit(' to me.'))} "
             f"WHEN 4 THEN {tjson(s, nxt(label))} "
             f"WHEN 5 THEN {cat(lit('Either '), label, lit(' or '), nxt(label), lit('.'))} "
-            f"WHEN 6 THEN {cat(lit(chr(123) + chr(34) + 'Narrow_peaks' + chr(34) + ': '), f'CAST({cnt(s, chr(124))} AS VARCHAR)', lit(', ' + chr(34) + 'Label' + chr(34) + ': '))} "
+            f"WHEN 6 THEN {broken} "
             f"ELSE '' END")
 
 

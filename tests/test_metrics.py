@@ -75,3 +75,9 @@ def test_run_summary_map(spark):
 def test_observed_classes_sorted(spark):
     df = preds(spark, [("1", "Tachy", True), ("2", "Brady", False), ("3", "Normal", True)])
     assert [r.label for r in M.per_class_observed(df).collect()] == ["Brady", "Normal", "Tachy"]
+
+
+def test_token_share_total(spark):
+    rows = M.token_share(spark.createDataFrame([("a b c", "d"), ("e", "f g h")], "prompt string, completion string"))
+    r = one(M.token_share_total(rows))
+    assert (r.prompt_tokens, r.completion_tokens, r.completion_share) == (4, 4, 50.0)
