@@ -70,3 +70,20 @@ def test_complete_batch_retries_and_threads(spark):
     retried = {r.id: (r.raw_response, r.error)
                for r in complete_batch(df, _Flaky, retries=1, retry_wait_s=0.01, threads_per_task=3).collect()}
     assert {k: v[0] for k, v in retried.items()} == plain and all(v[1] is None for v in retried.values())
+
+
+def test_streaming_scoring_resumes_from_checkpoint(spark, tmp_dir):
+    """A restarted stream continues from its checkpoint: counters from the
+    first run are kept and only the new reply file is read."""
+    reply_dir = os.path.join(tmp_dir, "replies2")
+    truth = spark.createDataFrame([(str(i), "Brady") for i in range(6)], "id string, label string")
+    spark.createDataFrame([("0", "brady"), ("1", "tachy")], S.REPLY_SCHEMA) \
+        .write.parquet(os.path.join(reply_dir, "b0"))
+    q = S.start_scoring(spark, os.path.join(reply_dir, "*"), truth, "scores_resume")
+    q.awaitTermination(120)
+    assert [(r.correct, r.total) for r in spark.table("scores_resume").collect()] == [(1, 2)]
+    spark.createDataFrame([("2", "Brady"), ("3", "b r a d y"), ("4", "BRADY!")], S.REPLY_SCHEMA) \
+        .write.parquet(os.path.join(reply_dir, "b1"))
+    q = S.start_scoring(spark, os.path.join(reply_dir, "*"), truth, "scores_resume")
+    q.awaitTermination(120)
+    assert [(r.correct, r.total) for r in spark.table("scores_resume").collect()] == [(3, 5)]
