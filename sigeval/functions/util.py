@@ -28,8 +28,3 @@ def json_string(c) -> Column:
 
 def json_bool(c) -> Column:
     return F.when(as_col(c), F.lit("true")).otherwise(F.lit("false"))
-
-
-def json_number(c) -> Column:
-    """Numbers as Python ``json.dumps`` writes them for ints and plain doubles."""
-    return as_col(c).cast("string")
