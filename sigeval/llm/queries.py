@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import licenses, packing, quality, secrets, token_output
+from . import licenses, lm_score, packing, quality, secrets, token_output
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,6 +23,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
