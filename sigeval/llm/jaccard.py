@@ -14,7 +14,8 @@ Steps:
 
 1. Frequent shingles: counted per block of documents where they repeat, summed,
    the top ``FREQUENT`` kept. This only orders the sets; any order is exact.
-2. Equal sets collapse to their smallest row; the rest works on these.
+2. Equal sets collapse to one; the rest works on the distinct sets, which a
+   128-bit digest of their shingles names.
 3. Prefix postings are joined with the first (smallest) document of each
    shingle. A pair with enough shared prefix shingles is verified. This links
    groups of near copies to a leader without forming their pairs.
@@ -45,10 +46,10 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, record_batch, slices
+from .common import materialize, record_batch, slices, text_or_empty
 
 FREQUENT = 1 << 17        # frequent shingles that the order knows
 BLOCK_BYTES = 8 << 20     # text within which repeats are looked for
@@ -111,9 +112,9 @@ def choose_matches(frequencies: np.ndarray, base: int) -> int:
     return best
 
 
-SETS = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("m", pa.int32()),
+SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("n", pa.int64()), ("m", pa.int32()),
                   ("mark", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-_SETS = "_row long, doc_id long, n long, m int, mark binary, prefix array<long>"
+_SETS = "doc_id long, k binary, n long, m int, mark binary, prefix array<long>"
 
 
 def _prefixes(frequent, words: int, percent: int):
@@ -134,18 +135,18 @@ def _prefixes(frequent, words: int, percent: int):
                 matches.append(m)
                 marks.append(xxhash.xxh3_128_digest(s.tobytes()) if len(h) else None)
                 prefixes.append(h[order[:base + m - 1]] if len(h) else h)
-            yield record_batch(SETS, {"_row": b.column("_row"), "doc_id": b.column("doc_id"), "n": sizes, "m": matches,
+            yield record_batch(SETS, {"doc_id": b.column("doc_id"), "k": b.column("k"), "n": sizes, "m": matches,
                                       "mark": marks, "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough; ``sets`` has
-    ``_row, shingles`` (hashes as bytes) for every row in ``pairs``."""
+    ``mark, shingles`` (hashes as bytes) for every mark in ``pairs``."""
     both = (pairs.select("a", "b")
-            .join(sets.select(F.col("_row").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("_row").alias("a"), F.col("shingles").alias("sa")), "a"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            .join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("sa")), "a"))
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,11 +158,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield record_batch(out, {c: batch.column(c).filter(keep) for c in out.names})
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(v, c)``: smallest row that each row of ``links`` reaches."""
+    """``(v, c)``: the smallest mark that each mark of ``links`` reaches."""
     edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = materialize(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
     while True:
@@ -178,35 +179,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` (bigint), ``text`` (null: empty), and a key that
+    any scan gives alike: ``d`` (the id, null as the smallest bigint) and ``k``
+    (the text's digest)."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
+                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"),
+                       F.unhex(F.md5(text.cast("binary"))).alias("k"))
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """``_row, doc_id, n_shingles, component_id, first`` per row of ``docs``:
-    ``first`` marks one row of each component, of smallest id and row. ``docs``
-    has ``_row, doc_id, text`` (see :func:`~sigeval.llm.common.keyed`)."""
+    """``doc_id, d, k, n_shingles, component_id`` per row of ``docs``, and the
+    key ``(keep_d, keep_k)`` of the document that stands for its component (of
+    smallest id; its own key where the set is empty)."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_frequent(docs, words, frequent))
-    sets = materialize(docs.select("_row", "doc_id", "text").mapInArrow(_prefixes(known, words, percent), _SETS), "sets")
+    source = identified(docs)
+    known = spark.sparkContext.broadcast(_frequent(source, words, frequent))
+    sets = materialize(source.select("doc_id", "k", "text").mapInArrow(_prefixes(known, words, percent), _SETS), "sets")
+    sets = sets.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
 
     # equal sets: one stands for all
-    equal = sets.where(F.col("mark").isNotNull()).groupBy("mark").agg(
-        F.min("_row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    equal = materialize(equal, "equal-sets")
-    reps = sets.join(equal.select(F.col("rep").alias("_row")), "_row", "left_semi")
-    posts = materialize(reps.select(F.col("_row").alias("r"), "n", "m", F.explode("prefix").alias("h")), "postings")
+    whole = sets.where(F.col("mark").isNotNull())
+    equal = materialize(whole.groupBy("mark").agg(F.min("doc_id").alias("least"),
+                                                  F.min(F.struct(F.col("doc_id").isNull().alias("o"), "d", "k")).alias("lead")),
+                        "equal-sets")
+    reps = whole.join(equal.select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")), ["mark", "d", "k"],
+                      "left_semi").select("mark", "n", "m", "prefix").dropDuplicates(["mark"])
+    posts = materialize(reps.select(F.col("mark").alias("r"), "n", "m", F.explode("prefix").alias("h")), "postings")
     heads = (posts.groupBy("h").agg(F.min(F.struct("n", F.col("r").alias("a"), "m")).alias("head"),
                                     F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "head.*")
              .withColumnsRenamed({"n": "na", "m": "ma"}))
     shared = materialize(posts.join(heads, "h"), "shared-postings")      # only shingles of several documents
 
     def fits(a: str, b: str):
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     stars = (shared.where((F.col("r") != F.col("a")) & fits("n", "na"))
              .groupBy("a", F.col("r").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("m", "ma")).alias("m"))
              .where("k >= m").select("a", "b"))
     stars = materialize(stars, "star-pairs")
-    wanted = shared.select(F.col("r").alias("_row")).distinct()
-    texts = docs.join(wanted, "_row", "left_semi").select("_row", "text")
-    held = materialize(texts.mapInArrow(_shingle_bytes(words), "_row long, shingles binary"), "shingles")
+    wanted = (equal.join(shared.select(F.col("r").alias("mark")).distinct(), "mark", "left_semi")
+              .select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")))
+    texts = source.select("d", "k", "text").join(wanted, ["d", "k"]).select("mark", "text")
+    held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary")
+                       .dropDuplicates(["mark"]), "shingles")
     links = materialize(verified(stars, held, percent), "star-links")
 
     # postings whose documents are not all connected yet
@@ -222,35 +239,50 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     left = placed.select("h", F.col("c").alias("ca"), F.col("r").alias("ra"), F.col("n").alias("na"), F.col("m").alias("ma"))
     right = placed.select("h", F.col("c").alias("cb"), F.col("r").alias("rb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
     pairs = (across.join(left, ["h", "ca"]).join(right, ["h", "cb"]).where(fits("na", "nb"))
-             .groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
              .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m")
-             .select(F.col("x").alias("a"), F.col("y").alias("b")))
+             .select("a", "b"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(verified(pairs, held, percent), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else parts
 
-    names = (equal.join(final, F.col("rep") == F.col("v"), "left")
-             .select("mark", F.coalesce("c", "rep").alias("c"), "least", "rep"))
-    ids = names.groupBy("c").agg(F.min("least").alias("component_id"),
-                                 F.min(F.struct(F.col("least").isNull(), "least", "rep")).alias("lead"))
-    named = names.join(ids, "c").select("mark", "component_id", F.col("lead.rep").alias("keeper"), "least")
-    return (sets.select("_row", "doc_id", F.col("n").alias("n_shingles"), "mark").join(named, "mark", "left")
-            .select("_row", "doc_id", "n_shingles",
-                    F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    (F.col("mark").isNull() | (F.col("_row") == F.col("keeper"))).alias("first")))
+    names = equal.join(final, F.col("mark") == F.col("v"), "left").select("mark", F.coalesce("c", "mark").alias("c"),
+                                                                            "least", "lead")
+    ids = names.groupBy("c").agg(F.min("least").alias("component_id"), F.min("lead").alias("lead"))
+    named = names.select("mark", "c").join(ids, "c").select("mark", "component_id", "lead")
+    empty = F.col("mark").isNull()
+    return (sets.select("doc_id", "d", "k", F.col("n").alias("n_shingles"), "mark").join(named, "mark", "left")
+            .select("doc_id", "d", "k", "n_shingles",
+                    F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    F.when(empty, F.col("d")).otherwise(F.col("lead.d")).alias("keep_d"),
+                    F.when(empty, F.col("k")).otherwise(F.col("lead.k")).alias("keep_k")))
 
 
 def _shingle_bytes(words: int):
-    schema = pa.schema([("_row", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("mark", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text").to_pylist(), words)
-            yield record_batch(schema, {"_row": b.column("_row"), "shingles": [s.tobytes() for s in sets]})
+            yield record_batch(schema, {"mark": b.column("mark"), "shingles": [s.tobytes() for s in sets]})
     return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    return join(keyed(docs), words, percent).select("doc_id", "n_shingles", "component_id")
+    return join(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps one document
+    (of smallest id, one row of it); documents without words all stay."""
+    found = join(docs, words, percent)
+    keepers = (found.where((F.col("d") == F.col("keep_d")) & (F.col("k") == F.col("keep_k")))
+               .groupBy("d", "k").agg(F.max("n_shingles").alias("_n")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"),
+                       F.unhex(F.md5(text_or_empty().cast("binary"))).alias("k"))
+    once = Window.partitionBy("d", "k").orderBy(F.lit(0))
+    return (rows.join(keepers, ["d", "k"]).withColumn("_nth", F.row_number().over(once))
+            .where((F.col("_nth") == 1) | (F.col("_n") == 0)).select("_row.*"))
