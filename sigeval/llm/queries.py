@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import jaccard, licenses, lm_score, packing, quality, secrets, token_output
+from . import fixity, hnsw, jaccard, licenses, lm_score, mixing, packing, quality, secrets, token_output
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -55,3 +57,30 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"),
                         public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(table, table.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which one byte of some
+    records' first line has changed."""
+    spoiled = F.expr("concat(substr(record, 1, page_id % 8), '#', substr(record, page_id % 8 + 2))")
+    return fixity.audit_damage(read_table(spark, sf_dir, "pages"), F.col("page_id") % 97 == 13, spoiled)
+
+
+ORACLES["op10_fixity"] = fixity.oracle()
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
