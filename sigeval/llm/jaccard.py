@@ -16,14 +16,14 @@ Steps:
    the top ``FREQUENT`` kept. This only orders the sets; any order is exact.
 2. Equal sets collapse to one; the rest works on the distinct sets, which a
    128-bit digest of their shingles names.
-3. Prefix postings are joined with the first (smallest) document of each
-   shingle. A pair with enough shared prefix shingles is verified. This links
+3. Prefix postings are joined with one leading document per shingle. A pair with enough shared prefix shingles is verified. This links
    groups of near copies to a leader without forming their pairs.
 4. Linked documents are connected. Only where a shingle's postings still hold
-   different components can an untested link matter: there, all pairs of
-   members of *different* components are counted, filtered by the documents'
-   ``m`` and sizes, and verified. No link between components is lost, and none
-   is formed inside one.
+   different components can an untested link matter: there, pairs of members of
+   *different* components are counted, filtered by sizes, by the bound on their
+   overlap and by the documents' ``m``, and verified. Postings that no partner's
+   size can match are dropped before pairs are formed. No link between
+   components is lost, and none is formed inside one.
 5. The links of 3 and 4 are connected again.
 
 Verification intersects whole sets exactly (shingles are 64-bit hashes); only
@@ -206,18 +206,29 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
                         "equal-sets")
     reps = whole.join(equal.select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")), ["mark", "d", "k"],
                       "left_semi").select("mark", "n", "m", "prefix").dropDuplicates(["mark"])
-    posts = materialize(reps.select(F.col("mark").alias("r"), "n", "m", F.explode("prefix").alias("h")), "postings")
-    heads = (posts.groupBy("h").agg(F.min(F.struct("n", F.col("r").alias("a"), "m")).alias("head"),
-                                    F.count(F.lit(1)).alias("df")).where("df > 1").select("h", "head.*")
-             .withColumnsRenamed({"n": "na", "m": "ma"}))
-    shared = materialize(posts.join(heads, "h"), "shared-postings")      # only shingles of several documents
-
-    def fits(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    stars = (shared.where((F.col("r") != F.col("a")) & fits("n", "na"))
-             .groupBy("a", F.col("r").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("m", "ma")).alias("m"))
-             .where("k >= m").select("a", "b"))
+    posts = materialize(reps.select(F.col("mark").alias("r"), "n", "m", F.posexplode("prefix").alias("at", "h")), "postings")
+    several = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    # only shingles of several documents. What precedes a posting in its prefix
+    # and is in no other prefix is in no partner either, since a partner with
+    # this shingle in its prefix would have had it there too: ``cap`` bounds the
+    # overlap with any partner met here
+    ranked = F.row_number().over(Window.partitionBy("r").orderBy("at")) - 1
+    shared = materialize(posts.join(several, "h").withColumn("cap", F.col("n") - (F.col("at") - ranked)),
+                         "shared-postings")
+    # a posting is led by the document that has least of its own before it: the
+    # original rather than a copy
+    heads = (shared.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("cap")).alias("own"), "n", F.col("r").alias("a"), "m",
+                                                    "cap", "at")).alias("head"))
+             .select("h", "head.a", F.col("head.n").alias("na"), F.col("head.m").alias("ma"), F.col("head.cap").alias("cap_a"),
+                     F.col("head.at").alias("at_a")))
+
+    def fits(a: str, b: str, cap_a: str | None = None, cap_b: str | None = None):
+        near = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+        return near if cap_a is None else near & (
+            (100 + percent) * F.least(cap_a, cap_b) >= percent * (F.col(a) + F.col(b)))
+
+    stars = (shared.join(heads, "h").where((F.col("r") != F.col("a")) & fits("n", "na", "cap", "cap_a"))
+             .groupBy("a", F.col("r").alias("b")).agg(F.min(F.least("m", "ma")).alias("m")).select("a", "b"))
     stars = materialize(stars, "star-pairs")
     wanted = (equal.join(shared.select(F.col("r").alias("mark")).distinct(), "mark", "left_semi")
               .select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")))
@@ -228,20 +239,36 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
 
     # postings whose documents are not all connected yet
     parts = components(links)
-    placed = (shared.select("h", "r", "n", "m")
+    placed = (shared.select("h", "r", "n", "m", "cap", "at")
               .join(parts.select(F.col("v").alias("r"), "c"), "r", "left")
               .withColumn("c", F.coalesce("c", "r")))
-    split = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-    placed = materialize(placed.join(split, "h", "left_semi"), "open-postings")
-    groups = placed.select("h", "c").distinct()
-    across = (groups.select("h", F.col("c").alias("ca"))
-              .join(groups.select("h", F.col("c").alias("cb")), "h").where("ca < cb"))
-    left = placed.select("h", F.col("c").alias("ca"), F.col("r").alias("ra"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    right = placed.select("h", F.col("c").alias("cb"), F.col("r").alias("rb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    pairs = (across.join(left, ["h", "ca"]).join(right, ["h", "cb"]).where(fits("na", "nb"))
-             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-             .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("m")).where("k >= m")
-             .select("a", "b"))
+    # sizes that a posting's partners may have, judged by the best cap of each
+    sizes = placed.groupBy("h", "n").agg(F.max("cap").alias("best"), F.min("c").alias("low"), F.max("c").alias("high"))
+    facing = (sizes.select("h", F.col("n").alias("na"), F.col("best").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"))
+              .join(sizes.select("h", F.col("n").alias("nb"), F.col("best").alias("bb"), F.col("low").alias("lb"),
+                                 F.col("high").alias("hb")), "h")
+              # of all the documents of both sizes, some must be in different components
+              .where(fits("na", "nb", "ba", "bb") & (F.least("la", "lb") < F.greatest("ha", "hb")))
+              .select("h", F.col("na").alias("n"), F.col("nb").alias("n2"), F.col("bb").alias("best2")))
+    placed = materialize(placed.join(facing, ["h", "n"]).where(fits("n", "n2", "cap", "best2"))
+                         .select("h", "n", "n2", "r", "m", "cap", "at", "c"), "open-postings")
+    groups = placed.select("h", "n", "n2", "c").distinct()
+    across = (groups.select("h", F.col("n").alias("na"), F.col("n2").alias("nb"), F.col("c").alias("ca"))
+              .join(groups.select("h", F.col("n2").alias("na"), F.col("n").alias("nb"), F.col("c").alias("cb")), ["h", "na", "nb"])
+              .where("ca < cb"))
+    left = placed.select("h", F.col("n").alias("na"), F.col("n2").alias("nb"), F.col("c").alias("ca"), F.col("r").alias("ra"),
+                         F.col("m").alias("ma"), F.col("cap").alias("cap_a"), F.col("at").alias("at_a"))
+    right = placed.select("h", F.col("n2").alias("na"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("r").alias("rb"),
+                          F.col("m").alias("mb"), F.col("cap").alias("cap_b"), F.col("at").alias("at_b"))
+    # the overlap is at most what the prefixes share and what follows the last of it
+    after = F.least(F.max(F.col("na")) - F.max("at_a"), F.max(F.col("nb")) - F.max("at_b")) - 1
+    pairs = (across.join(left, ["h", "na", "nb", "ca"]).join(right, ["h", "na", "nb", "cb"])
+             .where(fits("na", "nb", "cap_a", "cap_b"))
+             .groupBy("ra", "rb")
+             .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("m"), after.alias("after"),
+                  F.max(F.col("na") + F.col("nb")).alias("both"))
+             .where((F.col("k") >= F.col("m")) & ((100 + percent) * (F.col("k") + F.col("after")) >= percent * F.col("both")))
+             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(verified(pairs, held, percent), "cross-links")
