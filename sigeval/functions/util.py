@@ -11,7 +11,7 @@ def as_col(c) -> Column:
 def strip(c) -> Column:
     """Python ``str.strip()``: trims all leading/trailing whitespace, including
     newlines and tabs (``trim`` only removes spaces)."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def json_string(c) -> Column:

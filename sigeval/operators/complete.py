@@ -49,7 +49,7 @@ class RuleClient:
         else:
             out = (f'{{"Narrow_peaks": {narrow}, "Wide_peaks": {wide}, '
                    f'"Total_peaks": {total}, "Label": "{label}"}}')
-        return out[: max_tokens * 4]
+        return out
 
 
 def complete_batch(df: DataFrame, client_factory: Callable[[], object], id_col: str = "id",
@@ -71,9 +71,9 @@ def complete_batch(df: DataFrame, client_factory: Callable[[], object], id_col:
         client = client_factory()
 
         def call(msgs):
-            conv = [{"role": m["role"], "content": m["content"]} for m in msgs]
             for attempt in range(retries + 1):
                 try:
+                    conv = [{"role": m["role"], "content": m["content"]} for m in msgs]
                     return str(client.predict(conv, max_tokens=max_tokens)).strip(), None
                 except Exception as exc:  # noqa: BLE001 - recorded per row
                     if attempt < retries:

@@ -1,45 +1,29 @@
-"""Skew-safe row numbering.
+"""Skew-safe row numbering in one lazy plan.
 
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends every row of a key
-to one task. When one key holds a large share of the table (one user with a
-third of all events, one class, one split), that task becomes the whole job.
-The operators below number rows with the same result but split hot keys
-(keys above a row threshold; the others keep the plain window):
-
-1. ``repartitionByRange(key, order...)`` — Spark samples the data and cuts it
-   into ranges of similar size, so a hot key spans many range partitions and
-   each partition holds a contiguous, ordered slice of a key.
-2. Rows are numbered inside ``(key, range partition)`` — a window whose groups
-   are bounded by the partition size.
-3. A small table of counts per ``(key, range partition)`` gives each slice the
-   number of rows of the same key in earlier slices (a running sum per key over
-   at most #partitions rows); adding it turns local numbers into global ones.
-
-Range bounds come from sampling, and Spark seeds that sample per RDD, so two
-plan branches that each range-partition the same rows may cut them
-differently. The split is therefore pinned once: the range-partitioned rows
-(with their partition id) are checkpointed to the shared checkpoint folder, and
-both the numbering and the count branch read that one copy. This also makes
-the numbering survive executor loss without recomputing the sample.
+to one task. The operators below give the same numbers without that:
+
+1. The caller names a *bucket*: columns that rise with the order (the hour of a
+   time stamp, the first digits of a hash key), so a key's rows fall into many
+   buckets, one after the other.
+2. Rows are numbered inside ``(key, bucket)``.
+3. Rows per ``(key, bucket)`` are counted with map-side combine; a running sum
+   over those small counts says how many rows of the key precede each bucket.
+4. A join on ``(key, bucket)`` adds the two.
+
+Nothing is sampled, collected or written; the plan is the same at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-_SPLIT = "__split"
-_LOCAL = "__local_rn"
-_OFF = "__offset"
 _N = "__n"
-
-
-def _num_splits(df: DataFrame, num_splits: int | None) -> int:
-    if num_splits:
-        return int(num_splits)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+_OFF = "__offset"
+_LOCAL = "__local_rn"
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -48,95 +32,53 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-HOT_ROWS = 2_000_000     # rows per key above which a key is split across tasks
-HOT_ROWS_CONF = "spark.sigeval.hotKeyRows"   # session override of HOT_ROWS
-MAX_HOT_KEYS = 10_000    # bound on the broadcast hot-key list
+def hash_bucket(key: str, digits: int = 3) -> Column:
+    """Bucket of a hexadecimal sort key: its first digits."""
+    return F.substring(key, 1, digits)
+
+
+def _bucketed(df: DataFrame, bucket) -> tuple[DataFrame, list[str]]:
+    columns = list(bucket) if isinstance(bucket, (list, tuple)) else [bucket]
+    names = [f"__b{i}" for i in range(len(columns))]
+    return df.withColumns(dict(zip(names, columns))), names
 
 
-def row_number_by_key(df: DataFrame, keys: list[str], order: list[str],
-                      out: str = "rn", num_splits: int | None = None,
-                      hot_rows: int | None = None) -> DataFrame:
+def row_number_by_key(df: DataFrame, keys: list[str], order: list[str], bucket,
+                      out: str = "rn") -> DataFrame:
     """0-based row number of each row within ``keys`` ordered by ``order``.
 
-    ``order`` must be a total order within a key (end it with a unique column).
-    Rows with a null key are numbered within the null group as well.
-
-    Key sizes are measured first (one pass, combined map-side). Keys with at
-    most ``hot_rows`` rows (default: session setting ``spark.sigeval.hotKeyRows``,
-    else 2,000,000) are numbered by a plain window (each group fits one
-    task); only hot keys go through the range split below. The hot-key
-    list is capped at ``MAX_HOT_KEYS`` rows, so broadcasting it is bounded;
-    past the cap every key takes the range split.
-    """
-    if hot_rows is None:
-        hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
-    limit = int(hot_rows)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
-    hot = sizes.where(F.col(_N) > limit).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
-    if not hot:
-        return _plain_row_number(df, keys, order, out)
-    if len(hot) > MAX_HOT_KEYS:
-        return _split_row_number(df, keys, order, out, num_splits)
-    spark = df.sparkSession
-    schema = df.select(*keys).schema
-    hot_df = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], schema))
-    cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
-    cold = df.join(hot_df, cond, "left_anti")
-    warm = df.join(hot_df, cond, "left_semi")
-    return (_plain_row_number(cold, keys, order, out)
-            .unionByName(_split_row_number(warm, keys, order, out, num_splits)))
-
-
-def _plain_row_number(df: DataFrame, keys, order, out) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-
-
-def _split_row_number(df: DataFrame, keys, order, out, num_splits) -> DataFrame:
-    n = _num_splits(df, num_splits)
-    ranged = pin(df.repartitionByRange(n, *keys, *order)
-                   .withColumn(_SPLIT, F.spark_partition_id()))
-    local = ranged.withColumn(
-        _LOCAL,
-        (F.row_number().over(Window.partitionBy(*keys, _SPLIT).orderBy(*order)) - 1)
-        .cast("bigint"))
-    sizes = ranged.groupBy(*keys, _SPLIT).agg(F.count(F.lit(1)).alias(_N))
-    before = Window.partitionBy(*keys).orderBy(_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, _SPLIT,
-                           F.coalesce(F.sum(_N).over(before), F.lit(0)).cast("bigint").alias(_OFF))
-    cond = [local[k].eqNullSafe(offsets[k]) for k in keys] + [local[_SPLIT] == offsets[_SPLIT]]
-    joined = local.join(offsets, cond, "inner")
-    cols = [local[c] for c in df.columns]
-    return joined.select(*cols, (offsets[_OFF] + local[_LOCAL]).alias(out))
-
-
-def global_index(df: DataFrame, order: list[str], out: str = "pos",
-                 total: str | None = None, num_splits: int | None = None) -> DataFrame:
+    ``order`` must be a total order within a key (end it with a unique column);
+    ``bucket`` (a column or several) must not fall as ``order`` rises. Rows with
+    a null key are numbered within the null group as well."""
+    rows, buckets = _bucketed(df, bucket)
+    local = rows.withColumn(_LOCAL, (F.row_number().over(
+        Window.partitionBy(*keys, *buckets).orderBy(*order)) - 1).cast("bigint"))
+    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy(*keys, *buckets).agg(F.count(F.lit(1)).alias(_N))
+               .withColumn(_OFF, F.coalesce(F.sum(_N).over(before), F.lit(0)).cast("bigint")))
+    local, offsets = local.alias("l"), offsets.alias("o")
+    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*keys, *buckets)]
+    return local.join(offsets, cond).select(*(F.col(f"l.{c}").alias(c) for c in df.columns),
+                                            (F.col(f"o.{_OFF}") + F.col(f"l.{_LOCAL}")).alias(out))
+
+
+def global_index(df: DataFrame, order: list[str], bucket, out: str = "pos",
+                 total: str | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order`` (which must
-    be unique), without a single-partition window.
-
-    Range-partition and sort, take the record number inside each partition,
-    and add the row count of all earlier partitions. The table of partition
-    counts has one row per partition, so broadcasting it is bounded by the
-    partition count, not by the data. ``total`` optionally adds the row count.
-    """
-    n = _num_splits(df, num_splits)
-    ranged = pin(df.repartitionByRange(n, *order)
-                   .sortWithinPartitions(*order)
-                   .withColumn(_SPLIT, F.spark_partition_id())
-                   .withColumn(_LOCAL, F.monotonically_increasing_id()))
-    sizes = ranged.groupBy(_SPLIT).agg(F.count(F.lit(1)).alias(_N))
-    # one row per partition: this window never sees more than `n` rows
-    before = Window.orderBy(_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(
-        _SPLIT,
-        F.coalesce(F.sum(_N).over(before), F.lit(0)).cast("bigint").alias(_OFF),
-        F.sum(_N).over(Window.partitionBy(F.lit(1))).cast("bigint").alias(_N),
-    )
-    joined = ranged.join(F.broadcast(offs), _SPLIT)
-    # monotonically_increasing_id = (partition id << 33) + record number
-    local = F.col(_LOCAL) - F.shiftleft(F.col(_SPLIT).cast("bigint"), 33)
-    sel = [F.col(c) for c in df.columns] + [(F.col(_OFF) + local).alias(out)]
+    be unique), numbered per bucket. The running sum sees one row per bucket.
+    ``total`` optionally adds the row count."""
+    rows, buckets = _bucketed(df, bucket)
+    local = rows.withColumn(_LOCAL, (F.row_number().over(
+        Window.partitionBy(*buckets).orderBy(*order)) - 1).cast("bigint"))
+    ordered = Window.orderBy(*buckets)
+    offsets = (rows.groupBy(*buckets).agg(F.count(F.lit(1)).alias(_N))
+               .select(*buckets,
+                       F.coalesce(F.sum(_N).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                       .cast("bigint").alias(_OFF),
+                       F.sum(_N).over(Window.partitionBy(F.lit(1))).cast("bigint").alias(_N)))
+    local, offsets = local.alias("l"), offsets.alias("o")
+    cond = [F.col(f"l.{b}").eqNullSafe(F.col(f"o.{b}")) for b in buckets]
+    sel = [F.col(f"l.{c}").alias(c) for c in df.columns] + [(F.col(f"o.{_OFF}") + F.col(f"l.{_LOCAL}")).alias(out)]
     if total:
-        sel.append(F.col(_N).alias(total))
-    return joined.select(*sel)
+        sel.append(F.col(f"o.{_N}").alias(total))
+    return local.join(offsets, cond).select(*sel)

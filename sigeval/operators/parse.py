@@ -5,8 +5,7 @@ accept ``{..}{..}`` or ``{..} trailing``, which Python's ``json.loads``
 rejects. :func:`json_object` therefore finds where the first top-level value
 closes with a one-pass character scan (strings and escapes respected) and
 only parses text that ends there; single quotes and unquoted names are off.
-Checked against a plain-Python statement of the rules on generated replies
-(``tests/test_parse_property.py``). ``strict_json_valid`` is an optional
+``strict_json_valid`` is an optional
 Arrow-batched ``json.loads`` check.
 """
 
@@ -24,9 +23,9 @@ from ..functions.util import as_col, strip
 
 JSON_OPTIONS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
                 "mode": "PERMISSIVE"}
-# Python `re` pattern from the fine-tuned evaluator's reply parser: the first
-# object with at most one nested level (fixed value).
-EMBEDDED_OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# the first object with at most one nested level; possessive, so that a reply
+# with very many braces neither backtracks nor recurses
+EMBEDDED_OBJECT = r"(?s)\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 
 def first_value_end(text) -> Column:
@@ -67,6 +66,11 @@ def json_object(text) -> Column:
     return F.when(single, F.from_json(t, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS))
 
 
+def last_value(m: Column, key: str) -> Column:
+    """The value of a key that may occur repeatedly: the last one counts."""
+    return F.try_element_at(F.filter(F.map_entries(m), lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
 # ---------------------------------------------------------------- F1 keyword
 def parse_keyword(reply, classes=K.CLASSES) -> Column:
     """First class (in class order, not text order) whose lower-case name is
@@ -114,13 +118,13 @@ def parse_fenced_json(reply) -> Column:
     returns ``fc_clase`` (unvalidated) or null."""
     m = json_object(fenced_body(reply))
     ok = F.map_contains_key(m, K.CBM_CONCEPTS_KEY) & F.map_contains_key(m, K.CBM_CLASS_KEY)
-    return F.when(ok, m[K.CBM_CLASS_KEY])
+    return F.when(ok, last_value(m, K.CBM_CLASS_KEY))
 
 
 def parse_fenced_concepts(reply) -> Column:
     m = json_object(fenced_body(reply))
     ok = F.map_contains_key(m, K.CBM_CONCEPTS_KEY) & F.map_contains_key(m, K.CBM_CLASS_KEY)
-    return F.when(ok, m[K.CBM_CONCEPTS_KEY])
+    return F.when(ok, last_value(m, K.CBM_CONCEPTS_KEY))
 
 
 # ---------------------------------------------------------------- F3 embedded JSON
@@ -132,7 +136,7 @@ def parse_embedded_json(reply) -> Column:
     obj = F.regexp_extract(r, EMBEDDED_OBJECT, 0)
     m = F.when(obj != "", json_object(obj))
     has = F.coalesce(F.map_contains_key(m, "Label"), F.lit(False))
-    return F.when(has, m["Label"]).otherwise(parse_keyword_lower(r))
+    return F.when(has, last_value(m, "Label")).otherwise(parse_keyword_lower(r))
 
 
 # ---------------------------------------------------------------- F4 / F5 choices

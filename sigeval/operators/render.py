@@ -31,13 +31,13 @@ PROMPT_TYPES = ("system_prompt", "user_prompt_zero_shot", "user_prompt_few_shot"
 # ---------------------------------------------------------------- B7 / A11
 def check_task(task: int) -> str:
     if task not in K.TASK_MODALITY:
-        raise ValueError(f"Invalid task {task}. Use one of {sorted(K.TASK_MODALITY)}.")
+        raise ValueError(f"no task {task}; there are {sorted(K.TASK_MODALITY)}")
     return K.TASK_MODALITY[task]
 
 
 def check_approach(approach: str) -> str:
     if approach not in K.APPROACHES:
-        raise ValueError(f"Unsupported approach: {approach}")
+        raise ValueError(f"no approach {approach}; there are {sorted(K.APPROACHES)}")
     return approach
 
 
@@ -49,7 +49,7 @@ def load_prompt(approach: str, prompt_type: str, task: int = 1,
     base = Path(prompts_dir) if prompts_dir else TEMPLATE_DIR
     path = base / f"task{task}" / approach / f"{prompt_type}.txt"
     if not path.exists():
-        raise FileNotFoundError(f"Prompt not found: {path}")
+        raise FileNotFoundError(f"no template at {path}")
     return path.read_text(encoding="utf-8").strip()
 
 

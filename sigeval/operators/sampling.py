@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.features import class_index
 from ..functions.hashing import seeded_key
-from .ordering import global_index, row_number_by_key
+from .ordering import global_index, hash_bucket, row_number_by_key
 
 SHUFFLE_KEY = "shuffle_key"
 
@@ -62,18 +62,19 @@ def shuffle(df: DataFrame, seed: int | str = 42, id_col: str = "id",
             pos_col: str = "pos") -> DataFrame:
     """G3 — the whole table in seeded order, with its 0-based position."""
     keyed = with_shuffle_key(df, seed, id_col)
-    return global_index(keyed, [SHUFFLE_KEY, id_col], out=pos_col)
+    return global_index(keyed, [SHUFFLE_KEY, id_col], hash_bucket(SHUFFLE_KEY), out=pos_col)
 
 
 def with_row_id(df: DataFrame, id_col: str = "id", order: list[str] | None = None) -> DataFrame:
     """B6 — row id fallback: the ``id`` column when present and set, else the
-    row's 0-based position (in ``order``, or read order), as a string."""
+    row's 0-based position (in ``order``, whose first column should have many
+    values, or read order), as a string."""
     if order is None:
         base = df.withColumn("_read_pos", F.monotonically_increasing_id())
-        order = ["_read_pos"]
+        order, bucket = ["_read_pos"], F.shiftright("_read_pos", 33)
     else:
-        base = df
-    pos = global_index(base, order, out="_row_pos")
+        base, bucket = df, [F.col(order[0])]
+    pos = global_index(base, order, bucket, out="_row_pos")
     fallback = F.col("_row_pos").cast("string")
     rid = F.coalesce(F.col(id_col).cast("string"), fallback) if id_col in df.columns else fallback
     return pos.withColumn(id_col, rid).drop("_row_pos", "_read_pos")
@@ -107,7 +108,7 @@ def train_val_split(df: DataFrame, train_size=0.8, val_size=0.2, seed: int | str
                     id_col: str = "id", split_col: str = "split") -> DataFrame:
     """G5 — disjoint seeded split with exact sizes; rows beyond both are dropped."""
     pos = global_index(with_shuffle_key(df, seed, id_col), [SHUFFLE_KEY, id_col],
-                       out="_pos", total="_total")
+                       hash_bucket(SHUFFLE_KEY), out="_pos", total="_total")
     n_train, n_val = split_sizes(F.col("_total"), train_size, val_size)
     lab = (F.when(F.col("_pos") < n_train, F.lit("train"))
            .when(F.col("_pos") < n_train + n_val, F.lit("validation")))
@@ -132,12 +133,17 @@ def balanced_dataset(df: DataFrame, n_per_class: int | None = None, seed: int |
     complete. Ranks come from the skew-safe numbering (a class may hold most
     rows); ``dataset_pos`` is the row's place in the assembled dataset."""
     keyed = with_shuffle_key(known_classes(df, label_col, classes), seed, id_col)
-    ranked = row_number_by_key(keyed, [label_col], [SHUFFLE_KEY, id_col], out="class_rank")
     if n_per_class is None:
+        ranked = row_number_by_key(keyed, [label_col], [SHUFFLE_KEY, id_col], hash_bucket(SHUFFLE_KEY),
+                                   out="class_rank")
         counts = keyed.groupBy(label_col).count()
         n = counts.select(F.min("count")).scalar()
     else:
         n = F.lit(int(n_per_class))
+        # a literal limit: each map task ships at most n rows per class
+        first = F.row_number().over(Window.partitionBy(label_col).orderBy(SHUFFLE_KEY, id_col))
+        ranked = (keyed.withColumn("_rn", first).where(F.col("_rn") <= int(n_per_class))
+                  .withColumn("class_rank", (F.col("_rn") - 1).cast("bigint")).drop("_rn"))
     out = ranked.where(F.col("class_rank") < n)
     return out.withColumn("dataset_pos",
                           (class_index(F.col(label_col)).cast("bigint") * n + F.col("class_rank")))

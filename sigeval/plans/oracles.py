@@ -175,11 +175,11 @@ SPLIT_CASE = "CASE " + " ".join(f"WHEN b BETWEEN {lo} AND {hi} THEN {lit(n)}" fo
 BASE = f"""_ev AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn,
          {EVENT_CASE} AS sym
-  FROM events WHERE user_id IS NOT NULL AND event_type IN ({EVENT_NAMES})),
+  FROM events),
 _ch AS (SELECT user_id, rn // {K.CHUNK_LENGTH} AS chunk, string_agg(sym, '' ORDER BY rn) AS sequence,
                count(*) AS n FROM _ev GROUP BY user_id, rn // {K.CHUNK_LENGTH}),
 seqs AS (SELECT concat('u', user_id, '_', chunk) AS id, user_id, CAST(chunk AS BIGINT) AS chunk, sequence
-         FROM _ch WHERE n = {K.CHUNK_LENGTH}),
+         FROM _ch),
 _lb AS (SELECT *, {h("'split'", 'id')} % 10 AS b FROM seqs),
 lab AS (SELECT id, user_id, chunk, sequence, {SPLIT_CASE} AS split, {tp('sequence')} AS total_peaks,
                {thr(tp('sequence'))} AS label FROM _lb),
@@ -373,6 +373,8 @@ def _oracles() -> dict[str, str]:
         FROM _iv WHERE idx >= 0
         UNION ALL SELECT id, CAST(0 AS BIGINT) AS idx, CAST({K.RR_SINGLE} AS DOUBLE) AS interval FROM seqs
         WHERE {tp('sequence')} < 2""")
+    o["complete_batch"] = with_base(select=f"""SELECT id, {tjson(s, 'label')} AS raw_response,
+        CAST(NULL AS VARCHAR) AS error FROM lab WHERE split = 'test'""")
     o["target_json"] = with_base(select=f"SELECT id, {tjson(s, 'label')} AS target, {tjson(s, 'label', 2)} AS target_pretty FROM lab")
     r = "raw_response"
     o["response_preview"] = with_base(select=f"""SELECT id, substr({r}, 1, 200) AS head_200, substr({r}, 1, 30) AS head_30,

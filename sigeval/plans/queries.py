@@ -23,7 +23,7 @@ from ..operators import sampling as G
 from ..operators.augment import augment_noise
 from ..operators.complete import RuleClient, complete_batch
 from ..operators.labels import range_labels
-from ..operators.ordering import pin, row_number_by_key
+from ..operators.ordering import hash_bucket, pin, row_number_by_key
 from ..session import read_table
 from . import tables as T
 
@@ -83,8 +83,9 @@ def split_select(spark, d):
 def metadata_rows(spark, d):
     """A3/C12 — ``<split>_%04d`` ids in dataset order (class, seeded rank),
     total peaks counted from the string."""
-    lab = G.with_shuffle_key(_shared_lab(spark, d), SEED).withColumn("_ord", X.class_index(F.col("label")))
-    ranked = row_number_by_key(lab, ["split"], ["_ord", G.SHUFFLE_KEY, "id"], out="_i")
+    lab = G.with_shuffle_key(_lab(spark, d), SEED).withColumn("_ord", X.class_index(F.col("label")))
+    ranked = row_number_by_key(lab, ["split"], ["_ord", G.SHUFFLE_KEY, "id"],
+                               [F.col("_ord"), hash_bucket(G.SHUFFLE_KEY)], out="_i")
     return ranked.select(F.format_string("%s_%04d", "split", "_i").alias("id"),
                          F.col("id").alias("source_id"), "sequence", "label",
                          X.total_peaks("sequence").alias("total_picos"))
@@ -450,7 +451,7 @@ def first_per_class(spark, d):
 
 @q
 def balanced_dataset(spark, d):
-    return G.balanced_dataset(_split(_shared_lab(spark, d), "train").select("id", "label"), None, SEED) \
+    return G.balanced_dataset(_split(_lab(spark, d), "train").select("id", "label"), None, SEED) \
         .select("id", "label", "class_rank", "dataset_pos")
 
 

@@ -41,8 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads the checkpoint folder from the session (on a cluster,
-    ``spark.checkpoint.dir`` names a shared folder). Only when none is set —
-    local tests — a scratch folder is created and registered. Sessions
+    ``spark.checkpoint.dir`` names a shared folder). A local session without
+    one gets a scratch folder; any other session must name one. Sessions
     without a SparkContext (Spark Connect) rely on the server's setting.
     """
     try:
@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="sigeval-ckpt-")
     sc.setCheckpointDir(d)

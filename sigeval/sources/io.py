@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..operators.ordering import global_index
 from ..functions import features as X
 from ..functions.util import strip
 from ..operators import render as R
@@ -33,12 +34,15 @@ def read_examples_csv(spark: SparkSession, path: str, required=REQUIRED_EXAMPLE_
     absent file -> FileNotFoundError; missing required column -> ValueError.
     ``file_pos`` keeps the file order; ``total_picos`` is cast when present."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"no example table at {path}")
     df = spark.read.options(**CSV_OPTIONS).csv(path)
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing columns in {path}: {missing}")
-    df = df.withColumn("file_pos", F.monotonically_increasing_id())
+    if absent := set(required).difference(df.columns):
+        raise ValueError(f"{path} lacks {', '.join(sorted(absent))}")
+    names = df.columns
+    df = df.select(*names, F.col("_metadata.file_path").alias("_f"),
+                   F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_r"))
+    # by path, block and record: tasks don't take files in that order
+    df = global_index(df, ["_f", "_b", "_r"], [F.col("_f"), F.col("_b")], out="file_pos").drop("_f", "_b", "_r")
     if "total_picos" in df.columns:
         df = df.withColumn("total_picos", F.col("total_picos").try_cast("int"))
     return df
