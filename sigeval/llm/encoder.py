@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MEMO_UNITS = 600_000      # units a worker remembers before it starts afresh
+MEMO_UNITS = 1_200_000      # units a worker remembers before it starts afresh
 
 _NEAR_SPACE = re.compile(r" \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
