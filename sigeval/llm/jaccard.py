@@ -16,14 +16,17 @@ Steps:
    the top ``FREQUENT`` kept. This only orders the sets; any order is exact.
 2. Equal sets collapse to one; the rest works on the distinct sets, which a
    128-bit digest of their shingles names.
-3. Prefix postings are joined with one leading document per shingle. A pair with enough shared prefix shingles is verified. This links
-   groups of near copies to a leader without forming their pairs.
+3. Prefix postings are joined with one leading document per shingle. A pair
+   with enough shared prefix shingles is verified. This links groups of near
+   copies to a leader without forming their pairs.
 4. Linked documents are connected. Only where a shingle's postings still hold
    different components can an untested link matter: there, pairs of members of
    *different* components are counted, filtered by sizes, by the bound on their
    overlap and by the documents' ``m``, and verified. Postings that no partner's
-   size can match are dropped before pairs are formed. No link between
-   components is lost, and none is formed inside one.
+   size can match are dropped before pairs are formed, and so are those that the
+   leader rules out: documents that fall short of the leader must share what the
+   leader lacks (see ``_beside_leaders``). No link between components is lost,
+   and none is formed inside one.
 5. The links of 3 and 4 are connected again.
 
 Verification intersects whole sets exactly (shingles are 64-bit hashes); only
@@ -140,25 +143,52 @@ def _prefixes(frequent, words: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough; ``sets`` has
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` with ``n`` (size of b), their exact overlap ``o``,
+    whether they link, and ``rest``: what b has beside a (null where the two
+    share too little for it to count, see ``_beside_leaders``); ``sets`` has
     ``mark, shingles`` (hashes as bytes) for every mark in ``pairs``."""
     both = (pairs.select("a", "b")
             .join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("sa")), "a"))
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("o", pa.int64()), ("linked", pa.bool_()),
+                     ("rest", pa.list_(pa.int64()))])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            sizes, overlaps, ok, rest = [], [], [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
+                common = np.intersect1d(p, q, assume_unique=True)
+                shared = len(common)
+                sizes.append(len(q))
+                overlaps.append(shared)
                 ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            keep = pa.array(ok, pa.bool_())
-            yield record_batch(out, {c: batch.column(c).filter(keep) for c in out.names})
+                rest.append(np.setdiff1d(q, common, assume_unique=True).view(np.int64)
+                            if (100 + percent) * shared >= percent * len(q) else None)
+            yield record_batch(out, {"a": batch.column("a"), "b": batch.column("b"), "n": sizes, "o": overlaps, "linked": ok,
+                                     "rest": pa.array(rest, pa.list_(pa.int64()))})
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(check, "a binary, b binary, n long, o long, linked boolean, rest array<long>")
+
+
+def _beside_leaders(compared: DataFrame, percent: int) -> DataFrame:
+    """``a, r, o, s`` of the documents ``r`` that were compared with the leader
+    ``a``: ``s`` bounds how many of the shingles that r has beside a are in
+    another such document.
+
+    Two documents x, y with overlaps o with a leader share at most
+    ``min(o_x, o_y) + min(s_x, s_y)``. With q = percent / (100 + percent), a pair
+    needs q * (n_x + n_y). So a document with o < q * n can't link with one that
+    has n - o < q * n: only the others' shingles beside the leader are counted,
+    and a document with n - o >= q * n keeps them all as its bound."""
+    compared = compared.withColumn("near", (100 + percent) * (F.col("n") - F.col("o")) < percent * F.col("n"))
+    beside = compared.where("rest is not null").select("a", "b", "near", F.explode("rest").alias("z"))
+    several = beside.groupBy("a", "z").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("a", "z")
+    counted = beside.where("near").join(several, ["a", "z"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    return (compared.join(counted, ["a", "b"], "left")
+            .select("a", F.col("b").alias("r"), "o",
+                    F.when(F.col("near"), F.coalesce("s", F.lit(0))).otherwise(F.col("n") - F.col("o")).alias("s")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,16 +262,19 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     stars = materialize(stars, "star-pairs")
     wanted = (equal.join(shared.select(F.col("r").alias("mark")).distinct(), "mark", "left_semi")
               .select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")))
-    texts = source.select("d", "k", "text").join(wanted, ["d", "k"]).select("mark", "text")
-    held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary")
-                       .dropDuplicates(["mark"]), "shingles")
-    links = materialize(verified(stars, held, percent), "star-links")
+    # repeated rows go while they lie together by (d, k), before the larger sets are made
+    texts = source.select("d", "k", "text").join(wanted, ["d", "k"]).dropDuplicates(["d", "k"]).select("mark", "text")
+    held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary"), "shingles")
+    compared = materialize(measured(stars, held, percent), "star-overlaps")
+    links = compared.where("linked").select("a", "b")
 
     # postings whose documents are not all connected yet
     parts = components(links)
     placed = (shared.select("h", "r", "n", "m", "cap", "at")
               .join(parts.select(F.col("v").alias("r"), "c"), "r", "left")
-              .withColumn("c", F.coalesce("c", "r")))
+              .withColumn("c", F.coalesce("c", "r"))
+              .join(heads.select("h", "a").join(parts.select(F.col("v").alias("a"), F.col("c").alias("lead")), "a", "left")
+                    .select("h", "a", F.coalesce("lead", "a").alias("lead")), "h"))
     # sizes that a posting's partners may have, judged by the best cap of each
     sizes = placed.groupBy("h", "n").agg(F.max("cap").alias("best"), F.min("c").alias("low"), F.max("c").alias("high"))
     facing = (sizes.select("h", F.col("n").alias("na"), F.col("best").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"))
@@ -251,19 +284,39 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
               .where(fits("na", "nb", "ba", "bb") & (F.least("la", "lb") < F.greatest("ha", "hb")))
               .select("h", F.col("na").alias("n"), F.col("nb").alias("n2"), F.col("bb").alias("best2")))
     placed = materialize(placed.join(facing, ["h", "n"]).where(fits("n", "n2", "cap", "best2"))
-                         .select("h", "n", "n2", "r", "m", "cap", "at", "c"), "open-postings")
+                         .select("h", "n", "n2", "r", "m", "cap", "at", "c", "a", "lead"), "open-postings")
+    # what the leaders rule out. A document that links with its leader is in the
+    # leader's component, so of a pair across components one has at most ``far``
+    # in common with the leader
+    asked = placed.where("a != r").select("a", F.col("r").alias("b")).distinct()
+    rest = measured(asked.join(compared.select("a", "b"), ["a", "b"], "left_anti"), held, percent)
+    beside = materialize(_beside_leaders(
+        materialize(compared.join(asked, ["a", "b"], "left_semi").unionByName(rest), "overlaps"), percent), "beside-leaders")
+    placed = (placed.join(beside, ["a", "r"], "left")
+              .withColumn("s", F.when(F.col("a") == F.col("r"), 0).otherwise(F.col("s")))
+              .withColumn("o", F.when(F.col("a") == F.col("r"), F.col("n")).otherwise(F.col("o"))))
+    outside = placed.groupBy("h", "n", "n2").agg(F.max(F.when(F.col("c") != F.col("lead"), F.col("o"))).alias("far"))
+    far = (outside.unionAll(outside.select("h", F.col("n2").alias("n"), F.col("n").alias("n2"), "far"))
+           .groupBy("h", "n", "n2").agg(F.max("far").alias("far")).where("far is not null"))
+    placed = materialize(placed.join(far, ["h", "n", "n2"])
+                         .withColumn("cap", F.least("cap", F.least("o", "far") + F.col("s")))
+                         .where((100 + percent) * F.col("cap") >= percent * (F.col("n") + F.col("n2")))
+                         .select("h", "n", "n2", "r", "m", "cap", "at", "c", "o", "s"), "facing-postings")
     groups = placed.select("h", "n", "n2", "c").distinct()
     across = (groups.select("h", F.col("n").alias("na"), F.col("n2").alias("nb"), F.col("c").alias("ca"))
               .join(groups.select("h", F.col("n2").alias("na"), F.col("n").alias("nb"), F.col("c").alias("cb")), ["h", "na", "nb"])
               .where("ca < cb"))
     left = placed.select("h", F.col("n").alias("na"), F.col("n2").alias("nb"), F.col("c").alias("ca"), F.col("r").alias("ra"),
-                         F.col("m").alias("ma"), F.col("cap").alias("cap_a"), F.col("at").alias("at_a"))
+                         F.col("m").alias("ma"), F.col("cap").alias("cap_a"), F.col("at").alias("at_a"), F.col("o").alias("oa"),
+                         F.col("s").alias("sa"))
     right = placed.select("h", F.col("n2").alias("na"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("r").alias("rb"),
-                          F.col("m").alias("mb"), F.col("cap").alias("cap_b"), F.col("at").alias("at_b"))
+                          F.col("m").alias("mb"), F.col("cap").alias("cap_b"), F.col("at").alias("at_b"), F.col("o").alias("ob"),
+                          F.col("s").alias("sb"))
     # the overlap is at most what the prefixes share and what follows the last of it
     after = F.least(F.max(F.col("na")) - F.max("at_a"), F.max(F.col("nb")) - F.max("at_b")) - 1
     pairs = (across.join(left, ["h", "na", "nb", "ca"]).join(right, ["h", "na", "nb", "cb"])
-             .where(fits("na", "nb", "cap_a", "cap_b"))
+             .where(fits("na", "nb", "cap_a", "cap_b")
+                    & ((100 + percent) * (F.least("oa", "ob") + F.least("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))))
              .groupBy("ra", "rb")
              .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("m"), after.alias("after"),
                   F.max(F.col("na") + F.col("nb")).alias("both"))
@@ -271,7 +324,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
              .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(verified(pairs, held, percent), "cross-links")
+    more = materialize(measured(pairs, held, percent).where("linked").select("a", "b"), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else parts
 
     names = equal.join(final, F.col("mark") == F.col("v"), "left").select("mark", F.coalesce("c", "mark").alias("c"),
