@@ -179,25 +179,32 @@ TURN_TEMPLATE = ChatTemplate()
 def merge_system(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                  role_col: str = "role", text_col: str = "text") -> DataFrame:
     """D6 on a long message table: a leading system message (turn 0) is
-    merged into the next message (turn 1) as ``system + "\\n\\n" + text`` with
-    role ``user``; all later messages are kept. Both sides of the join hold at
-    most one row per conversation, so a huge conversation does not skew it."""
-    is_sys = (F.col(turn_col) == 0) & (F.col(role_col) == "system")
-    sys = conv.where(is_sys).select(F.col(conv_col).alias("_c"), F.col(text_col).alias("_sys"))
-    nxt = conv.where(F.col(turn_col) == 1)
-    merged = (nxt.join(sys, nxt[conv_col] == sys["_c"], "left")
-                 .select(conv_col, turn_col,
-                         F.when(F.col("_sys").isNotNull(), F.lit("user")).otherwise(F.col(role_col))
-                         .alias(role_col),
-                         F.when(F.col("_sys").isNotNull(),
-                                F.concat(F.col("_sys"), F.lit(K.SYSTEM_MERGE_SEPARATOR), F.col(text_col)))
-                         .otherwise(F.col(text_col)).alias(text_col)))
-    lone_sys = (conv.where(is_sys)
-                    .join(nxt.select(F.col(conv_col).alias("_c")),
-                          F.col(conv_col) == F.col("_c"), "left_anti"))
-    rest = conv.where(~is_sys & (F.col(turn_col) != 1))
+    merged into the next message (the least later turn of the conversation) as
+    ``system + "\\n\\n" + text`` with role ``user``; all other messages are kept,
+    null turns and roles included. A system message that nothing follows stays.
+
+    ``(conversation, turn)`` names a message: of repeated leading system rows the
+    one of least text counts, and each row of the next turn takes it. A null
+    text on either side merges as empty; null conversation ids are one
+    conversation. Leading messages are joined by conversation *and* turn, one row
+    per conversation, so that a huge conversation does not skew the join."""
     cols = [conv_col, turn_col, role_col, text_col]
-    return rest.select(*cols).unionByName(merged.select(*cols)).unionByName(lone_sys.select(*cols))
+    is_sys = F.coalesce((F.col(turn_col) == 0) & (F.col(role_col) == "system"), F.lit(False))
+    heads = (conv.groupBy(F.col(conv_col).alias("_c"))
+                 .agg(F.max(is_sys).alias("_any"), F.coalesce(F.min(F.when(is_sys, F.col(text_col))), F.lit("")).alias("_sys"),
+                      F.min(F.when(F.col(turn_col) > 0, F.col(turn_col))).alias("_next"))
+                 .where("_any"))
+    joined = F.concat(F.col("_sys"), F.lit(K.SYSTEM_MERGE_SEPARATOR), F.coalesce(F.col(text_col), F.lit("")))
+    follows = F.col("_sys").isNotNull()
+    kept = (conv.where(~is_sys).select(*cols)
+                .join(heads.where("_next is not null"),
+                      F.col(conv_col).eqNullSafe(F.col("_c")) & (F.col(turn_col) == F.col("_next")), "left")
+                .select(conv_col, turn_col, F.when(follows, F.lit("user")).otherwise(F.col(role_col)).alias(role_col),
+                        F.when(follows, joined).otherwise(F.col(text_col)).alias(text_col)))
+    alone = heads.where("_next is null").select(
+        F.col("_c").alias(conv_col), F.lit(0).cast(conv.schema[turn_col].dataType).alias(turn_col),
+        F.lit("system").alias(role_col), F.col("_sys").alias(text_col))
+    return kept.unionByName(alone)
 
 
 def chat_turn_pieces(conv: DataFrame, template: ChatTemplate = TURN_TEMPLATE,

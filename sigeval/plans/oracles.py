@@ -376,6 +376,9 @@ def _oracles() -> dict[str, str]:
     o["complete_batch"] = with_base(select=f"""SELECT id, {tjson(s, 'label')} AS raw_response,
         CAST(NULL AS VARCHAR) AS error FROM lab WHERE split = 'test'""")
     o["target_json"] = with_base(select=f"SELECT id, {tjson(s, 'label')} AS target, {tjson(s, 'label', 2)} AS target_pretty FROM lab")
+    # the bundled rule client answers with the true class and measured concepts
+    o["complete_batch"] = with_base(select=f"""SELECT id, {tjson(s, 'label')} AS raw_response, CAST(NULL AS VARCHAR) AS error
+        FROM lab WHERE split = 'test'""")
     r = "raw_response"
     o["response_preview"] = with_base(select=f"""SELECT id, substr({r}, 1, 200) AS head_200, substr({r}, 1, 30) AS head_30,
         substr({r}, 1, 50) AS head_50, substr({r}, 1, 500) AS head_500, right({r}, 200) AS tail_200 FROM resp WHERE split = 'test'""")
@@ -398,16 +401,14 @@ def _oracles() -> dict[str, str]:
     o["prompt_few_shot"] = with_base(block_cte(4), select=f"SELECT id, {user_prompt_sql('sequence', 'block')} AS prompt FROM lab WHERE split = 'test'")
     o["messages"] = with_base(block_cte(2), select=f"""SELECT id, CAST(0 AS BIGINT) AS msg_idx, 'system' AS role, {lit(sysp)} AS content FROM lab WHERE split = 'test'
         UNION ALL SELECT id, CAST(1 AS BIGINT), 'user', {user_prompt_sql('sequence', 'block')} FROM lab WHERE split = 'test'""")
-    o["merge_system"] = """WITH sys AS (SELECT conv_id, text AS st FROM conversations WHERE turn = 0 AND role = 'system'),
-t1 AS (SELECT * FROM conversations WHERE turn = 1)
-SELECT conv_id, turn, role, text FROM conversations WHERE NOT (turn = 0 AND role = 'system') AND turn <> 1
-UNION ALL
-SELECT t1.conv_id, t1.turn, CASE WHEN sys.st IS NOT NULL THEN 'user' ELSE t1.role END,
-       CASE WHEN sys.st IS NOT NULL THEN concat(sys.st, chr(10), chr(10), t1.text) ELSE t1.text END
-FROM t1 LEFT JOIN sys ON t1.conv_id = sys.conv_id
-UNION ALL
-SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c WHERE c.turn = 0 AND c.role = 'system'
-  AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.conv_id = c.conv_id)"""
+    o["merge_system"] = """WITH head AS (SELECT conv_id, coalesce(min(text) FILTER (WHERE turn = 0 AND role = 'system'), '') AS st,
+    min(turn) FILTER (WHERE turn > 0) AS nt FROM conversations GROUP BY conv_id
+    HAVING count(*) FILTER (WHERE turn = 0 AND role = 'system') > 0)
+SELECT c.conv_id, c.turn, CASE WHEN h.st IS NOT NULL THEN 'user' ELSE c.role END AS role,
+       CASE WHEN h.st IS NOT NULL THEN concat(h.st, chr(10), chr(10), c.text) ELSE c.text END AS text
+FROM conversations c LEFT JOIN head h ON c.conv_id IS NOT DISTINCT FROM h.conv_id AND c.turn = h.nt
+WHERE NOT coalesce(c.turn = 0 AND c.role = 'system', false)
+UNION ALL SELECT conv_id, 0, 'system', st FROM head WHERE nt IS NULL"""
     o["chat_template"] = """SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS seq, '<bos>' AS piece FROM conversations
 UNION ALL SELECT conv_id, CAST(turn AS BIGINT), concat('<start_of_turn>', CASE WHEN role = 'assistant' THEN 'model' ELSE role END,
        chr(10), text, '<end_of_turn>', chr(10)) FROM conversations
@@ -449,7 +450,7 @@ UNION ALL SELECT vec_id, 1, 'assistant', 0, 'text', {NAMES_LIST}[label + 1] FROM
     # ---- sampling
     o["sample_balanced"] = with_base(icl_sample_cte(4), select="SELECT id, label, CAST(class_rank AS BIGINT) AS class_rank FROM icl_ex")
     o["shuffle"] = with_base(select=f"SELECT id, CAST(row_number() OVER (ORDER BY {key(42, 'id')}, id) - 1 AS BIGINT) AS pos FROM lab")
-    o["sample_n"] = with_base(select=f"SELECT id FROM lab WHERE split = 'test' ORDER BY {key(42, 'id')}, id LIMIT 100")
+    o["sample_n"] = with_base(select=f"SELECT id FROM lab WHERE split = 'test' ORDER BY {key(42, 'id')}, id LIMIT 50")
     o["train_val_split"] = with_base(f"""_tp AS (SELECT id, row_number() OVER (ORDER BY {key(42, 'id')}, id) - 1 AS pos,
         count(*) OVER () AS total FROM lab WHERE split = 'train')""",
         select=f"""SELECT id, CASE WHEN pos < floor({dbl(0.8)} * total) THEN 'train'
@@ -525,6 +526,10 @@ UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
         CAST(len(regexp_extract_all(completion, {tok})) AS BIGINT) AS completion_tokens FROM pc)""",
         select=f"""SELECT id, prompt_tokens, completion_tokens,
         {ratio('completion_tokens * 100', 'prompt_tokens + completion_tokens')} AS completion_share FROM _t""")
+    o["token_share_total"] = with_base(pc_cte(), f"""_t AS (SELECT CAST(sum(len(regexp_extract_all(prompt, {tok}))) AS BIGINT) AS prompt_tokens,
+        CAST(sum(len(regexp_extract_all(completion, {tok}))) AS BIGINT) AS completion_tokens FROM pc)""",
+        select=f"""SELECT prompt_tokens, completion_tokens,
+        {ratio('completion_tokens * 100', 'prompt_tokens + completion_tokens')} AS completion_share FROM _t""")
     o["step_budget"] = with_base("_n AS (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM lab WHERE split = 'train')",
         select=f"""SELECT n_rows, CAST((n_rows // 1) * 3 // 4 AS BIGINT) AS total_steps,
         CAST(floor(CAST((n_rows // 1) * 3 // 4 AS DOUBLE) * {dbl(0.1)}) AS BIGINT) AS warmup_steps FROM _n""")

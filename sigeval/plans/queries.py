@@ -34,7 +34,7 @@ QUERIES: dict[str, Query] = {}
 FEW_SHOT_N = 4          # examples per class in the few-shot block
 MESSAGES_N = 2          # examples per class in the message lists
 TUNED_N = 1             # examples per class in the tuned few-shot prompt
-SAMPLE_N = 100          # seeded sample size (tuned eval subset)
+SAMPLE_N = 50           # seeded sample size (tuned eval subset)
 HEAD_N = 50             # head size
 SEED = 42
 
@@ -547,6 +547,12 @@ def token_share(spark, d):
         "id", "prompt_tokens", "completion_tokens", "completion_share")
 
 
+@q
+def token_share_total(spark, d):
+    """H13 — the share over all rows."""
+    return M.token_share_total(M.token_share(_prompt_completion(_lab(spark, d))))
+
+
 @q
 def step_budget(spark, d):
     n = F.count(F.lit(1))

@@ -43,6 +43,20 @@ def test_merge_system_and_pieces(spark):
                        "<start_of_turn>model\n")
 
 
+def test_merge_system_gaps_and_nulls(spark):
+    conv = spark.createDataFrame([
+        (1, 0, "system", "S"), (1, 3, "user", "after a gap"), (1, 5, "user", "later"),
+        (2, 0, None, "no role"), (2, None, "user", "no turn"), (2, 1, "user", "x"),
+        (None, 0, "system", "N"), (None, 1, "user", None),
+        (4, 0, "system", None), (4, 2, "assistant", "a"), (4, None, None, None),
+    ], "conv_id long, turn long, role string, text string")
+    got = {tuple(r) for r in R.merge_system(conv).collect()}
+    assert got == {(1, 3, "user", "S\n\nafter a gap"), (1, 5, "user", "later"),
+                   (2, 0, None, "no role"), (2, None, "user", "no turn"), (2, 1, "user", "x"),
+                   (None, 1, "user", "N\n\n"), (4, 2, "user", "\n\na"), (4, None, None, None)}
+    assert R.merge_system(conv.where("false")).count() == 0
+
+
 def test_tuned_prompt_and_records(spark):
     df = spark.createDataFrame([("|:.", "Brady")], "sequence string, label string")
     r = df.select(R.tuned_prompt(F.col("sequence"), "SYS").alias("p"),
