@@ -240,6 +240,22 @@ def test_risk_bound(spark):
     assert {r.kept: r["count"] for r in kept.collect()} in ({True: 3000, False: 600}, {False: 3600})
 
 
+def test_combined_sequence_rejects_bad_documents(spark):
+    """600 good documents a stratum are enough for the combined sequence, 400
+    are not; documents of both kinds pass the base rule."""
+    words = "array_join(transform(sequence(1, 80), i -> concat('word', i * (1 + id % 7))), ' ')"
+    def table(n):
+        return spark.range(n + 200).selectExpr(
+            "id AS doc_id", "array('de', 'en', 'es', 'fr')[id % 4] AS lang",
+            f"concat({words}, if(id < 200, repeat(' ####', 8), '')) AS text")
+    for n, kept in ((2400, {True: 2400}), (1600, {True: 1600, False: 200})):
+        docs = table(n)
+        labels = docs.selectExpr("doc_id", "if(doc_id < 200, 0, 1) AS quality", "0 AS toxic")
+        assert quality.judge(docs, labels).where("base_failed").count() == 0
+        got = quality.kept_documents(docs, labels).groupBy((F.col("doc_id") >= 200).alias("good")).count().collect()
+        assert {r.good: r["count"] for r in got} == kept
+
+
 # ---------------------------------------------------------------- op6
 def test_licenses(spark, edge, empty):
     def labels(text):
