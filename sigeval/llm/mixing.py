@@ -3,18 +3,21 @@
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked: in turn, the weights of each source, language and topic are scaled to
 the target share of that value, until all marginals fit together. A cell's
-ratio of raked to present weight, times one common scale, is the probability
-with which its documents are drawn, at most 1; the scale is set so that the
-expected tokens meet the budget. The draw compares the probability with a
-uniform number from the document's id and text, so it is the same in every run.
-
-Cells are counted once; raking, scale and probabilities work on the cell table
+ratio of raked to present weight, times the budget, is how many times its
+documents are to be drawn on average: its whole part for certain, and once more
+with the rest as probability. Cells whose targets ask for more than they hold are
+so repeated, and the expected tokens meet the targets and the budget together.
+The draw compares the rest with a uniform number from the document's id and
+text, so it is the same in every run.
+
+Cells are counted once; raking and probabilities work on the cell table
 (one row per cell that occurs) in DataFrame operations, checkpointed between
 sweeps. Documents meet their cell in one join with that small table, which Spark
 broadcasts only below its size threshold.
 
 Edge cases: null source and language are values of their own, null text counts
-as no tokens; documents without tokens are drawn with their cell's probability;
+as no tokens; documents without tokens are drawn as often as their cell's others,
+those of cells without any tokens at the budget's rate;
 targets of values that don't occur are ignored and the others scaled up;
 repeated rows are drawn alike; an empty table gives no rows.
 """
@@ -32,7 +35,6 @@ SWEEPS = 12
 SWEEPS_AT_ONCE = 4        # between checkpoints
 BUDGET = 0.6              # of all tokens
 CHARS_PER_TOKEN = 4
-GRID = 64                 # scales that are tried at once
 SEED = 20
 
 
@@ -90,38 +92,38 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
 
 
 def calibrated(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``raked`` with the cells' ``probability``."""
+    """``raked`` with the cells' ``probability``: how many times a document is
+    drawn on average, above 1 where the target exceeds what the cell holds."""
     ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.col("_all") / F.col("tokens")).otherwise(1.0)
-    cells = raked.withColumn("_ratio", ratio)
-    ends = cells.where("_ratio > 0").agg(F.min("_ratio"), F.sum("tokens")).first()
-    low, high = 0.0, 1 / ends[0] if ends[0] else 1.0
-    goal = budget * float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    for _ in range(5):
-        scale = F.lit(low) + (F.lit(high) - F.lit(low)) * F.col("k") / GRID
-        reached = dict((r["k"], r["mass"]) for r in cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
-                       .groupBy("k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), scale * F.col("_ratio"))).alias("mass")).collect())
-        k = max((k for k, mass in reached.items() if mass <= goal), default=0)
-        low, high = low + (high - low) * k / GRID, low + (high - low) * min(GRID, k + 1) / GRID
-    return cells.select(*DIMS, "weight", F.least(F.lit(1.0), F.lit(high) * F.col("_ratio")).alias("probability"))
+    return raked.select(*DIMS, "weight", (F.lit(budget) * ratio).alias("probability"))
+
+
+def copies() -> Column:
+    """How many times a document is drawn, from ``probability`` and ``draw``."""
+    whole = F.floor("probability")
+    return (whole + F.when(F.col("draw") < F.col("probability") - whole, 1).otherwise(0)).cast("bigint")
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET,
            temperature: float = TEMPERATURE) -> DataFrame:
-    """Every document's cell, tokens, probability and whether it is drawn:
-    ``doc_id, source, lang, topic, tokens, weight, probability, kept``."""
+    """Every document's cell, tokens, probability, whether it is drawn and how
+    many times: ``doc_id, source, lang, topic, tokens, weight, probability, kept,
+    copies``."""
     rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                    *(c.alias(n) for n, c in measured(docs).items())), "measured")
     cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
     odds = materialize(calibrated(rake(cells, targets, temperature), budget), "odds")
     return (rows.join(odds, list(DIMS)).select("doc_id", *DIMS, "tokens", "weight", "probability",
-                                               (F.col("draw") < F.col("probability")).alias("kept")))
+                                               (copies() > 0).alias("kept"), copies().alias("copies")))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET,
           temperature: float = TEMPERATURE) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all their columns."""
+    """The rows of ``docs`` that are drawn, as many times as they are, with all
+    their columns."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(whole, *(c.alias(n) for n, c in measured(docs).items()))
     cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
     odds = materialize(calibrated(rake(cells, targets, temperature), budget), "odds")
-    return rows.join(odds, list(DIMS)).where(F.col("draw") < F.col("probability")).select("_row.*")
+    drawn = rows.join(odds, list(DIMS)).withColumn("_copies", copies()).where("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select("_row.*")

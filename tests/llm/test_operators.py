@@ -346,6 +346,27 @@ def test_mixing(spark, edge, empty, small):
     assert mixing.mixed(edge, budget=1.0).columns == edge.columns
 
 
+def test_mixing_draws_to_the_targets(spark):
+    """A rare language is to have more tokens than it holds: expected and drawn
+    tokens have the target shares of every dimension, and the budget."""
+    docs = spark.range(6000).selectExpr(
+        "id AS doc_id", "if(id % 100 < 4, 'rare', 'wide') AS lang", "if(id % 3 = 0, 'a', 'b') AS source",
+        "if(id % 7 = 0, 'all rights reserved by them', 'plain words and no more than that') AS text")
+    targets = {"lang": {"rare": 0.2, "wide": 0.8}, "source": {"a": 0.5, "b": 0.5}}
+    got = mixing.sample(docs, targets, budget=0.6).toPandas()
+    goals = {d: {**targets}.get(d) or (lambda t: t / t.sum())(got.groupby(d).tokens.sum() ** mixing.TEMPERATURE).to_dict()
+             for d in mixing.DIMS}
+    for count, near in ((got.probability, 1e-3), (got.copies, 0.03)):
+        drawn = got.tokens * count
+        assert abs(drawn.sum() / got.tokens.sum() - 0.6) < near
+        for dim, goal in goals.items():
+            shares = drawn.groupby(got[dim]).sum() / drawn.sum()
+            assert all(abs(shares[v] - share) < near for v, share in goal.items()), (dim, shares)
+    assert (got.kept == (got.copies > 0)).all() and got.copies.max() > 1
+    rows = mixing.mixed(docs, targets, budget=0.6).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in rows} == {d: n for d, n in zip(got.doc_id, got.copies) if n}
+
+
 # ---------------------------------------------------------------- op10
 def test_fixity(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 40)) for i in range(3000)] + [(None, None, None), (None, "u", "v"), (7, "r", "r")]
