@@ -2,13 +2,16 @@
 
 The index holds, for every word of the licence templates, its postings
 ``(template, position)``. A first pass counts over all documents in how many
-each template word occurs; that gives the words' IDF. For a file, the
-``RARE`` template words of highest IDF it contains are looked up; each
-occurrence votes for the templates that hold the word, at the start that the
-template would then have in the file. Votes that agree on a start intersect the
-postings by relative position; an alignment with enough votes is verified: one
-of the template's mandatory phrases must stand in the aligned stretch. Its
-score is the share of the template's words found in place.
+each template word occurs; that gives the words' IDF. Of each template the places of
+highest IDF are looked up in a file; each occurrence of their words votes for
+the start that the template would then have. Votes that agree on a start
+intersect the postings by relative position; an alignment with enough votes is
+verified: one of the template's mandatory phrases must stand in the aligned
+stretch. Its score is the share of the template's words found in place.
+
+An alignment may lack up to ``1 - MIN_SHARE`` of the template's words. So many
+places, and ``MIN_VOTES`` more, are looked up per template: every alignment that could be verified gets its votes, however many notices a
+file has. Templates of which a file lacks too many words are left out before.
 
 Fixed phrases (:data:`PHRASES`) are found in every file, with or without an
 alignment.
@@ -32,7 +35,6 @@ from pyspark.sql import functions as F
 
 from .common import record_batch, slices, text_or_empty
 
-RARE = 12                 # highest-IDF licence words looked up per file
 MIN_VOTES = 2
 MIN_SHARE = 0.6           # of a template's words in place
 PHRASE_SCORE = 0.5        # of a file that has only a fixed phrase
@@ -78,26 +80,37 @@ class Index:
         for t, ws in enumerate(self.words):
             for i, w in enumerate(ws):
                 self.postings[w].append((t, i))
+        # words that must be in place
+        self.least = [math.ceil(MIN_SHARE * len(ws)) for ws in self.words]
         self.idf: dict[bytes, float] = {}
+        self.rare: dict[bytes, list[tuple[int, int]]] = {}
 
     def weigh(self, counts: dict[bytes, int], n_docs: int) -> "Index":
         self.idf = {w: math.log((n_docs + 1) / (counts.get(w, 0) + 1)) for w in self.postings}
+        self.rare = defaultdict(list)
+        for t, ws in enumerate(self.words):
+            places = sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], ws[i], i))
+            for i in places[:len(ws) - self.least[t] + MIN_VOTES]:
+                self.rare[ws[i]].append((t, i))
         return self
 
     def matches(self, words: list[bytes], present: set[bytes]) -> Iterator[tuple[str, float, int]]:
         """Verified alignments ``(label, score, start)``."""
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE])
+        possible = {t for t, ws in enumerate(self.words) if sum(w in present for w in ws) >= self.least[t]}
+        if not possible:
+            return
+        rare = {w: kept for w in present.intersection(self.rare) if (kept := [x for x in self.rare[w] if x[0] in possible])}
         votes: Counter = Counter()
         for at, w in enumerate(words):
             if w in rare:
-                votes.update((t, at - i) for t, i in self.postings[w])
+                votes.update((t, at - i) for t, i in rare[w])
         for (t, start), n in votes.items():
             if n < MIN_VOTES:
                 continue
             template, first = self.words[t], max(0, start)
             held = words[first:max(0, start + len(template))]
             in_place = sum(a == b for a, b in zip(template[first - start:], held))
-            if in_place < MIN_SHARE * len(template):
+            if in_place < self.least[t]:
                 continue
             if any(k == held[i:i + len(k)] for k in self.keys[t] for i in range(len(held))):
                 yield self.labels[t], in_place / len(template), first

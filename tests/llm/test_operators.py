@@ -271,6 +271,32 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_files_with_several_notices():
+    rng = np.random.default_rng(4)
+    counts = {w: int(rng.integers(0, 90)) for w in licenses.Index().postings}
+    index = licenses.Index().weigh(counts, 100)
+    fixed = {label for label, _, _ in licenses.TEMPLATES}
+    def labels(*notices):
+        return set(licenses.scan_text("\n\n-- other words --\n\n".join(notices), index)[5].split(",")) & fixed
+    alone = [labels(notice) for _, notice, _ in licenses.TEMPLATES]
+    assert all(label in found for (label, _, _), found in zip(licenses.TEMPLATES, alone))
+    for a, (_, one, _) in enumerate(licenses.TEMPLATES):
+        for b, (_, other, _) in enumerate(licenses.TEMPLATES):
+            assert labels(one, other) == alone[a] | alone[b]
+    assert labels(*(notice for _, notice, _ in licenses.TEMPLATES)) == fixed
+    # every alignment with enough words in place, however the others are changed
+    for label, notice, keys in licenses.TEMPLATES:
+        words = notice.split()
+        key = keys[0].split()
+        first = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+        free = [i for i in range(len(words)) if not first <= i < first + len(key)]
+        for _ in range(20):
+            changed = set(rng.permutation(free)[:len(words) - math.ceil(licenses.MIN_SHARE * len(words))].tolist())
+            text = " ".join("zzz" if i in changed else w for i, w in enumerate(words))
+            assert label in labels(text, *(n for _, n, _ in licenses.TEMPLATES if n != notice))
+            assert label in labels(text)
+
+
 # ---------------------------------------------------------------- op7
 def check_packing(docs, rows, size):
     want = encoded("word_bpe_49k.json")
