@@ -5,8 +5,11 @@ with its byte range ``[start, stop)``. Every ``FAN`` neighbouring nodes make a
 parent: the hash of their hashes and of the range they cover. The trees of the
 files are joined the same way, by file number, up to one root per archive. The
 audit compares the roots and descends only into nodes that differ, so what it
-reads of the lower levels is the children of mismatching nodes; at the bottom
-are the damaged, missing or added records.
+reads of the lower levels is the children of mismatching nodes. At the bottom,
+the records of mismatching ranges are matched within their file: those of equal
+page id and hash are sound, wherever they stand; of the others, those of equal
+page id are damaged, in order of their places, and the rest is lost or added. Sound
+records at another place or offset are told apart from the damage.
 
 Each level is a small table in the shared folder; a parent's group has at most
 ``FAN`` rows. The windows that number records and add up offsets run per file.
@@ -84,10 +87,46 @@ def _steps(span: int) -> int:
     return n
 
 
+def _matched(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Leaves of both sides, paired by file, page id, hash and the turn among
+    equal ones: the places ``a`` and ``b``, null where a side lacks the record."""
+    place = F.struct("i", "start", "stop").alias("place")
+    both = (one.select("file", "page_id", "digest", place, F.lit(True).alias("first"))
+            .unionAll(other.select("file", "page_id", "digest", place, F.lit(False).alias("first"))))
+    turn = F.row_number().over(Window.partitionBy("file", "page_id", "digest", "first").orderBy("place"))
+    return both.withColumn("turn", turn).groupBy("file", "page_id", "digest", "turn").agg(
+        F.max(F.when(F.col("first"), F.col("place"))).alias("a"), F.max(F.when(~F.col("first"), F.col("place"))).alias("b"))
+
+
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Leaves (:func:`leaves`) of two replicas -> the records in which they
-    differ: ``file, record_no, page_id, start_offset, end_offset, digest,
-    replica_digest`` (null where a side lacks the record)."""
+    """Leaves (:func:`leaves`) of two replicas -> the records that are damaged,
+    lost or added: ``file, record_no, page_id, start_offset, end_offset, digest,
+    replica_digest`` (null where a side lacks the record; places are those of the
+    first side if it has the record)."""
+    rest = _matched(*_suspects(one, other)).where("a is null or b is null").select(
+        "file", "page_id", F.col("a").isNotNull().alias("first"),
+        F.struct(F.coalesce("a", "b").alias("place"), "digest").alias("leaf"))
+    turn = F.row_number().over(Window.partitionBy("file", "page_id", "first").orderBy("leaf"))
+    pairs = rest.withColumn("turn", turn).groupBy("file", "page_id", "turn").agg(
+        F.max(F.when(F.col("first"), F.col("leaf"))).alias("a"), F.max(F.when(~F.col("first"), F.col("leaf"))).alias("b"))
+    place = F.coalesce("a", "b")["place"]
+    return pairs.select("file", place["i"].alias("record_no"), "page_id", place["start"].alias("start_offset"),
+                        place["stop"].alias("end_offset"), F.col("a")["digest"].alias("digest"),
+                        F.col("b")["digest"].alias("replica_digest"))
+
+
+def shifted(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The sound records that stand elsewhere in the other replica: ``file,
+    page_id, digest, record_no, start_offset, replica_record_no,
+    replica_start_offset``."""
+    pairs = _matched(*_suspects(one, other))
+    return pairs.where("a.i <> b.i or a.start <> b.start").select(
+        "file", "page_id", "digest", F.col("a")["i"].alias("record_no"), F.col("a")["start"].alias("start_offset"),
+        F.col("b")["i"].alias("replica_record_no"), F.col("b")["start"].alias("replica_start_offset"))
+
+
+def _suspects(one: DataFrame, other: DataFrame) -> list[DataFrame]:
+    """The leaves of both sides that lie in mismatching ranges."""
     one, other = materialize(one, "leaves"), materialize(other, "leaves")
     ends = one.select("file", "i").unionAll(other.select("file", "i")).agg(
         F.max("i").alias("i"), F.min("file").alias("low"), F.max("file").alias("high")).first()
@@ -99,22 +138,21 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     for n in range(in_file + over_files, -1, -1):
         sides = []
         for t, name in zip(trees, ("digest", "replica_digest")):
-            level = t[n].select("file", "i", "start", "stop", F.col("digest").alias(name), *(["page_id"] if n == 0 else []))
+            level = t[n].select("file", "i", "start", "stop", F.col("digest").alias(name if n else "digest"),
+                                *([] if n else ["page_id"]))
             if wrong is not None:
                 above = ([F.col("file"), F.floor(F.col("i") / FAN)] if n < in_file
                          else [F.floor(F.col("file") / FAN), F.lit(0)])
                 level = (level.withColumns({"_f": above[0].cast("bigint"), "_i": above[1].cast("bigint")})
                          .join(wrong, ["_f", "_i"], "left_semi").drop("_f", "_i"))
             sides.append(level)
+        if n == 0:
+            return sides
         a, b = sides[0].alias("a"), sides[1].alias("b")
         differ = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.i") == F.col("b.i")), "full").where(
             ~F.col("digest").eqNullSafe(F.col("replica_digest"))
             | ~F.col("a.start").eqNullSafe(F.col("b.start")) | ~F.col("a.stop").eqNullSafe(F.col("b.stop")))
         file, i = F.coalesce("a.file", "b.file"), F.coalesce("a.i", "b.i")
-        if n == 0:
-            return differ.select(file.alias("file"), i.alias("record_no"), F.coalesce("a.page_id", "b.page_id").alias("page_id"),
-                                 F.coalesce("a.start", "b.start").alias("start_offset"),
-                                 F.coalesce("a.stop", "b.stop").alias("end_offset"), "digest", "replica_digest")
         wrong = materialize(differ.select(file.alias("_f"), i.alias("_i")), "mismatches")
     raise AssertionError
 

@@ -409,6 +409,28 @@ def test_fixity(spark):
     assert fixity.audit(none, none).count() == 0 and fixity.audit(whole, none).count() == len(rows)
 
 
+def test_fixity_of_lost_added_and_resized_records(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i % 40)) for i in range(3000)]
+    rows += [(10, f"r{i}", "again") for i in range(30)] + [(10, "r", "copy")] * 5 + [(None, None, f"n{i}") for i in range(9)]
+    records = fixity.record(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    whole = fixity.leaves(records, F.col("record"))
+    # lost, grown and truncated records; among repeated and null ids one damaged each
+    spoiled = (F.when(F.col("page_id").isin(20, 1500), F.concat("record", F.lit("!"))).when(F.col("page_id") == 1, F.lit(""))
+               .when(F.col("record").contains("r17\r") | F.col("record").contains("n4"), F.concat(F.lit("#"), F.col("record")))
+               .otherwise(F.col("record")))
+    found = fixity.audit(whole, fixity.leaves(records.where("coalesce(page_id not in (11, 1030), true)"), spoiled)).collect()
+    assert Counter((r.page_id, r.replica_digest is not None) for r in found if r.digest is not None) == Counter(
+        [(11, False), (1030, False), (20, True), (1500, True), (1, True), (10, True), (None, True)])
+    assert all(r.digest is not None for r in found)
+    fewer = fixity.leaves(records.where("coalesce(page_id <> 11, true)"), F.col("record"))
+    added = fixity.audit(fewer, whole).collect()
+    assert [(r.page_id, r.digest, r.replica_digest is not None) for r in added] == [(11, None, True)]
+    moved = fixity.shifted(whole, fewer).collect()
+    assert sorted(r.page_id for r in moved) == list(range(12, 1024))
+    assert {r.replica_record_no - r.record_no for r in moved} == {-1}
+    assert fixity.shifted(whole, whole).count() == 0
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark, small):
     import corpus_pipeline
