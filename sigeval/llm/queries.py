@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import conversation_repair, fixity, hnsw, jaccard, licenses, lm_score, mixing, packing, quality, secrets, spelling, token_output
+from . import conversation_repair, fixity, hnsw, jaccard, licenses, lm_score, mixing, packing, pieces, quality, secrets, spelling, token_output
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,6 +81,12 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_fixity"] = fixity.oracle()
 
 
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_documents(read_table(spark, sf_dir, "documents"),
+                                                  public_tokenizers.path("piece_bpe_32k.model"), end_id=2))
+
+
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.occurrences(read_table(spark, sf_dir, "documents")))
