@@ -1,16 +1,23 @@
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in whatever file system it names."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: trims all leading/trailing whitespace, including
-    newlines and tabs (``trim`` only removes spaces)."""
+    """Trims leading and trailing ASCII white space, newlines and tabs included
+    (``trim`` only removes spaces). Other code points that Python's
+    ``str.strip()`` trims (1c to 1f, 85, a0 and the like) stay."""
     return F.btrim(as_col(c), F.lit(" \t\n\x0b\f\r"))
 
 

@@ -119,13 +119,28 @@ def few_shot_block(examples: DataFrame, approach: str = "regular",
         .alias("examples"))
 
 
+MAX_BLOCK_EXAMPLES = 10_000     # a block is part of every prompt, so it must be small
+
+
+def block_text(examples: DataFrame, build=None, *args) -> str:
+    """The block of ``examples`` as a string for the plan, so that the
+    prompts are plain expressions. More examples than fit any prompt are an
+    error, not a collected table."""
+    if len(examples.select("id").take(MAX_BLOCK_EXAMPLES + 1)) > MAX_BLOCK_EXAMPLES:
+        raise ValueError(f"more than {MAX_BLOCK_EXAMPLES} examples for one prompt")
+    return (build or few_shot_block)(examples, *args).first().examples
+
+
 # ---------------------------------------------------------------- D5 messages
-def user_prompt(sequence, template_zero: str, template_few: str, block: Column | None) -> Column:
+def user_prompt(sequence, template_zero: str, template_few: str, block: Column | str | None) -> Column:
     """Zero-shot when ``block`` is None; otherwise the few-shot template, and a
-    zero-shot fallback when the block is empty."""
+    zero-shot fallback when the block is empty. A block given as text is
+    decided on at once."""
     zero = fill_template(template_zero, sequence=as_col(sequence))
-    if block is None:
+    if block is None or (isinstance(block, str) and not block):
         return zero
+    if isinstance(block, str):
+        return fill_template(template_few, sequence=as_col(sequence), examples=block)
     few = fill_template(template_few, sequence=as_col(sequence), examples=block)
     return F.when(F.coalesce(block, F.lit("")) == "", zero).otherwise(few)
 
@@ -248,10 +263,12 @@ def tuned_user_content(sequence, system_text: str, block: Column | None = None)
     """D8 user content: zero-shot ``system\\n\\nSequence: s``; with examples the
     numbered ``Sequence/Response`` pairs sit between system text and sequence."""
     zero = fill_template(K.TUNED_USER_ZERO_SHOT, system=system_text, sequence=as_col(sequence))
-    if block is None:
+    if block is None or (isinstance(block, str) and not block):
         return zero
     few = fill_template(K.TUNED_USER_FEW_SHOT, system=system_text, examples=block,
                         sequence=as_col(sequence))
+    if isinstance(block, str):
+        return few
     return F.when(F.coalesce(block, F.lit("")) == "", zero).otherwise(few)
 
 

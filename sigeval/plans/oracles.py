@@ -12,7 +12,7 @@ import string
 
 from .. import constants as K
 from ..operators import render as R
-from . import tables as T
+from ..operators.experiment import GRID
 
 NL = "chr(10)"
 
@@ -288,19 +288,28 @@ def wf1_sql(src):
 
 def runs_values():
     return "(VALUES " + ", ".join(f"({r}, {n}, {'true' if o else 'false'}, {lit(m)})"
-                                  for r, n, o, m in T.run_grid()) + ") AS runs(run, n_per_class, ood, model)"
+                                  for r, n, o, m in GRID) + ") AS runs(run, n_per_class, ood, model)"
+
+
+def nearest_example(shots: str, examples: str, test: str, name: str = "near") -> str:
+    """Class of the nearest example by peaks (the first of equal ones) for each
+    row of ``test`` and each number of shots; the middle class without examples."""
+    return f"""{name}_ex AS (SELECT label, class_rank, {tp('sequence')} AS peaks, row_number() OVER (ORDER BY k, id) AS n FROM {examples}),
+{name}_s AS (SELECT unnest([{shots}]) AS n_per_class),
+{name} AS (SELECT t.id, s.n_per_class, coalesce(arg_min(e.label, (abs(e.peaks - t.total_peaks), e.n)), {lit(K.CLASSES[1])}) AS pred
+   FROM {test} t CROSS JOIN {name}_s s LEFT JOIN {name}_ex e ON e.class_rank < s.n_per_class GROUP BY t.id, s.n_per_class)"""
 
 
 def run_eval_cte():
-    rep = reply(h("concat('resp', CAST(run AS VARCHAR))", "id") + " % 8", "sequence", "label")
-    return f"""tst AS (SELECT id, sequence, label, {range_flag(K.IN_RANGES)} AS f_in, {range_flag(K.OOD_RANGES)} AS f_ood
+    """The bundled base client answers by its examples, the tuned one by counting."""
+    return f"""{icl_sample_cte(max(K.SHOT_GRID))},
+tst AS (SELECT id, sequence, label, total_peaks, {range_flag(K.IN_RANGES)} AS f_in, {range_flag(K.OOD_RANGES)} AS f_ood
         FROM lab WHERE split = 'test'),
-fan AS (SELECT t.*, runs.* FROM tst t JOIN {runs_values()} ON (CASE WHEN runs.ood THEN t.f_ood ELSE t.f_in END)),
-frep AS (SELECT *, {rep} AS raw_response FROM fan),
-fev AS (SELECT run, n_per_class, ood, model, label,
-     CASE WHEN model = 'base' THEN coalesce({kw('raw_response')}, 'Unknown') = label
-          ELSE coalesce({parse_embedded('raw_response')} <> '' AND {parse_embedded('raw_response')} = label, false) END AS correct
-     FROM frep),
+{nearest_example(', '.join(map(str, K.SHOT_GRID)), 'icl_ex', 'tst')},
+fev AS (SELECT runs.*, t.id, t.label, CASE WHEN runs.model = 'base' THEN near.pred = t.label
+          ELSE {thr('t.total_peaks')} = t.label END AS correct
+     FROM tst t JOIN {runs_values()} ON (CASE WHEN runs.ood THEN t.f_ood ELSE t.f_in END)
+     JOIN near ON near.id = t.id AND near.n_per_class = runs.n_per_class),
 per_run AS (SELECT CAST(run AS BIGINT) AS run, CAST(n_per_class AS BIGINT) AS n_per_class, ood, model,
      CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total
      FROM fev GROUP BY run, n_per_class, ood, model),
@@ -310,6 +319,29 @@ drops AS (SELECT model, n_per_class,
      FROM per_run GROUP BY model, n_per_class)"""
 
 
+def icl_run_cte(where: str = "true"):
+    """Predictions of the few-shot run with four examples per class."""
+    return f"""{icl_sample_cte(4)},
+tst AS (SELECT * FROM lab WHERE split = 'test' AND {where}),
+{nearest_example('4', 'icl_ex', 'tst')},
+icl_run AS (SELECT t.id, t.sequence, t.label, near.pred, near.pred = t.label AS correct,
+            concat('This looks like ', near.pred, '.') AS raw_response FROM tst t JOIN near ON near.id = t.id)"""
+
+
+def metric_rows(src: str, rows: list, cte: str) -> str:
+    """The long metric table of ``src`` (label, correct)."""
+    for c in K.CLASSES:
+        rows = rows + [(f"{c} Accuracy", f"CAST({c}_acc AS VARCHAR)"), (f"{c} TP", f"CAST({c}_tp AS VARCHAR)"),
+                       (f"{c} Total", f"CAST({c}_tot AS VARCHAR)")]
+    agg_cols = ", ".join(["count(*) FILTER (WHERE correct) AS c", "count(*) AS t"] +
+                         [f"count(*) FILTER (WHERE label = {lit(c)} AND correct) AS {c}_tp, count(*) FILTER (WHERE label = {lit(c)}) AS {c}_tot"
+                          for c in K.CLASSES])
+    accs = ", ".join([f"{ratio('c', 't')} AS acc"] + [f"{ratio(f'{c}_tp', f'{c}_tot')} AS {c}_acc" for c in K.CLASSES])
+    union = "\nUNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS ord, {lit(m)} AS metric, {v} AS value FROM w"
+                                for i, (m, v) in enumerate(rows))
+    return with_base(cte, f"_a AS (SELECT {agg_cols} FROM {src})", f"w AS (SELECT *, {accs} FROM _a)", select=union)
+
+
 def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     sysp = R.load_prompt("regular", "system_prompt")
@@ -546,15 +578,26 @@ UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
         coalesce(t.acc_ood > b.acc_ood, false) AS tuned_recovers
         FROM (SELECT * FROM drops WHERE model = 'base') b LEFT JOIN (SELECT * FROM drops WHERE model = 'tuned') t
         ON b.n_per_class = t.n_per_class""")
-    rep0 = reply(h(lit("resp0"), "id") + " % 8", "sequence", "label")
-    rep1 = reply(h(lit("resp1"), "id") + " % 8", "sequence", "label")
-    o["model_compare"] = with_base(f"""_mc AS (SELECT id, label, {rep0} AS r0, {rep1} AS r1 FROM lab WHERE split = 'test'),
-        _ok AS (SELECT label, coalesce({kw('r0')}, 'Unknown') = label AS base_ok,
-                coalesce({parse_embedded('r1')} <> '' AND {parse_embedded('r1')} = label, false) AS tuned_ok FROM _mc),
-        _g AS (SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE base_ok) AS BIGINT) AS base_correct,
-               CAST(count(*) FILTER (WHERE tuned_ok) AS BIGINT) AS tuned_correct FROM _ok GROUP BY ROLLUP (label))""",
+    o["model_compare"] = with_base(run_eval_cte(), f"""_g AS (SELECT label, CAST(count(*) FILTER (WHERE model = 'base') AS BIGINT) AS n,
+               CAST(count(*) FILTER (WHERE model = 'base' AND correct) AS BIGINT) AS base_correct,
+               CAST(count(*) FILTER (WHERE model = 'tuned' AND correct) AS BIGINT) AS tuned_correct
+               FROM fev WHERE n_per_class = 4 AND NOT ood GROUP BY ROLLUP (label))""",
         select=f"""SELECT coalesce(label, 'ALL') AS label, n, base_correct, tuned_correct,
         {ratio('base_correct', 'n')} AS base_accuracy, {ratio('tuned_correct', 'n')} AS tuned_accuracy FROM _g""")
+
+    # ---- end to end
+    o["evaluate_icl"] = with_base(icl_run_cte(), select="""SELECT id, sequence, label AS true_class, pred AS predicted_class, correct,
+        raw_response, CAST(NULL AS VARCHAR) AS error FROM icl_run""")
+    o["evaluate_icl_metrics"] = metric_rows("icl_run", [
+        ("Overall Accuracy", "CAST(acc AS VARCHAR)"), ("Correct Predictions", "CAST(c AS VARCHAR)"),
+        ("Total Predictions", "CAST(t AS VARCHAR)"), ("Task", "'1'"), ("N-shots", "'4'"), ("Approach", "'regular'"),
+        ("OOD", "'True'"), ("Model", "'examples'")], icl_run_cte(range_flag(K.OOD_RANGES)))
+    o["evaluate_tuned"] = with_base(select=f"""SELECT id, sequence, label AS true_label, {thr('total_peaks')} AS pred_label,
+        {thr('total_peaks')} = label AS correct, substr({tjson(s, 'label')}, 1, 200) AS raw_response, CAST(NULL AS VARCHAR) AS error
+        FROM lab WHERE split = 'test'""")
+    o["resume_completion"] = with_base(select=f"""SELECT 'zero-shot' AS run, id, {tjson(s, 'label')} AS raw_response, CAST(NULL AS VARCHAR) AS error,
+        CAST(1 AS BIGINT) AS times_asked, CAST(CASE WHEN {h("'stopped'", 'id')} % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS attempt
+        FROM lab WHERE split = 'test'""")
     tid = "lambda t: (CAST(('0x' || substr(md5(t), 1, 6)) AS BIGINT) % 32000) + 3"
     o["mask_labels"] = with_base(pc_cte(), f"""_tk AS (SELECT id, list_concat([CAST(1 AS BIGINT)], list_transform(regexp_extract_all(prompt, {tok}), {tid})) AS p_ids,
         list_transform(regexp_extract_all(completion, {tok}), {tid}) AS c_ids FROM pc),

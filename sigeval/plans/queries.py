@@ -13,18 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import runs
 from ..functions import features as X
 from ..functions.hashing import seeded_bucket
 from ..operators import arrays as J
+from ..operators import experiment as I
 from ..operators import metrics as M
 from ..operators import parse as P
 from ..operators import render as R
 from ..operators import sampling as G
 from ..operators.augment import augment_noise
-from ..operators.complete import RuleClient, complete_batch
+from ..operators.complete import ExampleClient, RuleClient, complete_batch
 from ..operators.labels import range_labels
 from ..operators.ordering import hash_bucket, pin, row_number_by_key
-from ..session import read_table
+from ..operators.reply_log import complete_logged, log_rows
+from ..session import read_table, scratch_path
+from ..sources import io
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +41,7 @@ TUNED_N = 1             # examples per class in the tuned few-shot prompt
 SAMPLE_N = 50           # seeded sample size (tuned eval subset)
 HEAD_N = 50             # head size
 SEED = 42
+GRID_ROWS_PER_TASK = 2000   # prompts per task of the bundled clients, which answer at once
 
 
 def q(fn: Query) -> Query:
@@ -264,7 +269,7 @@ def prompt_few_shot(spark, d):
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
     lab = _shared_lab(spark, d)
-    block = R.few_shot_block(_icl_examples(lab, FEW_SHOT_N)).select("examples").scalar()
+    block = R.block_text(_icl_examples(lab, FEW_SHOT_N))
     return _split(lab, "test").select("id", R.user_prompt(F.col("sequence"), tz, tf, block)
                                            .alias("prompt"))
 
@@ -275,7 +280,7 @@ def messages(spark, d):
     tz = R.load_prompt("regular", "user_prompt_zero_shot")
     tf = R.load_prompt("regular", "user_prompt_few_shot")
     lab = _shared_lab(spark, d)
-    block = R.few_shot_block(_icl_examples(lab, MESSAGES_N)).select("examples").scalar()
+    block = R.block_text(_icl_examples(lab, MESSAGES_N))
     test = _split(lab, "test")
     m = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tf, block))
                     .alias("messages"))
@@ -296,7 +301,7 @@ def chat_template(spark, d):
 def prompt_finetuned(spark, d):
     """D8 — tuned prompt with one example per class."""
     lab = _shared_lab(spark, d)
-    block = R.tuned_block(_icl_examples(lab, TUNED_N)).select("examples").scalar()
+    block = R.block_text(_icl_examples(lab, TUNED_N), R.tuned_block)
     return _split(lab, "test").select(
         "id", R.tuned_prompt(F.col("sequence"), K.TUNED_SYSTEM_PROMPT, block).alias("prompt"))
 
@@ -369,15 +374,17 @@ def join_responses(spark, d):
                     pred.alias("predicted_class"), P.correct_icl(pred, F.col("label")).alias("correct"))
 
 
+def _zero_shot_messages(lab):
+    system = R.load_prompt("regular", "system_prompt")
+    tz = R.load_prompt("regular", "user_prompt_zero_shot")
+    test = _split(lab, "test")
+    return test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tz, None)).alias("messages"))
+
+
 @q
 def complete_batch_q(spark, d):
     """E1 — zero-shot message lists sent through the local rule client."""
-    system = R.load_prompt("regular", "system_prompt")
-    tz = R.load_prompt("regular", "user_prompt_zero_shot")
-    test = _split(_lab(spark, d), "test")
-    m = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tz, None))
-                    .alias("messages"))
-    return complete_batch(m, RuleClient)
+    return complete_batch(_zero_shot_messages(_lab(spark, d)), RuleClient)
 
 
 # ================================================================ F parsing
@@ -571,65 +578,78 @@ def label_consistency(spark, d):
 
 
 # ================================================================ I experiment
-def _run_evaluations(lab: DataFrame) -> DataFrame:
-    """Every test row under every run of the grid whose regime it belongs to
-    (in-distribution or shifted range of its label); fan-out is bounded by
-    the grid size. Base model: keyword parser; tuned: embedded JSON."""
-    test = _split(lab, "test").select(
-        "id", "sequence", "label", _range_flag(K.IN_RANGES).alias("_in"),
-        _range_flag(K.OOD_RANGES).alias("_ood"))
-    runs = F.array(*[F.struct(F.lit(r).cast("bigint").alias("run"),
-                              F.lit(n).cast("bigint").alias("n_per_class"),
-                              F.lit(o).alias("ood"), F.lit(m).alias("model"))
-                     for r, n, o, m in T.run_grid()])
-    fan = test.select("*", F.explode(runs).alias("r")).select(
-        "id", "sequence", "label", "_in", "_ood", "r.*")
-    fan = fan.where(F.when(F.col("ood"), F.col("_ood")).otherwise(F.col("_in")))
-    fan = T.with_replies(fan, F.concat(F.lit("resp"), F.col("run").cast("string")))
-    base_pred = F.coalesce(P.parse_keyword("raw_response"), F.lit(K.UNKNOWN))
-    tuned_pred = P.parse_embedded_json("raw_response")
-    ok = F.when(F.col("model") == "base", P.correct_icl(base_pred, F.col("label"))) \
-        .otherwise(P.correct_tuned(tuned_pred, F.col("label")))
-    return fan.select("run", "n_per_class", "ood", "model", "label", ok.alias("correct"))
-
-
-def _per_run(lab: DataFrame) -> DataFrame:
-    ev = _run_evaluations(lab)
-    return ev.groupBy("run", "n_per_class", "ood", "model").agg(
-        F.count_if("correct").cast("bigint").alias("correct"),
-        F.count(F.lit(1)).cast("bigint").alias("total"))
+def _grid(spark, d) -> DataFrame:
+    """Every test row of a regime completed under every model and number of
+    shots, and scored (:mod:`sigeval.operators.experiment`)."""
+    lab = _shared_lab(spark, d)
+    examples = pin(_icl_examples(lab, max(K.SHOT_GRID)))
+    return I.run_grid(_split(lab, "test"), examples, {"base": ExampleClient, "tuned": RuleClient},
+                      scratch_path(spark, "grid-replies"), rows_per_task=GRID_ROWS_PER_TASK)
 
 
 @q
 def sweep(spark, d):
-    return _per_run(_lab(spark, d)).withColumn("accuracy", M.ratio(F.col("correct"), F.col("total")))
+    return I.per_run(_grid(spark, d)).withColumn("accuracy", M.ratio(F.col("correct"), F.col("total")))
 
 
 @q
 def ood_drop(spark, d):
-    return M.ood_drop(_per_run(_lab(spark, d)))
+    return M.ood_drop(I.per_run(_grid(spark, d)))
 
 
 @q
 def hypothesis_verdict(spark, d):
-    return M.hypothesis_verdict(M.ood_drop(_per_run(_lab(spark, d))))
+    return M.hypothesis_verdict(M.ood_drop(I.per_run(_grid(spark, d))))
 
 
 @q
 def model_compare(spark, d):
-    """I4 — base vs tuned on the same test rows (two reply seeds on each row,
-    no join), per class and overall via ROLLUP."""
-    test = _split(_lab(spark, d), "test")
-    both = T.with_replies(T.with_replies(test, "resp0", "r0"), "resp1", "r1")
-    base_ok = P.correct_icl(F.coalesce(P.parse_keyword("r0"), F.lit(K.UNKNOWN)), F.col("label"))
-    tuned_ok = P.correct_tuned(P.parse_embedded_json("r1"), F.col("label"))
-    agg = both.select("label", base_ok.alias("base_ok"), tuned_ok.alias("tuned_ok")).rollup("label").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.count_if("base_ok").cast("bigint").alias("base_correct"),
-        F.count_if("tuned_ok").cast("bigint").alias("tuned_correct"))
-    return agg.select(F.coalesce("label", F.lit("ALL")).alias("label"), "n", "base_correct",
-                      "tuned_correct", M.ratio(F.col("base_correct"), F.col("n")).alias("base_accuracy"),
-                      M.ratio(F.col("tuned_correct"), F.col("n")).alias("tuned_accuracy"))
+    """I4 — base (four shots) against tuned on the same test rows."""
+    return I.model_compare(_grid(spark, d), FEW_SHOT_N)
+
+
+# ================================================================ end to end
+@q
+def evaluate_icl(spark, d):
+    """Sample, prompt, complete, parse, score: the predictions of a few-shot run."""
+    lab = _shared_lab(spark, d)
+    predictions, _ = runs.evaluate_icl(_split(lab, "icl"), _split(lab, "test"), ExampleClient, n_shots=FEW_SHOT_N,
+                                       reply_log=scratch_path(spark, "replies"))
+    return predictions
+
+
+@q
+def evaluate_icl_metrics(spark, d):
+    """The metric table of the same run on the shifted test rows."""
+    lab = _shared_lab(spark, d)
+    shifted = _split(lab, "test").where(I.in_ranges(K.OOD_RANGES))
+    _, metrics = runs.evaluate_icl(_split(lab, "icl"), shifted, ExampleClient, n_shots=FEW_SHOT_N, ood=True,
+                                   model_name="examples", reply_log=scratch_path(spark, "replies"))
+    return metrics
+
+
+@q
+def evaluate_tuned(spark, d):
+    """The tuned run end to end, written and read back: CSV predictions."""
+    out = scratch_path(spark, "tuned-run")
+    lab = _shared_lab(spark, d)
+    runs.evaluate_tuned(_split(lab, "test"), RuleClient, examples=_split(lab, "icl"), n_shots=TUNED_N, out_dir=out,
+                        reply_log=scratch_path(spark, "replies"), task=1, ood=False)
+    return io.read_predictions_csv(spark, out + "/predictions.csv", io.TUNED_PREDICTION_SCHEMA)
+
+
+@q
+def resume_completion(spark, d):
+    """E1 — a run that stopped after some prompts and is taken up again: each
+    reply once, with the number of rows that the log holds for it."""
+    log = scratch_path(spark, "replies")
+    m = pin(_zero_shot_messages(_shared_lab(spark, d)))
+    stopped = m.where(seeded_bucket("stopped", F.col("id"), 3) == 0)
+    complete_logged(stopped, RuleClient, log, "zero-shot", rows_per_task=GRID_ROWS_PER_TASK)
+    replies = complete_logged(m, RuleClient, log, "zero-shot", rows_per_task=GRID_ROWS_PER_TASK)
+    asked = log_rows(spark, log).groupBy("run", "id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("times_asked"), F.min("attempt").cast("bigint").alias("attempt"))
+    return replies.join(asked, ["run", "id"]).select("run", "id", "raw_response", "error", "times_asked", "attempt")
 
 
 # ================================================================ J arrays

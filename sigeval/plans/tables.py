@@ -112,13 +112,3 @@ def choice_replies(emb: DataFrame, seed: str = "choice") -> DataFrame:
            .when(style == 3, F.concat(nxt, F.lit(" or "), name))
            .otherwise(F.lit("No idea.")))
     return emb.select("vec_id", F.col("label").cast("bigint").alias("label"), raw.alias("raw"))
-
-
-# ---------------------------------------------------------------- experiment runs
-def run_grid() -> list[tuple[int, int, bool, str]]:
-    rows = []
-    for shots in K.SHOT_GRID:
-        for ood in (False, True):
-            for model in ("base", "tuned"):
-                rows.append((len(rows), shots, ood, model))
-    return rows

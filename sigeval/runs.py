@@ -3,8 +3,10 @@ studied pipeline does — build the datasets, evaluate with few-shot prompts,
 evaluate a tuned model, and build training records.
 
 Each run is a handful of DataFrame transformations plus one completion step.
-Completions are checkpointed once (``persist_completions``), so parsing,
-metrics and every sink read the stored replies and never call the model again.
+Replies are stored once, in a checkpoint (``persist_completions``) or, where a
+``reply_log`` is named, in a log that a restarted run goes on with (see
+:mod:`sigeval.operators.reply_log`); parsing, metrics and every sink read the
+stored replies and never call the model again.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .operators import sampling as G
 from .operators.complete import complete_batch, persist_completions
 from .operators.encode import encode_sequences
 from .operators.ordering import pin
+from .operators.reply_log import complete_logged
 from .plans.tables import split_of
 from .sources import io
 
@@ -78,17 +81,24 @@ def build_datasets(events: DataFrame, out_dir: str | None = None, seed: int = 42
     return out
 
 
+def _replies(msgs: DataFrame, client_factory, reply_log: str | None, run: str, **options) -> DataFrame:
+    if reply_log:
+        return complete_logged(msgs, client_factory, reply_log, run, **options).drop("run")
+    return persist_completions(complete_batch(msgs, client_factory, **options))
+
+
 # ---------------------------------------------------------------- few-shot evaluation
 def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *, task: int = 1,
                  n_shots: int = 4, approach: str = "regular", ood: bool = False,
                  model_name: str = "local-model", seed: int = 42, prompts_dir: str | None = None,
                  out_dir: str | None = None, run_ts: str | None = None,
-                 num_slots: int | None = None, threads_per_task: int = 1,
-                 retries: int = 0) -> tuple[DataFrame, DataFrame]:
+                 num_slots: int | None = None, threads_per_task: int = 1, retries: int = 0,
+                 reply_log: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Few-shot evaluation: ``n_shots`` examples per class, one message list
     per test row, batch completion, parsing, scoring. Returns
     ``(predictions, metrics_long)``; writes them under ``out_dir`` partitioned
-    by task / model / n_shots / ood when given."""
+    by task / model / n_shots / ood when given. With ``reply_log`` the
+    replies are kept there under a run named by the same four."""
     R.check_task(task)
     R.check_approach(approach)
     system = R.load_prompt(approach, "system_prompt", task, prompts_dir)
@@ -99,12 +109,11 @@ def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *,
         if examples is None:
             raise ValueError("examples are required when n_shots > 0")
         few = R.load_prompt(approach, "user_prompt_few_shot", task, prompts_dir)
-        ex = G.load_examples(examples, n_shots, seed)
-        block = R.few_shot_block(ex, approach).select("examples").scalar()
+        block = R.block_text(G.load_examples(examples, n_shots, seed), R.few_shot_block, approach)
     msgs = test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), zero, few, block))
                        .alias("messages"))
-    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots,
-                                                 threads_per_task=threads_per_task, retries=retries))
+    replies = _replies(msgs, client_factory, reply_log, f"task{task}-{approach}-{model_name}-{n_shots}-{'ood' if ood else 'in'}",
+                       num_slots=num_slots, threads_per_task=threads_per_task, retries=retries)
     rows = test.select("id", "sequence", F.col("label").alias("true_class")).join(replies, "id", "left")
     parsed = (P.parse_keyword("raw_response") if approach == "regular"
               else P.parse_fenced_json("raw_response"))
@@ -127,19 +136,22 @@ def evaluate_icl(examples: DataFrame | None, test: DataFrame, client_factory, *,
 def evaluate_tuned(test: DataFrame, client_factory, *, system_prompt: str = K.TUNED_SYSTEM_PROMPT,
                    examples: DataFrame | None = None, n_shots: int = 0, max_samples: int | None = None,
                    seed: int = 42, num_slots: int | None = None, threads_per_task: int = 1,
-                   retries: int = 0, **meta) -> tuple[DataFrame, DataFrame]:
+                   retries: int = 0, out_dir: str | None = None, reply_log: str | None = None,
+                   run: str = "tuned", **meta) -> tuple[DataFrame, DataFrame]:
     """Tuned-model evaluation: ``system\\n\\nSequence: s`` prompts (optionally
     with numbered example pairs), embedded-JSON parsing, tuned-form scoring.
-    Returns ``(predictions, summary)``."""
+    Returns ``(predictions, summary)``; with ``out_dir`` writes the
+    predictions as CSV and the summary as JSON, with ``reply_log`` keeps the replies
+    there under ``run``."""
     rows = G.head_n(test, max_samples)
     block = None
     if n_shots > 0 and examples is not None:
-        block = R.tuned_block(G.load_examples(examples, n_shots, seed)).select("examples").scalar()
+        block = R.block_text(G.load_examples(examples, n_shots, seed), R.tuned_block)
     user = R.tuned_user_content(F.col("sequence"), system_prompt, block)
     msgs = rows.select("id", F.array(F.struct(F.lit("user").alias("role"), user.alias("content")))
                        .alias("messages"))
-    replies = persist_completions(complete_batch(msgs, client_factory, num_slots=num_slots,
-                                                 threads_per_task=threads_per_task, retries=retries))
+    replies = _replies(msgs, client_factory, reply_log, run, num_slots=num_slots,
+                       threads_per_task=threads_per_task, retries=retries)
     j = rows.select("id", "sequence", F.col("label").alias("true_label")).join(replies, "id", "left")
     pred = P.parse_embedded_json("raw_response")
     predictions = j.select("id", "sequence", "true_label", pred.alias("pred_label"),
@@ -147,6 +159,9 @@ def evaluate_tuned(test: DataFrame, client_factory, *, system_prompt: str = K.TU
                            F.substring("raw_response", 1, 200).alias("raw_response"), "error")
     summary = M.run_summary(predictions, label_col="true_label", n_shots=n_shots,
                             system_prompt_used=system_prompt, **meta)
+    if out_dir:
+        io.write_predictions_csv(predictions, os.path.join(out_dir, "predictions.csv"))
+        io.write_summary_json(summary, os.path.join(out_dir, "summary.json"))
     return predictions, summary
 
 

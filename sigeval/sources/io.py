@@ -14,26 +14,19 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..operators.ordering import global_index
 from ..functions import features as X
-from ..functions.util import strip
+from ..functions.util import path_exists, strip
 from ..operators import render as R
 
 REQUIRED_EXAMPLE_COLUMNS = ("sequence", "label")
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jpath)
-
-
 # ---------------------------------------------------------------- A1
 def read_examples_csv(spark: SparkSession, path: str, required=REQUIRED_EXAMPLE_COLUMNS) -> DataFrame:
     """Labelled CSV read by header name (all strings, no positional schema);
     absent file -> FileNotFoundError; missing required column -> ValueError.
     ``file_pos`` keeps the file order; ``total_picos`` is cast when present."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"no example table at {path}")
     df = spark.read.options(**CSV_OPTIONS).csv(path)
     if absent := set(required).difference(df.columns):
@@ -149,6 +142,10 @@ PREDICTION_SCHEMA = "id string, sequence string, true_class string, predicted_cl
                     "correct boolean, raw_response string"
 
 
+TUNED_PREDICTION_SCHEMA = "id string, sequence string, true_label string, pred_label string, " \
+                          "correct boolean, raw_response string, error string"
+
+
 def write_predictions_csv(df: DataFrame, path: str) -> None:
     """Replies with quotes and newlines survive: doubled-quote escaping."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
@@ -176,7 +173,7 @@ def read_training_config(spark: SparkSession, path: str,
                          default_prompt: str = K.TUNED_SYSTEM_PROMPT) -> DataFrame:
     """One-row config; ``system_prompt`` falls back to ``default_prompt`` when
     the file is absent, the key is missing, or the value is null."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([(default_prompt,)], "system_prompt string")
     df = spark.read.json(path)
     if "system_prompt" not in df.columns:
