@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import features as X
+from .arrays import TOKEN_PATTERN
 
 RATIO_DIGITS = 6
 
@@ -220,9 +221,6 @@ def balance_check(head: DataFrame, label_col: str = "label",
     return counts.select(label_col, "n", (smallest >= min_per_class).alias("balanced"))
 
 
-TOKEN_PATTERN = r"\w+|[^\w\s]"
-
-
 def token_count(text, pattern: str = TOKEN_PATTERN) -> Column:
     """Default tokenizer stand-in: words and single punctuation marks."""
     t = F.col(text) if isinstance(text, str) else text

@@ -252,6 +252,40 @@ def assemble_chat(pieces: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                           .alias("chat")))
 
 
+PART_TURNS = 1024       # turns of a conversation rendered as one value
+
+
+def chat_parts(conv: DataFrame, template: ChatTemplate = TURN_TEMPLATE, add_generation_prompt: bool = True,
+               part_turns: int = PART_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+               text_col: str = "text") -> DataFrame:
+    """D7 — rendered chats ``(conv_id, part, n_turns, text)``: the chat of a
+    conversation is the text of its parts in order. A part holds ``part_turns``
+    consecutive turn numbers, so a conversation with a third of all rows is
+    rendered by as many tasks as it has parts; small conversations have one part.
+
+    The first part starts with the opening token, the last one ends with the
+    generation header; both are found by an aggregate over (conversation, part)
+    and joined on both, so no join is keyed by the conversation alone. Null
+    turns come first, rows of one turn stand in the order of role and text, null
+    texts and roles are empty, null ids are one conversation."""
+    part = F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / part_turns).cast("bigint")
+    role = F.coalesce(F.col(role_col), F.lit(""))
+    rows = conv.select(F.col(conv_col).alias("conv_id"), part.alias("part"), F.struct(
+        F.col(turn_col).cast("bigint").alias("turn"), role.alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("m"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: template.turn(m["role"], m["text"])), "")
+    parts = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n_turns"), body.alias("body"))
+    ends = (conv.groupBy(F.col(conv_col).alias("conv_id")).agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
+            .select("conv_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("part"), "lo", "hi")
+            .select("conv_id", "part", (F.col("part") == F.col("lo")).alias("opens"), (F.col("part") == F.col("hi")).alias("closes")))
+    p, e = parts.alias("p"), ends.alias("e")
+    joined = p.join(e, F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("p.part") == F.col("e.part")), "left")
+    tail = template.generation_header if add_generation_prompt else ""
+    return joined.select("p.conv_id", "p.part", "p.n_turns", F.concat(
+        F.when(F.col("e.opens"), F.lit(template.bos)).otherwise(F.lit("")), "p.body",
+        F.when(F.col("e.closes"), F.lit(tail)).otherwise(F.lit(""))).alias("text"))
+
+
 # ---------------------------------------------------------------- D8 / D9 / D11
 def tuned_example(seq, label, n) -> Column:
     s = as_col(seq)

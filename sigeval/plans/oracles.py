@@ -585,6 +585,27 @@ UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
         select=f"""SELECT coalesce(label, 'ALL') AS label, n, base_correct, tuned_correct,
         {ratio('base_correct', 'n')} AS base_accuracy, {ratio('tuned_correct', 'n')} AS tuned_accuracy FROM _g""")
 
+    o["rendered_chats"] = f"""WITH _p AS (SELECT conv_id, turn // 4 AS part, count(*) AS n_turns,
+        string_agg(concat('<start_of_turn>', CASE WHEN role = 'assistant' THEN 'model' ELSE role END, chr(10), text,
+                          '<end_of_turn>', chr(10)), '' ORDER BY turn, role, text) AS body FROM conversations GROUP BY 1, 2),
+        _t AS (SELECT *, concat(CASE WHEN part = min(part) OVER w THEN '<bos>' ELSE '' END, body,
+                 CASE WHEN part = max(part) OVER w THEN concat('<start_of_turn>model', chr(10)) ELSE '' END) AS text
+               FROM _p WINDOW w AS (PARTITION BY conv_id))
+        SELECT concat('folder=', {h("'chat'", 'conv_id')} % 16) AS path, conv_id, CAST(count(*) AS BIGINT) AS n_parts,
+               CAST(sum(n_turns) AS BIGINT) AS n_turns, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
+               sha256(string_agg(sha256(text), chr(10) ORDER BY part)) AS sha256 FROM _t GROUP BY conv_id"""
+    span = r"'\s?\w+|\s?[^\w\s]|\s'"
+    o["loss_masks"] = with_base(pc_cte(), f"""_x AS (SELECT id, length(prompt) AS border, regexp_extract_all(concat(prompt, completion), {span}) AS t FROM pc),
+        _w AS (SELECT id, border, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM _x),
+        _s AS (SELECT *, sum(length(token)) OVER (PARTITION BY id ORDER BY i) - length(token) AS start FROM _w),
+        _v AS (SELECT token, row_number() OVER (ORDER BY token) + 2 AS token_id FROM (SELECT DISTINCT token FROM _w)),
+        _n AS (SELECT id, count(*) AS n FROM _s GROUP BY id),
+        _a AS (SELECT id, i + 2 AS place, token_id, CASE WHEN start < border THEN {K.MASK_ID} ELSE token_id END AS label FROM _s JOIN _v USING (token)
+               UNION ALL SELECT id, unnest([0, 1, 2]), unnest([1, 2, 2]), {K.MASK_ID} FROM _n
+               UNION ALL SELECT id, unnest(generate_series(n + 3, ((n + 2) // 64 + 1) * 64 - 1)), 0, {K.MASK_ID} FROM _n)""",
+        select="""SELECT id, CAST(place // 64 AS BIGINT) AS "window", CAST(place % 64 AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS input_id,
+        CAST(label AS BIGINT) AS label FROM _a""")
+
     # ---- end to end
     o["evaluate_icl"] = with_base(icl_run_cte(), select="""SELECT id, sequence, label AS true_class, pred AS predicted_class, correct,
         raw_response, CAST(NULL AS VARCHAR) AS error FROM icl_run""")

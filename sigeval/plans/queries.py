@@ -41,6 +41,9 @@ TUNED_N = 1             # examples per class in the tuned few-shot prompt
 SAMPLE_N = 50           # seeded sample size (tuned eval subset)
 HEAD_N = 50             # head size
 SEED = 42
+CHAT_PART_TURNS = 4
+WINDOW_LENGTH = 64      # ids per training window
+IMAGE_SLOTS = 2         # image ids after the first id of a record
 GRID_ROWS_PER_TASK = 2000   # prompts per task of the bundled clients, which answer at once
 
 
@@ -297,6 +300,15 @@ def chat_template(spark, d):
     return R.chat_turn_pieces(read_table(spark, d, "conversations"))
 
 
+@q
+def rendered_chats(spark, d):
+    """D7 — whole chats written to files and read back: one record per
+    conversation. Parts of four turns, so that chats of several parts occur."""
+    path = scratch_path(spark, "chats")
+    io.write_chats(R.chat_parts(read_table(spark, d, "conversations"), part_turns=CHAT_PART_TURNS), path)
+    return io.chat_index(io.read_chats(spark, path))
+
+
 @q
 def prompt_finetuned(spark, d):
     """D8 — tuned prompt with one example per class."""
@@ -676,6 +688,22 @@ def mask_labels(spark, d):
     return out.select("id", "pos", "input_id", label.alias("label"))
 
 
+@q
+def loss_masks(spark, d):
+    """J1/J2 — fixed-length windows of real ids (a vocabulary fitted to the
+    pairs) with image and pad ids; loss on whole completion tokens only, where
+    one token crosses the border between prompt and completion."""
+    pc = pin(_prompt_completion(_lab(spark, d)).select(
+        "id", F.concat("prompt", "completion").alias("text"), F.length("prompt").alias("border")))
+    tokens = pin(J.tokens(pc, "text", "border"))
+    ids = J.encode(tokens, J.fit_vocabulary(tokens))
+    windows = J.windows(ids, WINDOW_LENGTH, image_slots=IMAGE_SLOTS)
+    labels = J.window_labels(F.col("ids"), F.col("n_masked"), F.col("window"), WINDOW_LENGTH)
+    return (windows.select("id", "window", F.posexplode(F.arrays_zip(F.col("ids"), labels.alias("labels"))).alias("pos", "z"))
+            .select("id", "window", F.col("pos").cast("bigint").alias("pos"), F.col("z.ids").alias("input_id"),
+                    F.col("z.labels").alias("label")))
+
+
 # keys that differ from the Python function names
 QUERIES["augment_noise"] = QUERIES.pop("augment_noise_q")
 QUERIES["complete_batch"] = QUERIES.pop("complete_batch_q")

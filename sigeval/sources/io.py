@@ -12,30 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..operators.ordering import global_index
 from ..functions import features as X
+from ..functions.hashing import seeded_bucket
 from ..functions.util import path_exists, strip
 from ..operators import render as R
+from .quoted_csv import file_positions, read_quoted_csv
 
 REQUIRED_EXAMPLE_COLUMNS = ("sequence", "label")
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# white space at the ends of a value is part of it
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 # ---------------------------------------------------------------- A1
 def read_examples_csv(spark: SparkSession, path: str, required=REQUIRED_EXAMPLE_COLUMNS) -> DataFrame:
     """Labelled CSV read by header name (all strings, no positional schema);
     absent file -> FileNotFoundError; missing required column -> ValueError.
-    ``file_pos`` keeps the file order; ``total_picos`` is cast when present."""
+    ``file_pos`` keeps the file order; ``total_picos`` is cast when present. A
+    large file is read by many tasks, newlines in quoted fields included."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no example table at {path}")
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    df = read_quoted_csv(spark, path)
     if absent := set(required).difference(df.columns):
         raise ValueError(f"{path} lacks {', '.join(sorted(absent))}")
-    names = df.columns
-    df = df.select(*names, F.col("_metadata.file_path").alias("_f"),
-                   F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_r"))
-    # by path, block and record: tasks don't take files in that order
-    df = global_index(df, ["_f", "_b", "_r"], [F.col("_f"), F.col("_b")], out="file_pos").drop("_f", "_b", "_r")
+    df = file_positions(df).drop("_file", "_record")
     if "total_picos" in df.columns:
         df = df.withColumn("total_picos", F.col("total_picos").try_cast("int"))
     return df
@@ -137,6 +137,39 @@ def write_chat_jsonl(df: DataFrame, path: str, system_text: str = K.TUNED_SYSTEM
         .write.mode("overwrite").json(path)
 
 
+# ---------------------------------------------------------------- D7 rendered chats
+CHAT_FOLDERS = 16
+CHAT_SCHEMA = "conv_id bigint, part bigint, n_turns bigint, text string"
+
+
+def write_chats(parts: DataFrame, path: str, folders: int = CHAT_FOLDERS) -> None:
+    """Rendered chats as JSON lines, dealt to ``folders`` by a hash of the
+    conversation and, inside a folder, sorted by (conversation, part). Rows are
+    dealt to tasks by ranges of all three, so a conversation with very many parts is
+    written by several tasks, into several files that follow each other."""
+    dealt = parts.withColumn("folder", seeded_bucket("chat", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), folders))
+    (dealt.repartitionByRange("folder", "conv_id", "part").sortWithinPartitions("folder", "conv_id", "part")
+     .write.mode("overwrite").partitionBy("folder").json(path))
+
+
+def read_chats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHAT_SCHEMA + ", folder bigint").json(path)
+
+
+def chat_index(chats: DataFrame) -> DataFrame:
+    """One record per conversation of :func:`read_chats`: its folder, parts,
+    turns, bytes, and the SHA-256 of its parts' SHA-256 lines in order. A part's
+    hash is taken where the part is; only the hashes meet."""
+    digest = chats.select("folder", "conv_id", "part", "n_turns", F.octet_length("text").alias("bytes"),
+                          F.sha2("text", 256).alias("sha"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha"))), lambda x: x["sha"]), "\n")
+    return (digest.groupBy("folder", "conv_id")
+            .agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_turns").alias("n_turns"),
+                 F.sum("bytes").cast("bigint").alias("bytes"), F.sha2(lines, 256).alias("sha256"))
+            .select(F.concat(F.lit("folder="), F.col("folder").cast("string")).alias("path"), "conv_id", "n_parts", "n_turns",
+                    "bytes", "sha256"))
+
+
 # ---------------------------------------------------------------- A7 / A8 / A9
 PREDICTION_SCHEMA = "id string, sequence string, true_class string, predicted_class string, " \
                     "correct boolean, raw_response string"
@@ -152,7 +185,8 @@ def write_predictions_csv(df: DataFrame, path: str) -> None:
 
 
 def read_predictions_csv(spark: SparkSession, path: str, schema: str = PREDICTION_SCHEMA) -> DataFrame:
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    """Predictions in any number of tasks, newlines in replies included."""
+    return read_quoted_csv(spark, path, T.StructType.fromDDL(schema)).drop("_file", "_record")
 
 
 def write_metrics_csv(metrics_long: DataFrame, path: str) -> None:
