@@ -210,6 +210,15 @@ def peak_stats(df: DataFrame, ranges: DataFrame, regime: str = "in",
                     .alias("within_range"))
 
 
+def label_mismatches(df: DataFrame, label_col: str = "label", seq_col: str = "sequence") -> DataFrame:
+    """H16 — rows per stored label, and those whose label is not the threshold label
+    of the peaks recounted in the sequence."""
+    recounted = X.label_by_threshold(X.total_peaks(seq_col))
+    return df.groupBy(F.col(label_col).alias("label")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.count_if(~recounted.eqNullSafe(F.col(label_col))).cast("bigint").alias("n_mismatch"))
+
+
 # ---------------------------------------------------------------- H12–H14
 def balance_check(head: DataFrame, label_col: str = "label",
                   min_per_class: int = K.BALANCE_MIN_PER_CLASS) -> DataFrame:

@@ -32,8 +32,10 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hash_bucket(key: str, digits: int = 3) -> Column:
-    """Bucket of a hexadecimal sort key: its first digits."""
+def hash_bucket(key: str, digits: int = 5) -> Column:
+    """Bucket of a hexadecimal sort key: its first digits. With five, the running
+    sum sees at most 2^20 counts at every size, and a bucket of a table of 10^12
+    rows holds a million."""
     return F.substring(key, 1, digits)
 
 
@@ -62,6 +64,16 @@ def row_number_by_key(df: DataFrame, keys: list[str], order: list[str], bucket,
                                             (F.col(f"o.{_OFF}") + F.col(f"l.{_LOCAL}")).alias(out))
 
 
+def ranged_index(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
+    """0-based position in any order, where no bucket is known: rows are dealt to
+    tasks by ranges of ``order`` and written once (a second evaluation would draw
+    other ranges); the ranges are the buckets. Equal rows may take any of their
+    places."""
+    ranged = pin(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+                 .sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()))
+    return global_index(ranged, ["__row"], F.col("__range"), out=out).drop("__range", "__row")
+
+
 def global_index(df: DataFrame, order: list[str], bucket, out: str = "pos",
                  total: str | None = None) -> DataFrame:
     """0-based position of every row in the total order ``order`` (which must

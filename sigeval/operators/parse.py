@@ -127,6 +127,20 @@ def parse_fenced_concepts(reply) -> Column:
     return F.when(ok, last_value(m, K.CBM_CONCEPTS_KEY))
 
 
+# types of the concepts in a reply, by key
+CONCEPT_TYPES = dict(zip(K.CONCEPT_KEYS, ("bigint", "bigint", "double", "double", "boolean")))
+
+
+def concept_values(reply) -> Column:
+    """F6 — the concepts of a reply with their types: a struct with one field per
+    key, null where the reply lacks it or holds another type, and ``payload``,
+    the whole object as VARIANT. Numbers stay numbers. Null for a reply that
+    :func:`parse_fenced_json` would not read."""
+    v = F.try_parse_json(parse_fenced_concepts(reply))
+    fields = [F.try_variant_get(v, f"$.{k}", t).alias(k) for k, t in CONCEPT_TYPES.items()]
+    return F.when(v.isNotNull(), F.struct(*fields, v.alias("payload")))
+
+
 # ---------------------------------------------------------------- F3 embedded JSON
 def parse_embedded_json(reply) -> Column:
     """Tuned-model reply: the first embedded object; its ``Label`` when it

@@ -9,15 +9,17 @@ most of the table. Data-dependent limits use the skew-safe numbering.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.features import class_index
 from ..functions.hashing import seeded_key
-from .ordering import global_index, hash_bucket, row_number_by_key
+from .ordering import global_index, hash_bucket, ranged_index, row_number_by_key
 
 SHUFFLE_KEY = "shuffle_key"
+LARGE_SAMPLE = 100_000      # rows of a class that one task ranks at most
 
 
 def with_shuffle_key(df: DataFrame, seed: int | str = 42, id_col: str = "id") -> DataFrame:
@@ -38,6 +40,9 @@ def sample_balanced(df: DataFrame, n_per_class: int, seed: int | str = 42,
     if n_per_class is None or n_per_class < 0:
         raise ValueError("n_per_class must be a non-negative integer")
     keyed = with_shuffle_key(known_classes(df, label_col, classes), seed, id_col)
+    if n_per_class > LARGE_SAMPLE:      # too many for one task per class: the same ranks by buckets
+        ranked = row_number_by_key(keyed, [label_col], [SHUFFLE_KEY, id_col], hash_bucket(SHUFFLE_KEY), out=rank_col)
+        return ranked.where(F.col(rank_col) < n_per_class)
     w = Window.partitionBy(label_col).orderBy(SHUFFLE_KEY, id_col)
     # filter on the bare row_number so Spark plans a partial WindowGroupLimit
     # (top-n per class per map task) before the shuffle
@@ -67,17 +72,21 @@ def shuffle(df: DataFrame, seed: int | str = 42, id_col: str = "id",
 
 def with_row_id(df: DataFrame, id_col: str = "id", order: list[str] | None = None) -> DataFrame:
     """B6 — row id fallback: the ``id`` column when present and set, else the
-    row's 0-based position (in ``order``, whose first column should have many
-    values, or read order), as a string."""
+    row's 0-based position in ``order``, as a string. Without ``order`` that is the
+    place in the files, by path, block and record, if ``df`` reads files, else the
+    order of its partitions. No task sees more than a range of the rows."""
     if order is None:
         base = df.withColumn("_read_pos", F.monotonically_increasing_id())
-        order, bucket = ["_read_pos"], F.shiftright("_read_pos", 33)
+        try:
+            base = base.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+            pos = global_index(base, ["_path", "_block", "_read_pos"], [F.col("_path"), F.col("_block")], out="_row_pos")
+        except AnalysisException:       # no file source
+            pos = global_index(base, ["_read_pos"], F.shiftright("_read_pos", 33), out="_row_pos")
     else:
-        base, bucket = df, [F.col(order[0])]
-    pos = global_index(base, order, bucket, out="_row_pos")
+        pos = ranged_index(df, order, out="_row_pos")
     fallback = F.col("_row_pos").cast("string")
     rid = F.coalesce(F.col(id_col).cast("string"), fallback) if id_col in df.columns else fallback
-    return pos.withColumn(id_col, rid).drop("_row_pos", "_read_pos")
+    return pos.withColumn(id_col, rid).drop("_row_pos", "_read_pos", "_path", "_block")
 
 
 def sample_n(df: DataFrame, n: int, seed: int | str = 42, id_col: str = "id") -> DataFrame:

@@ -606,6 +606,49 @@ UNION ALL SELECT 'quality' AS dataset, * FROM {wf1_sql('lp')}"""
         select="""SELECT id, CAST(place // 64 AS BIGINT) AS "window", CAST(place % 64 AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS input_id,
         CAST(label AS BIGINT) AS label FROM _a""")
 
+    ck = K.CONCEPT_KEYS
+    body = f"json_extract({fenced_body('raw_response')}, '$.conceptos')"
+    o["parsed_concepts"] = with_base(f"""_f AS (SELECT id, {parse_fenced('raw_response')} AS fc_class,
+        CASE WHEN {whole_obj(fenced_body('raw_response'))} THEN {body} END AS c FROM resp WHERE split = 'test')""",
+        select=f"""SELECT id, fc_class, CAST(json_extract(c, '$.{ck[0]}') AS BIGINT) AS {ck[0]}, CAST(json_extract(c, '$.{ck[1]}') AS BIGINT) AS {ck[1]},
+        replace(replace(CAST(c AS VARCHAR), ': ', ':'), ', ', ',') AS payload
+        FROM _f WHERE fc_class IS NOT NULL""")
+    o["label_search"] = """SELECT d.doc_id, CAST(coalesce(min(b.item_id), -1) AS BIGINT) AS pred FROM documents d
+        LEFT JOIN (SELECT item_id, substr(text, 1, 40) AS name FROM benchmark) b ON contains(d.text, b.name) GROUP BY d.doc_id"""
+    o["range_matches"] = """SELECT p.p_partkey, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_items
+        FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) l
+        JOIN part p ON l.l_partkey BETWEEN p.p_partkey AND p.p_partkey + p.p_size * p.p_size GROUP BY 1"""
+    o["observed_sizes"] = with_base(select=f"""SELECT CAST(max(length(sequence)) AS BIGINT) AS sequence_length,
+        count(*) FILTER (WHERE split = 'train') AS n_train_pool, count(*) FILTER (WHERE split = 'icl') AS icl_total,
+        count(*) FILTER (WHERE split = 'test') AS test_total,
+        count(*) FILTER (WHERE split = 'test' AND {range_flag(K.OOD_RANGES)}) AS test_ood_total FROM lab""")
+    o["snapshot_results"] = with_base(select="""SELECT split, CAST(CASE WHEN split = 'icl' THEN 2 ELSE 1 END AS INTEGER) AS version, label,
+        count(*) AS n FROM lab GROUP BY split, label""")
+
+    o["label_recount"] = with_base(select="SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS n_mismatch FROM lab GROUP BY label")
+    o["stored_concepts"] = with_base(irregularity_cte(), select=conc.replace(
+        "irr.irregularity", f"CASE WHEN s.chunk % 2 = 0 THEN irr.irregularity ELSE {dbl(K.DEFAULT_IRREGULARITY)} END")
+        + " FROM seqs s JOIN irr ON s.id = irr.id")
+    o["appended_turns"] = with_base(select=f"""SELECT id, CAST(0 AS BIGINT) AS msg_idx, 'user' AS role, {zero_user} AS content FROM lab WHERE split = 'train'
+        UNION ALL SELECT id, CAST(1 AS BIGINT), 'model', {tjson(s, 'label')} FROM lab WHERE split = 'train'""")
+    o["row_ids"] = with_base(select="""SELECT CASE WHEN chunk % 2 = 0 THEN id ELSE CAST(row_number() OVER (ORDER BY sequence, id) - 1 AS VARCHAR) END AS id,
+        id AS source_id FROM lab WHERE split = 'test'""")
+    opa = f"({dbl(K.OOD_ARTIFACT_PROB[0])} + {u('aug-pa', 'id')} * {dbl(float(K.OOD_ARTIFACT_PROB[1]) - float(K.OOD_ARTIFACT_PROB[0]))})"
+    opn = f"({dbl(K.OOD_NOISE_PROB[0])} + {u('aug-pn', 'id')} * {dbl(float(K.OOD_NOISE_PROB[1]) - float(K.OOD_NOISE_PROB[0]))})"
+    o["shifted_dataset"] = with_base(f"""_tr AS (SELECT id, label, sequence, row_number() OVER (PARTITION BY label ORDER BY {key(42, 'id')}, id) - 1 AS class_rank
+        FROM lab WHERE split = 'test' AND {range_flag(K.OOD_RANGES)}),
+        _n AS (SELECT min(c) AS n FROM (SELECT label, count(*) AS c FROM _tr GROUP BY label)),
+        _k AS (SELECT *, ({cidx}) * (SELECT n FROM _n) + class_rank AS dataset_pos FROM _tr WHERE class_rank < (SELECT n FROM _n)),
+        _chars AS (SELECT id, label, dataset_pos, i, substr(sequence, i, 1) AS c, {u('aug', 'id', 'i')} AS u, {opa} AS pa, {opn} AS pn
+        FROM (SELECT *, unnest(generate_series(1, length(sequence))) AS i FROM _k))""",
+        select="""SELECT id, label, string_agg(CASE WHEN c = '.' THEN (CASE WHEN u < pa THEN '_' WHEN u < pa + pn THEN '~' ELSE c END) ELSE c END, '' ORDER BY i) AS sequence,
+        CAST(dataset_pos AS BIGINT) AS dataset_pos FROM _chars GROUP BY id, label, dataset_pos""")
+    late = "\nUNION ALL ".join(f"""SELECT id, label, {m} AS minute, {reply(h(lit(f'late{m}'), 'id') + ' % 8', 'sequence', 'label')} AS r
+        FROM lab WHERE split = 'test' AND {h(lit(f'late{m}'), 'id')} % 4 <> 0""" for m in (1, 2, 3))
+    o["late_replies"] = with_base(f"_l AS ({late})", "_b AS (SELECT id, label, arg_max(r, minute) AS r FROM _l GROUP BY id, label)",
+        select=f"""SELECT label, CAST(count(*) FILTER (WHERE coalesce({kw('r')}, 'Unknown') = label) AS BIGINT) AS correct,
+        count(*) AS total FROM _b GROUP BY label""")
+
     # ---- end to end
     o["evaluate_icl"] = with_base(icl_run_cte(), select="""SELECT id, sequence, label AS true_class, pred AS predicted_class, correct,
         raw_response, CAST(NULL AS VARCHAR) AS error FROM icl_run""")

@@ -24,11 +24,15 @@ from ..operators import render as R
 from ..operators import sampling as G
 from ..operators.augment import augment_noise
 from ..operators.complete import ExampleClient, RuleClient, complete_batch
+from ..operators.label_search import first_label
 from ..operators.labels import range_labels
 from ..operators.ordering import hash_bucket, pin, row_number_by_key
+from ..operators.ranges import range_join
 from ..operators.reply_log import complete_logged, log_rows
 from ..session import read_table, scratch_path
 from ..sources import io
+from ..sources.snapshot import read_snapshot, write_snapshot
+from ..streaming import corrections
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +46,7 @@ SAMPLE_N = 50           # seeded sample size (tuned eval subset)
 HEAD_N = 50             # head size
 SEED = 42
 CHAT_PART_TURNS = 4
+LABEL_CHARS = 40        # opening characters of an item that name it
 WINDOW_LENGTH = 64      # ids per training window
 IMAGE_SLOTS = 2         # image ids after the first id of a record
 GRID_ROWS_PER_TASK = 2000   # prompts per task of the bundled clients, which answer at once
@@ -143,6 +148,14 @@ def correctness_ft(spark, d):
                     F.substring("raw_response", 1, 200).alias("raw_response"))
 
 
+@q
+def row_ids(spark, d):
+    """B6 — the id where a row has one, else its position in the order of sequence."""
+    rows = _split(_lab(spark, d), "test").select(F.when(F.col("chunk") % 2 == 0, F.col("id")).alias("id"), "sequence",
+                                                 F.col("id").alias("source_id"))
+    return G.with_row_id(rows, order=["sequence", "source_id"]).select("id", "source_id")
+
+
 # ================================================================ C features
 @q
 def encode_sequences(spark, d):
@@ -183,6 +196,16 @@ def concepts(spark, d):
     return T.seqs(spark, d).select("id", c.alias("c")).select("id", "c.*")
 
 
+@q
+def stored_concepts(spark, d):
+    """C5, second form — stored concepts where a row has them, else derived with
+    the default irregularity."""
+    s = T.seqs(spark, d)
+    kept = F.when(F.col("chunk") % 2 == 0, X.concepts(F.col("sequence")))
+    rows = s.select("id", "sequence", kept.alias("concepts"))
+    return rows.select("id", X.concepts_or_stored(rows.columns).alias("c")).select("id", "c.*")
+
+
 @q
 def label_by_threshold(spark, d):
     return _lab(spark, d).select("id", "total_peaks", "label")
@@ -196,6 +219,34 @@ def label_by_range(spark, d):
     return range_labels(lab, T.label_ranges(spark)).select("id", "total_peaks", "regime", "label")
 
 
+@q
+def range_matches(spark, d):
+    """C7 with a range table that grows with the data: each part spans as many
+    keys as its size; line items per part in whose span their part lies."""
+    spans = read_table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("lo"),
+                                                (F.col("p_partkey") + F.col("p_size") * F.col("p_size")).alias("hi"))
+    items = read_table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return range_join(items, spans, "l_partkey").groupBy("p_partkey").agg(
+        F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_items"))
+
+
+@q
+def observed_sizes(spark, d):
+    """A10/H15 — sizes by split, observed while the labelled table is written."""
+    _, sizes = io.write_observed(_lab(spark, d), "sizes", runs.sizes_by_split())
+    return spark.createDataFrame([tuple(sizes.values())], ", ".join(f"{k} bigint" for k in sizes))
+
+
+@q
+def snapshot_results(spark, d):
+    """A13/A14 — predictions committed by split; a second run replaces one."""
+    path = scratch_path(spark, "snapshots")
+    lab = _shared_lab(spark, d).select("id", "split", "label")
+    write_snapshot(lab.withColumn("version", F.lit(1)), path, by=("split",))
+    write_snapshot(_split(lab, "icl").withColumn("version", F.lit(2)), path, by=("split",))
+    return read_snapshot(spark, path).groupBy("split", "version", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q
 def augment_noise_q(spark, d):
     return T.seqs(spark, d).select("id", augment_noise(F.col("sequence"), F.col("id")).alias("augmented"))
@@ -339,6 +390,17 @@ def chat_records(spark, d):
     return R.explode_messages(m, ["id"])
 
 
+@q
+def appended_turns(spark, d):
+    """D10 — the zero-shot messages with the answer appended as a model turn."""
+    rows = _lab(spark, d)
+    user = F.array(F.struct(F.lit("user").alias("role"), R.tuned_user_content(
+        F.col("sequence"), K.TUNED_SYSTEM_PROMPT).alias("content")))
+    m = _split(rows, "train").select("id", R.append_turn(user, "model", X.target_json("sequence", F.col("label")))
+                                     .alias("messages"))
+    return R.explode_messages(m, ["id"])
+
+
 def _choice_prompt_col():
     return R.choice_question(F.array(*[F.lit(n) for n in K.CHOICE_NAMES]))
 
@@ -393,6 +455,21 @@ def _zero_shot_messages(lab):
     return test.select("id", R.messages(test, system, R.user_prompt(F.col("sequence"), tz, tz, None)).alias("messages"))
 
 
+@q
+def late_replies(spark, d):
+    """E2 — replies that come in three files, repeated and out of order, scored as
+    a stream; the counters of the last reply per id."""
+    base = scratch_path(spark, "late-replies")
+    lab = pin(_split(_lab(spark, d), "test").select("id", "sequence", "label"))
+    for minute, seed in ((2, "late2"), (1, "late1"), (3, "late3")):
+        rows = T.with_replies(lab, seed).where(seeded_bucket(seed, F.col("id"), 4) != 0)
+        (rows.select("id", F.timestamp_seconds(F.lit(minute * 60)).alias("ts"), "raw_response")
+         .coalesce(1).write.parquet(f"{base}/in/{minute}"))
+    stream = corrections.start_corrections(spark, f"{base}/in/*", lab, f"{base}/out", base.rsplit("/", 1)[1], files_per_batch=1)
+    stream.awaitTermination()
+    return corrections.corrected_metrics(spark, f"{base}/out")
+
+
 @q
 def complete_batch_q(spark, d):
     """E1 — zero-shot message lists sent through the local rule client."""
@@ -435,6 +512,25 @@ def completion_labels(spark, d):
     return pc.select("id", "label", P.completion_label("completion").alias("completion_label"))
 
 
+@q
+def parsed_concepts(spark, d):
+    """F6 — typed concepts of the fenced replies, numbers as numbers."""
+    p = _predictions(_lab(spark, d)).select("id", P.parse_fenced_json("raw_response").alias("fc_class"),
+                                            P.concept_values("raw_response").alias("c"))
+    return p.where("c is not null").select("id", "fc_class", *[F.col(f"c.{k}").alias(k) for k in K.CONCEPT_KEYS[:2]],
+                                           F.to_json("c.payload").alias("payload"))
+
+
+@q
+def label_search(spark, d):
+    """F4 over a label table — the first benchmark item whose opening words stand in
+    a document, over whole texts."""
+    items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("label"),
+                                                     F.substring("text", 1, LABEL_CHARS).alias("name"))
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return first_label(docs, "text", items).select("doc_id", "pred")
+
+
 # ================================================================ G sampling
 @q
 def sample_balanced(spark, d):
@@ -479,6 +575,13 @@ def examples_by_class(spark, d):
     return G.examples_by_class(_split(_lab(spark, d), "icl"))
 
 
+@q
+def shifted_dataset(spark, d):
+    """G9 — the balanced shifted test set under the shifted noise."""
+    test = _split(_lab(spark, d), "test").where(I.in_ranges(K.OOD_RANGES)).select("id", "label", "sequence")
+    return runs.balanced_split(test, SEED, shifted=True).select("id", "label", "sequence", "dataset_pos")
+
+
 # ================================================================ H metrics
 def _icl_pred(lab: DataFrame, seed="resp"):
     p = _predictions(lab, seed)
@@ -589,6 +692,13 @@ def label_consistency(spark, d):
                                     F.count_if(~inside).cast("bigint").alias("n_outside_range"))
 
 
+@q
+def label_recount(spark, d):
+    """H16 — the stored labels against the peaks recounted after augmentation."""
+    lab = _lab(spark, d).select("label", augment_noise(F.col("sequence"), F.col("id")).alias("sequence"))
+    return M.label_mismatches(lab)
+
+
 # ================================================================ I experiment
 def _grid(spark, d) -> DataFrame:
     """Every test row of a regime completed under every model and number of

@@ -22,9 +22,9 @@ from .operators import metrics as M
 from .operators import parse as P
 from .operators import render as R
 from .operators import sampling as G
+from .operators.augment import augment_noise
 from .operators.complete import complete_batch, persist_completions
 from .operators.encode import encode_sequences
-from .operators.ordering import pin
 from .operators.reply_log import complete_logged
 from .plans.tables import split_of
 from .sources import io
@@ -39,6 +39,15 @@ def _ood_flag() -> F.Column:
 
 
 # ---------------------------------------------------------------- dataset build
+def sizes_by_split() -> dict:
+    """Counts of the labelled table by split (H15), observed while it is written."""
+    of = lambda cond: F.count_if(cond).cast("bigint")
+    split = F.col("split")
+    return {"sequence_length": F.max(F.length("sequence")).cast("bigint"), "n_train_pool": of(split == "train"),
+            "icl_total": of(split == "icl"), "test_total": of(split == "test"),
+            "test_ood_total": of((split == "test") & _ood_flag())}
+
+
 def label_sequences(seqs: DataFrame) -> DataFrame:
     """Adds split, counted peaks and the threshold label."""
     tp = X.total_peaks("sequence")
@@ -46,30 +55,40 @@ def label_sequences(seqs: DataFrame) -> DataFrame:
                        X.label_by_threshold(tp).alias("label"))
 
 
+def balanced_split(rows: DataFrame, seed: int = 42, shifted: bool = False) -> DataFrame:
+    """As many rows of every class as the smallest one has, in class order; with
+    ``shifted`` under the noise and artifact rates of the shifted regime, which
+    leave the peaks and so the labels as they are."""
+    out = G.balanced_dataset(rows, None, seed)
+    if not shifted:
+        return out
+    return out.withColumn("sequence", augment_noise(F.col("sequence"), F.col("id"), K.OOD_NOISE_PROB, K.OOD_ARTIFACT_PROB))
+
+
 def build_datasets(events: DataFrame, out_dir: str | None = None, seed: int = 42,
-                   n_train_per_class: int | None = None) -> dict[str, DataFrame]:
+                   n_train_per_class: int | None = None, balanced: bool = False) -> dict[str, DataFrame]:
     """events -> labelled splits (train balanced per class, icl, test, shifted
     test), chat training records and a manifest; written under ``out_dir``
-    (metadata CSVs, chat JSONL, manifest JSON) when given."""
-    # read by five branches below: written once to the shared checkpoint folder
-    lab = pin(label_sequences(encode_sequences(events)))
+    (metadata CSVs, chat JSONL, manifest JSON) when given. With ``balanced`` the
+    other splits are balanced too, and the shifted test rows carry the noise of
+    the shifted regime (:func:`balanced_split`)."""
+    # read by four branches below: written once to the shared folder, and counted
+    # while it is written
+    rng = lambda rs: ", ".join(f"{c} {lo}-{hi}" for c, lo, hi in rs)
+    lab, sizes = io.write_observed(label_sequences(encode_sequences(events)), "labelled", sizes_by_split())
     train = G.balanced_dataset(lab.where(F.col("split") == "train"), n_train_per_class, seed)
     icl = lab.where(F.col("split") == "icl")
     test = lab.where(F.col("split") == "test")
     ood = test.where(_ood_flag())
-    icl_pos = G.shuffle(icl, seed, pos_col="dataset_pos")
-    test_pos = G.shuffle(test, seed, pos_col="dataset_pos")
-    ood_pos = G.shuffle(ood, seed, pos_col="dataset_pos")
-    rng = lambda rs: ", ".join(f"{c} {lo}-{hi}" for c, lo, hi in rs)
-    manifest = lab.agg(
-        F.max(F.length("sequence")).cast("bigint").alias("sequence_length"),
-        F.count_if(F.col("split") == "train").cast("bigint").alias("n_train_pool"),
-        F.count_if(F.col("split") == "icl").cast("bigint").alias("icl_total"),
-        F.count_if(F.col("split") == "test").cast("bigint").alias("test_total"),
-        F.count_if((F.col("split") == "test") & _ood_flag()).cast("bigint").alias("test_ood_total"),
-    ).select("*", F.lit(rng(K.IN_RANGES)).alias("in_distribution"),
-             F.lit(rng(K.OOD_RANGES)).alias("out_of_distribution"),
-             F.lit(K.TUNED_SYSTEM_PROMPT).alias("finetune_system_prompt"))
+    if balanced:
+        icl_pos, test_pos, ood_pos = (balanced_split(rows, seed, shifted) for rows, shifted in
+                                      ((icl, False), (test, False), (ood, True)))
+    else:
+        icl_pos, test_pos, ood_pos = (G.shuffle(rows, seed, pos_col="dataset_pos") for rows in (icl, test, ood))
+    manifest = events.sparkSession.createDataFrame(
+        [(*sizes.values(), rng(K.IN_RANGES), rng(K.OOD_RANGES), K.TUNED_SYSTEM_PROMPT)],
+        ", ".join(f"{k} bigint" for k in sizes)
+        + ", in_distribution string, out_of_distribution string, finetune_system_prompt string")
     out = {"train": train, "icl": icl_pos, "test": test_pos, "test_ood": ood_pos, "manifest": manifest}
     if out_dir:
         io.write_metadata_csv(train, os.path.join(out_dir, "train", "metadata.csv"), "train")
@@ -168,14 +187,21 @@ def evaluate_tuned(test: DataFrame, client_factory, *, system_prompt: str = K.TU
 # ---------------------------------------------------------------- training records
 def training_records(train: DataFrame, *, system_prompt: str = K.TUNED_SYSTEM_PROMPT,
                      seed: int = 42, batch: int = 1, accum: int = 4, epochs: int = 3,
-                     warmup_ratio: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Shuffled prompt/completion pairs and a one-row training plan (step
-    budget, prompt and answer format)."""
+                     warmup_ratio: float = 0.1, model_name: str | None = None,
+                     out_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Shuffled prompt/completion pairs and a one-row training plan (model name,
+    step budget, prompt and answer format); with ``out_dir`` the pairs are written
+    as JSON lines and the plan as the training config that
+    :func:`sigeval.sources.io.read_training_config` reads."""
     shuffled = G.shuffle(train, seed)
     pairs = shuffled.select("id", "pos", R.tuned_prompt(F.col("sequence"), system_prompt).alias("prompt"),
                             X.target_json("sequence", F.col("label")).alias("completion"))
     plan = train.agg(F.count(F.lit(1)).cast("bigint").alias("num_train_samples")).select(
         "num_train_samples", *M.step_budget(F.col("num_train_samples"), batch, accum, epochs, warmup_ratio),
         F.lit(system_prompt).alias("system_prompt"), F.lit(K.TUNED_USER_TEMPLATE).alias("user_template"),
-        F.lit(K.TUNED_RESPONSE_FORMAT).alias("response_format"))
+        F.lit(K.TUNED_RESPONSE_FORMAT).alias("response_format"),
+        *([F.lit(model_name).alias("model_name")] if model_name else []))
+    if out_dir:
+        pairs.select("prompt", "completion").write.mode("overwrite").json(os.path.join(out_dir, "train.jsonl"))
+        io.write_manifest(plan, os.path.join(out_dir, "training_config.json"))
     return pairs, plan

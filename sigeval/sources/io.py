@@ -7,7 +7,7 @@ required columns and fail with the column names, as the pipeline does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import features as X
 from ..functions.hashing import seeded_bucket
 from ..functions.util import path_exists, strip
+from ..session import scratch_path
 from ..operators import render as R
 from .quoted_csv import file_positions, read_quoted_csv
 
@@ -24,6 +25,17 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def write_observed(df: DataFrame, name: str, aggregates: dict) -> tuple[DataFrame, dict]:
+    """Writes ``df`` once to the shared folder and returns it read back, with the
+    values of ``aggregates`` (name -> aggregate column) over the written rows: they
+    are observed by the write itself, so nothing is scanned twice."""
+    spark = df.sparkSession
+    seen, path = Observation(name), scratch_path(spark, name)
+    df.observe(seen, *[c.alias(n) for n, c in aggregates.items()]).write.parquet(path)
+    found = seen.get
+    return spark.read.schema(df.schema).parquet(path), {n: found[n] for n in aggregates}
+
+
 # ---------------------------------------------------------------- A1
 def read_examples_csv(spark: SparkSession, path: str, required=REQUIRED_EXAMPLE_COLUMNS) -> DataFrame:
     """Labelled CSV read by header name (all strings, no positional schema);
@@ -107,8 +119,8 @@ SAMPLE_SCHEMA_RAW = T.StructType([
         T.StructField("artifact_prob", T.DoubleType()),
         T.StructField("is_irregular", T.BooleanType()),
         T.StructField("irregularity_std", T.DoubleType()),
-        # [[12, "|"], ...]: a struct type reads null, so read pairs as strings
-        T.StructField("peak_positions", T.ArrayType(T.ArrayType(T.StringType()))),
+        # [[12, "|"], ...]: pairs of unlike types
+        T.StructField("peak_positions", T.ArrayType(T.VariantType())),
     ])),
 ])
 
@@ -117,15 +129,14 @@ def read_samples_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Full samples; ``metadata.peak_positions`` becomes
     ``ARRAY<STRUCT<pos BIGINT, kind STRING>>``."""
     df = spark.read.schema(SAMPLE_SCHEMA_RAW).json(path)
-    pairs = F.transform("metadata.peak_positions",
-                        lambda p: F.struct(p[0].cast("bigint").alias("pos"), p[1].alias("kind")))
+    pairs = F.transform("metadata.peak_positions", lambda p: F.struct(
+        F.try_variant_get(p, "$[0]", "bigint").alias("pos"), F.try_variant_get(p, "$[1]", "string").alias("kind")))
     return df.withColumn("metadata", F.col("metadata").withField("peak_positions", pairs))
 
 
 def write_samples_jsonl(df: DataFrame, path: str) -> None:
-    """Pairs are written back as two-element JSON arrays."""
-    pairs = F.transform("metadata.peak_positions",
-                        lambda p: F.array(p["pos"].cast("string"), p["kind"]))
+    """Pairs are written back as two-element JSON arrays, positions as numbers."""
+    pairs = F.transform("metadata.peak_positions", lambda p: F.array(p["pos"].cast("variant"), p["kind"].cast("variant")))
     out = df.withColumn("metadata", F.col("metadata").withField("peak_positions", pairs))
     out.write.mode("overwrite").json(path)
 

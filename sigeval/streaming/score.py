@@ -23,8 +23,9 @@ REPLY_SCHEMA = "id string, raw_response string"
 
 
 def scored(replies: DataFrame, truth: DataFrame, approach: str = "regular",
-           id_col: str = "id", label_col: str = "label") -> DataFrame:
-    """Replies (batch or stream) joined to their true labels and scored."""
+           id_col: str = "id", label_col: str = "label", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Replies (batch or stream) joined to their true labels and scored;
+    ``extra`` names columns of the replies to keep."""
     t = truth.select(F.col(id_col).alias("_tid"), F.col(label_col).alias("label"))
     j = replies.join(t, replies[id_col] == t["_tid"], "inner").drop("_tid")
     if approach == "regular":
@@ -35,7 +36,7 @@ def scored(replies: DataFrame, truth: DataFrame, approach: str = "regular",
         ok = P.correct_tuned(pred, F.col("label"))
     else:
         raise ValueError(f"unknown approach {approach}")
-    return j.select(id_col, "label", pred.alias("pred"), ok.alias("correct"))
+    return j.select(id_col, "label", pred.alias("pred"), ok.alias("correct"), *extra)
 
 
 def running_metrics(scored_rows: DataFrame) -> DataFrame:

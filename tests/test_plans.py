@@ -34,8 +34,8 @@ def test_numbering_is_lazy(spark, key):
     assert "ExistingRDD" not in plan_of(spark, key)
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - {"complete_batch"}))
-def test_no_python_outside_completion(spark, key):
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - {"complete_batch", "label_search"}))
+def test_no_python_outside_completion_and_label_search(spark, key):
     assert not re.search(PYTHON_NODES, plan_of(spark, key))
 
 

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from sigeval.plans.queries import QUERIES
+from sigeval.session import TABLES
 
 sys_path_ok = True
 
@@ -30,7 +31,7 @@ def _rows(pdf):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "conversations", "embeddings", "labels"):
+    for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
 
