@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sigeval.llm import jaccard, mixing, packing, quality, secrets  # noqa: E402
-from sigeval.llm.common import materialize  # noqa: E402
+from sigeval.llm.common import discard, materialize, recording  # noqa: E402
 from sigeval.session import read_table  # noqa: E402
 
 
@@ -46,13 +47,30 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-STAGES = [
+_LEFT: dict[str, list[str]] = {}     # application -> scratch tables of the stage before
+
+
+def _stage(fn):
+    """A stage starts when the one before it has been written, so the scratch tables
+    of that one have no reader left and go."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        discard(spark, *_LEFT.pop(app, []))
+        with recording() as made:
+            out = fn(spark, docs, sf_dir)
+        _LEFT[app] = made
+        return out
+    return run_stage
+
+
+STAGES = [(name, _stage(fn)) for name, fn in (
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("secret_scans", secret_scans),
     ("mixing_weights", mixing_weights),
     ("packing", packed),
-]
+)]
 # tokenizing and similarity joins have no SQL form; see tests/llm
 ORACLE_SQL = None
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -18,22 +19,56 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 2 << 20     # text handled at once inside a task
 
 
+# shuffle files go when the query that made them ends, not when the driver's memory fills
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_RECORDS: list[list[str]] = []      # scratch paths made, of each open recording()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the session's shared checkpoint folder, removed when
     the application ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    for record in _RECORDS:
+        record.append(path)
     return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so
-    that several readers don't recompute it and lost executors can't undo it."""
+    that several readers don't recompute it and lost executors can't undo it. The
+    shuffles behind it have no further reader and are freed at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of :func:`materialize`, or their paths, after their last reader
+    has been written itself."""
+    for table in tables:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.scratch)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The scratch paths that are made meanwhile."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not record]
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -16,9 +16,11 @@ Steps:
    the top ``FREQUENT`` kept. This only orders the sets; any order is exact.
 2. Equal sets collapse to one; the rest works on the distinct sets, which a
    128-bit digest of their shingles names.
-3. Prefix postings are joined with one leading document per shingle. A pair
-   with enough shared prefix shingles is verified. This links groups of near
-   copies to a leader without forming their pairs.
+3. Prefix postings are joined with one leading document per shingle. Every pair
+   of a document and a leader whose sizes and overlap bounds fit is verified: a
+   leader sees only the postings that it leads, so several matches can't be asked
+   for here. This links groups of near copies to a leader without forming their
+   pairs.
 4. Linked documents are connected. Only where a shingle's postings still hold
    different components can an untested link matter: there, pairs of members of
    *different* components are counted, filtered by sizes, by the bound on their
@@ -52,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, record_batch, slices, text_or_empty
+from .common import discard, materialize, record_batch, slices, text_or_empty
 
 FREQUENT = 1 << 17        # frequent shingles that the order knows
 BLOCK_BYTES = 8 << 20     # text within which repeats are looked for
@@ -195,6 +197,7 @@ def components(links: DataFrame) -> DataFrame:
     """``(v, c)``: the smallest mark that each mark of ``links`` reaches."""
     edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = materialize(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
+    last = labels
     while True:
         near = (edges.join(labels, edges["b"] == labels["v"]).groupBy(F.col("a").alias("v"))
                 .agg(F.min("c").alias("near")))
@@ -204,8 +207,10 @@ def components(links: DataFrame) -> DataFrame:
         step = materialize(step.join(owner, F.col("c") == F.col("w"))
                            .select("v", F.least("c", "up").alias("c"), (F.least("c", "up") < F.col("old")).alias("moved")),
                            "labels")
-        labels = step.select("v", "c")
+        discard(links.sparkSession, last)
+        last, labels = step, step.select("v", "c")
         if not step.where("moved").limit(1).count():
+            discard(links.sparkSession, edges)
             return labels
 
 
@@ -245,6 +250,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     ranked = F.row_number().over(Window.partitionBy("r").orderBy("at")) - 1
     shared = materialize(posts.join(several, "h").withColumn("cap", F.col("n") - (F.col("at") - ranked)),
                          "shared-postings")
+    discard(spark, posts)
     # a posting is led by the document that has least of its own before it: the
     # original rather than a copy
     heads = (shared.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("cap")).alias("own"), "n", F.col("r").alias("a"), "m",
