@@ -46,6 +46,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -59,6 +60,7 @@ from .common import discard, materialize, record_batch, slices, text_or_empty
 FREQUENT = 1 << 17        # frequent shingles that the order knows
 BLOCK_BYTES = 8 << 20     # text within which repeats are looked for
 MOST_MATCHES = 4
+PASSES = 4                # over the sets when pairs are verified
 SCAN_COST, VERIFY_COST = 1.0, 20.0      # of one posting; of one candidate
 
 
@@ -146,13 +148,28 @@ def _prefixes(frequent, words: int, percent: int):
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """:func:`_measured` of all pairs, written in ``PASSES`` passes by the hash of
+    ``b``: a pass shuffles only the sets that its pairs name, and its shuffles are
+    freed before the next one, so the disk holds a fraction of the sets twice."""
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES))
+    parts = []
+    for i in range(PASSES):
+        few = pairs.where(turn("b") == i).select("a", "b")
+        leaders = materialize(few.select(F.col("a").alias("mark")).distinct(), "leaders")
+        parts.append(materialize(_measured(few, sets.where(turn("mark") == i), sets.join(leaders, "mark", "left_semi"),
+                                           percent), "measured"))
+        discard(pairs.sparkSession, leaders)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _measured(pairs: DataFrame, b_sets: DataFrame, a_sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with ``n`` (size of b), their exact overlap ``o``,
     whether they link, and ``rest``: what b has beside a (null where the two
-    share too little for it to count, see ``_beside_leaders``); ``sets`` has
-    ``mark, shingles`` (hashes as bytes) for every mark in ``pairs``."""
+    share too little for it to count, see ``_beside_leaders``); the sets are
+    ``mark, shingles`` (hashes as bytes) of every mark in ``pairs``."""
     both = (pairs.select("a", "b")
-            .join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("sa")), "a"))
+            .join(b_sets.select(F.col("mark").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(a_sets.select(F.col("mark").alias("a"), F.col("shingles").alias("sa")), "a"))
     out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("o", pa.int64()), ("linked", pa.bool_()),
                      ("rest", pa.list_(pa.int64()))])
 
@@ -271,7 +288,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     # repeated rows go while they lie together by (d, k), before the larger sets are made
     texts = source.select("d", "k", "text").join(wanted, ["d", "k"]).dropDuplicates(["d", "k"]).select("mark", "text")
     held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary"), "shingles")
-    compared = materialize(measured(stars, held, percent), "star-overlaps")
+    compared = measured(stars, held, percent)
     links = compared.where("linked").select("a", "b")
 
     # postings whose documents are not all connected yet
@@ -295,7 +312,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     # leader's component, so of a pair across components one has at most ``far``
     # in common with the leader
     asked = placed.where("a != r").select("a", F.col("r").alias("b")).distinct()
-    rest = measured(asked.join(compared.select("a", "b"), ["a", "b"], "left_anti"), held, percent)
+    unmet = materialize(asked.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "unmet-pairs")
+    rest = measured(unmet, held, percent)
     beside = materialize(_beside_leaders(
         materialize(compared.join(asked, ["a", "b"], "left_semi").unionByName(rest), "overlaps"), percent), "beside-leaders")
     placed = (placed.join(beside, ["a", "r"], "left")
