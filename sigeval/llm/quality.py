@@ -1,23 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 Every document gets a few counts; each rule compares two of them with a cutoff.
-A cutoff of a rule is *safe* in a stratum (language) if the labelled good
-documents prove, at the chosen confidence, that it wrongly rejects at most a
-share ``risk / rules`` of them: with ``n`` good documents of which ``k`` are
-rejected, the exact binomial tail ``P(Bin(n, risk / rules) <= k)`` must not
-exceed ``error / (strata * rules * cutoffs)`` (Bonferroni over everything that
-is tried). Per rule and stratum the safe cutoff that rejects most labelled bad
-documents is used, the looser one on ties; a rule without a safe cutoff, or
-whose safe cutoffs reject no bad document, stays silent. With probability
-``1 - error`` all strata together keep a share of at least ``1 - risk`` of
-their good documents (beyond the fixed base rule). With the usual 37 cutoffs and
-four strata a stratum can act from 3,993 labelled good documents.
-
-That is :func:`judge`, whose SQL is :func:`oracle`. The documents for the
-pipeline are kept by one combined sequence of all cutoffs per stratum instead
-(:func:`kept_documents`), which needs no Bonferroni over rules and cutoffs: the
-same bound and the same risk for all rules together, from 436 labelled good
-documents in four strata.
+The cutoffs of all rules form one sequence from loose to strict, and step ``t``
+rejects what any cutoff up to ``t`` rejects, so the steps' rejections are nested.
+A step is *safe* in a stratum (language) if the labelled good documents prove, at
+the chosen confidence, that it wrongly rejects at most a share ``risk`` of them:
+with ``n`` good documents of which ``k`` are rejected, the exact binomial tail
+``P(Bin(n, risk) <= k)`` must not exceed ``error / strata``. The steps are tested
+in order until one fails, each at that whole level: as the sequence is fixed
+beforehand, this needs no correction for the number of steps, while the strata are
+corrected by Bonferroni. The least step that rejects most labelled bad documents
+among the safe ones is used; a stratum without one keeps all that the base rule
+keeps. With probability ``1 - error`` all strata together keep a share of at least
+``1 - risk`` of their good documents (beyond the fixed base rule). With four
+strata, a stratum can act from 436 labelled good documents.
 
 Two passes: the counts of all documents are written once (a few numbers per
 document) and read for the thresholds and for the verdicts. The thresholds have
@@ -32,7 +28,7 @@ no rows; a ``labels`` table may hold other columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, materialize, text_or_empty
@@ -109,31 +105,6 @@ def _critical(n: Column, rate: float, level: Column) -> Column:
                        lambda s: s["best"])
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR,
-               rules=RULES) -> DataFrame:
-    """One row per stratum, with the chosen cutoff of every rule (null: the
-    rule stays silent). ``measured`` has the counts, ``doc_id``, ``_stratum``."""
-    truth = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-             .groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") >= 1).alias("_good")))
-    held = measured.where(~F.col("base_failed")).join(truth, F.col("doc_id") == F.col("_id"))
-    good, tries = F.col("_good"), [(name, c, F.expr(rule.format(c=c))) for name, rule, cuts in rules for c in cuts]
-    sums = [F.sum(F.when(cond & (good if kind == "good" else ~good), 1).otherwise(0)).alias(f"{kind}_{name}_{c}")
-            for name, c, cond in tries for kind in ("good", "bad")]
-    found = held.groupBy("_stratum").agg(F.sum(F.when(good, 1).otherwise(0)).alias("_n"), *sums)
-    # the strata number that Bonferroni needs is one value
-    strata = found.agg(F.count(F.lit(1)).alias("_strata"))
-    found = found.join(strata).withColumn(
-        "_k", _critical(F.col("_n"), risk / len(rules), F.lit(error / len(tries)) / F.col("_strata")))
-    chosen = []
-    for name, _, cuts in rules:
-        options = F.array_compact(F.array(*(
-            F.when((F.col(f"good_{name}_{c}") <= F.col("_k")) & (F.col(f"bad_{name}_{c}") > 0),
-                   F.struct(F.col(f"bad_{name}_{c}").alias("bad"), F.lit(-i).alias("loose"), F.lit(c).alias("cut")))
-            for i, c in enumerate(cuts))))
-        chosen.append(F.array_max(options)["cut"].alias(f"cut_{name}"))
-    return found.select("_stratum", "_n", "_k", *chosen)
-
-
 def _measured(docs: DataFrame, stratum_col: str, with_row: bool) -> DataFrame:
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if with_row else []
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -143,28 +114,18 @@ def _measured(docs: DataFrame, stratum_col: str, with_row: bool) -> DataFrame:
     return materialize(measured, "quality-counts")
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", with_row: bool = False,
-          risk: float = RISK, error: float = ERROR, rules=RULES) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row of
-    ``docs``; ``with_row`` adds the whole input row as struct ``_row``."""
-    measured = _measured(docs, stratum_col, with_row)
-    cuts = materialize(thresholds(measured, labels, risk, error, rules), "quality-cutoffs")
-    failed = F.col("base_failed")
-    for name, rule, _ in rules:
-        failed = failed | F.coalesce(F.expr(rule.format(c=f"cut_{name}")), F.lit(False))
-    return (measured.join(cuts, "_stratum", "left")
-            .select("doc_id", *COUNTS, "base_failed", (~failed).alias("kept"), *(["_row"] if with_row else [])))
+def sequence(rules=RULES) -> list[tuple[str, int]]:
+    """(condition, cutoff) of all rules from loose to strict: by their place
+    within their rule, then by rule."""
+    order = sorted(((i + 1) / len(cuts), r, i) for r, (_, _, cuts) in enumerate(rules) for i in range(len(cuts)))
+    return [(rules[r][1], rules[r][2][i]) for _, r, i in order]
 
 
 def first_step(rules=RULES) -> Column:
-    """The step of the combined sequence at which a document is first rejected,
-    null if never. The cutoffs of all rules are taken from loose to strict, by
-    their place within their rule, then by rule."""
-    order = sorted(((i + 1) / len(cuts), r, i) for r, (_, _, cuts) in enumerate(rules) for i in range(len(cuts)))
-    step = {(r, i): n for n, (_, r, i) in enumerate(order)}
-    fires = [F.when(F.expr(rule.format(c=c)), step[r, i]) for r, (_, rule, cuts) in enumerate(rules)
-             for i, c in enumerate(cuts)]
-    return F.array_min(F.array(*fires))
+    """The step of the sequence at which a document is first rejected, null if
+    never."""
+    return F.array_min(F.array(*(F.when(F.expr(rule.format(c=c)), n)
+                                 for n, (rule, c) in enumerate(sequence(rules)))))
 
 
 def last_safe_step(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR,
@@ -173,9 +134,8 @@ def last_safe_step(measured: DataFrame, labels: DataFrame, risk: float = RISK, e
     sequence rejects (null: nothing). ``measured`` has ``doc_id``, ``_stratum``,
     ``base_failed`` and ``_step`` (:func:`first_step`).
 
-    The steps are tested in order, each at the full ``error / strata``, until
-    one fails; what a step rejects holds all that the steps before reject, so
-    all tests before the first failure pass together (fixed sequence)."""
+    What a step rejects holds all that the steps before reject, so the safe steps
+    are those before the first failure."""
     truth = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
              .groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") >= 1).alias("_good")))
     held = measured.where(~F.col("base_failed")).join(truth, F.col("doc_id") == F.col("_id"))
@@ -183,8 +143,9 @@ def last_safe_step(measured: DataFrame, labels: DataFrame, risk: float = RISK, e
     sums = [F.sum(F.when((F.col("_step") <= t) & (good if kind == "good" else ~good), 1).otherwise(0)).alias(f"{kind}_{t}")
             for t in steps for kind in ("good", "bad")]
     found = held.groupBy("_stratum").agg(F.sum(F.when(good, 1).otherwise(0)).alias("_n"), *sums)
-    found = found.join(found.agg(F.count(F.lit(1)).alias("_strata"))).withColumn(
-        "_k", _critical(F.col("_n"), risk, F.lit(error) / F.col("_strata")))
+    # one row per stratum, so this window is as small at every size of the corpus
+    found = (found.withColumn("_strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+             .withColumn("_k", _critical(F.col("_n"), risk, F.lit(error) / F.col("_strata"))))
     # the least step of those that reject most bad documents
     safe = F.array_compact(F.array(*(
         F.when((F.col(f"good_{t}") <= F.col("_k")) & (F.col(f"bad_{t}") > 0),
@@ -192,27 +153,26 @@ def last_safe_step(measured: DataFrame, labels: DataFrame, risk: float = RISK, e
     return found.select("_stratum", "_n", "_k", (-F.array_max(safe)["loose"]).alias("_cut"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
-                   risk: float = RISK, error: float = ERROR, rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that the combined sequence keeps, with all their
-    columns."""
-    measured = _measured(docs, stratum_col, True).withColumn("_step", first_step(rules))
+def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", with_row: bool = False,
+          risk: float = RISK, error: float = ERROR, rules=RULES) -> DataFrame:
+    """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row of
+    ``docs``; ``with_row`` adds the whole input row as struct ``_row``."""
+    measured = _measured(docs, stratum_col, with_row).withColumn("_step", first_step(rules))
     cuts = materialize(last_safe_step(measured, labels, risk, error, rules), "quality-cutoffs")
     rejected = F.col("base_failed") | F.coalesce(F.col("_step") <= F.col("_cut"), F.lit(False))
-    return measured.join(cuts, "_stratum", "left").where(~rejected).select("_row.*")
+    return (measured.join(cuts, "_stratum", "left")
+            .select("doc_id", *COUNTS, "base_failed", (~rejected).alias("kept"), *(["_row"] if with_row else [])))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
+                   risk: float = RISK, error: float = ERROR, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
+    return judge(docs, labels, stratum_col, True, risk, error, rules).where("kept").select("_row.*")
 
 
 def oracle(risk: float = RISK, error: float = ERROR, rules=RULES) -> str:
     """DuckDB SQL of :func:`judge` over ``documents`` and ``labels``."""
-    tries = [(name, i, c, rule) for name, rule, cuts in rules for i, c in enumerate(cuts)]
-    trial = " union all ".join(
-        f"select s, '{name}' as rule, {i} as i, {c} as c, count(*) filter (good and ({rule.format(c=c)})) as g, "
-        f"count(*) filter (not good and ({rule.format(c=c)})) as b from held group by s"
-        for name, i, c, rule in tries)
-    rate = risk / len(rules)
-    verdict = " or ".join(f"coalesce({rule.format(c=f'm_{name}.c')}, false)" for name, rule, _ in rules)
-    joins = " ".join(f"left join chosen m_{name} on m_{name}.s = base.s and m_{name}.rule = '{name}'"
-                     for name, _, _ in rules)
+    steps = ", ".join(f"case when {rule.format(c=c)} then {n} end" for n, (rule, c) in enumerate(sequence(rules)))
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(lang, '') as s from documents),
 a as (select r, doc_id, s, t,
@@ -227,20 +187,23 @@ m as (select a.r, doc_id, s, len(w) as n_words, length(array_to_string(w, '')) a
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) as n_lines,
         len(l) - len(list_distinct(l)) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
       from a left join covered on covered.r = a.r),
-base as (select *, ({BASE_RULE}) as base_failed from m),
+base as (select *, ({BASE_RULE}) as base_failed, least({steps}) as step from m),
 truth as (select doc_id, min(quality) >= 1 as good from labels where quality is not null group by doc_id),
 held as (select base.*, good from base join truth on truth.doc_id = base.doc_id where not base_failed),
 sizes as (select s, count(*) filter (good) as n, count(*) over () as strata from held group by s),
-terms as (select s, n, strata, i, n * ln(1 - {rate}) + coalesce(sum(ln(n - i + 1) - ln(i) + ln({rate} / (1 - {rate})))
+terms as (select s, n, strata, i, n * ln(1 - {risk}) + coalesce(sum(ln(n - i + 1) - ln(i) + ln({risk} / (1 - {risk})))
             filter (i > 0) over (partition by s order by i), 0) as term
-          from (select s, n, strata, unnest(range(0, cast(ceil(n * {rate}) as bigint) + 1)) as i from sizes)),
+          from (select s, n, strata, unnest(range(0, cast(ceil(n * {risk}) as bigint) + 1)) as i from sizes)),
 tails as (select s, strata, i, sum(exp(term)) over (partition by s order by i) as p from terms),
-crit as (select sizes.s, coalesce(max(i) filter (p <= {error} / {len(tries)} / tails.strata), -1) as k
+crit as (select sizes.s, coalesce(max(i) filter (p <= {error} / tails.strata), -1) as k
          from sizes left join tails on tails.s = sizes.s group by sizes.s),
-trial as ({trial}),
-chosen as (select s, rule, c from (select trial.*, row_number() over (partition by trial.s, rule order by b desc, i) as o
+hits as (select s, step, count(*) filter (good) as g, count(*) filter (not good) as b
+         from held where step is not null group by s, step),
+trial as (select s, step, sum(g) over (partition by s order by step) as g, sum(b) over (partition by s order by step) as b
+          from hits),
+chosen as (select s, step as cut from (select trial.*, row_number() over (partition by trial.s order by b desc, step) as o
            from trial join crit on crit.s = trial.s where g <= k and b > 0) where o = 1)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
   cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or {verdict}) as kept
-from base {joins}"""
+  not (base_failed or coalesce(step <= cut, false)) as kept
+from base left join chosen on chosen.s = base.s"""

@@ -234,10 +234,12 @@ def test_risk_bound(spark):
     for size, k in zip((3000, 10, 0), got):
         assert (k == -1 or tail(size, k) <= 0.001) and tail(size, k + 1) > 0.001
     docs = spark.range(3600).selectExpr("id AS doc_id", "'en' AS lang",
-                                        "concat(repeat('word other ', 40), if(id < 600, repeat('#### ', 30), '')) AS text")
+                                        "concat(array_join(transform(sequence(1, 60), i -> concat('word', i)), ' '), "
+                                        "if(id < 600, repeat(' ####', 12), '')) AS text")
     labels = docs.selectExpr("doc_id", "if(doc_id < 600, 0, 1) AS quality", "0 AS toxic")
+    assert quality.judge(docs, labels).where("base_failed").count() == 0
     kept = quality.judge(docs, labels, rules=(("symbols", quality.RULES[0][1], (300, 50)),), risk=0.005).groupBy("kept").count()
-    assert {r.kept: r["count"] for r in kept.collect()} in ({True: 3000, False: 600}, {False: 3600})
+    assert {r.kept: r["count"] for r in kept.collect()} == {True: 3000, False: 600}
 
 
 def test_combined_sequence_rejects_bad_documents(spark):
@@ -256,6 +258,39 @@ def test_combined_sequence_rejects_bad_documents(spark):
         assert {r.good: r["count"] for r in got} == kept
 
 
+def test_quality_cut_stops_at_the_bound(spark):
+    """The cut is the last step whose wrong rejections the bound allows: 1,200 good
+    documents, of which the strictest cutoff would reject 40."""
+    docs = spark.range(1300).selectExpr(
+        "id AS doc_id", "cast(null AS string) AS lang",
+        "concat(array_join(transform(sequence(1, 100), i -> concat('w', i, 'x')), ' '), "
+        "repeat(' #', case when id < 100 then 60 when id < 140 then 8 else 0 end)) AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id < 100, 0, 1) AS quality")
+    rule = quality.RULES[0][1]
+    for cuts, kept in (((100, 10), 1200), ((10,), 1300)):
+        got = quality.judge(docs, labels, rules=(("symbols", rule, cuts),)).where("kept").count()
+        assert got == kept, cuts
+
+
+def test_quality_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    words = "array_join(transform(sequence(1, 80), i -> concat('word', i * (1 + id % 7))), ' ')"
+    docs = spark.range(2600).selectExpr("id AS doc_id", "array('de', 'en', null, 'fr')[id % 4] AS lang",
+                                        f"concat({words}, if(id < 200, repeat(' ####', 8), '')) AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id < 200, 0, 1) AS quality")
+    docs.write.parquet(f"{tmp_path}/documents")
+    labels.write.parquet(f"{tmp_path}/labels")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}/*.parquet'")
+    rel = con.execute(quality.oracle())
+    names = [c[0] for c in rel.description]
+    got = quality.judge(docs, labels).select(names).collect()
+    assert Counter(map(tuple, got)) == Counter(rel.fetchall())
+    assert sum(not r.kept for r in got) == 200
+
+
 # ---------------------------------------------------------------- op6
 def test_licenses(spark, edge, empty):
     def labels(text):
