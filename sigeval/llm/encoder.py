@@ -3,7 +3,9 @@
 Both supported vocabularies treat a text as a sequence of units that never
 influence each other, so the ids of a text are the ids of its units in order.
 Units repeat a lot; each worker keeps the ids of those it has met (a bounded
-memo) and hands only new units to the tokenizers library.
+memo) and hands only new units to the tokenizers library. For byte-level BPE the
+new units go there as one text, and its ids are cut at the units by the byte
+lengths of the tokens.
 """
 
 from __future__ import annotations
@@ -16,15 +18,29 @@ import numpy as np
 
 MEMO_UNITS = 1_200_000      # units a worker remembers before it starts afresh
 
-_NEAR_SPACE = re.compile(r" \s|\s ")
+NEW_BYTES = 1 << 16         # text handed to the library at once
+
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"       # ASCII punctuation but the apostrophe
 
 
 def spaced_units(text: str) -> list[str]:
     """Byte-level BPE: a single space between two visible characters always
-    starts a unit and belongs to it. Other white space stays inside units."""
-    parts = _BETWEEN.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])] if text else []
+    starts a unit and belongs to it; units after the first are given without it.
+    Other white space stays inside units."""
+    if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        return _BETWEEN.split(text)
+    return text.split(" ")
+
+
+def marked_word(line: str) -> tuple[str, str] | None:
+    """A line of letters and then marks, which the library never joins."""
+    word = line.rstrip(_MARKS)
+    if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+        return word, line[len(word):]
+    return None
 
 
 def bare_units(text: str) -> list[str]:
@@ -48,7 +64,14 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.units = self._unit_rule(spec)
-        self.memo: dict[str, bytes] = {}
+        self.spaced = self.units is spaced_units
+        self.memo: dict[str, bytes] = {}        # ids of units, for spaced ones with their space
+        self.firsts: dict[str, bytes] = {}      # ids of spaced units that start a text
+        if self.spaced:
+            # a byte-level token's characters stand for one byte each
+            self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+                self.bytes_of[i] = len(token)
 
     @staticmethod
     def _unit_rule(spec: dict):
@@ -61,16 +84,89 @@ class Encoder:
         return lambda text: [text]      # unknown rules: whole texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO_UNITS:
+            self.memo.clear()
+        if len(self.firsts) > MEMO_UNITS:
+            self.firsts.clear()
         split = [self.units(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_UNITS:
-            memo.clear()
-        new = list({u for units in split for u in units if u not in memo})
-        for first in range(0, len(new), 4096):
-            part = new[first:first + 4096]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        if not self.spaced:
+            self._learn_alone(list(set().union(*split).difference(self.memo)), self.memo)
+            ids = self.memo.__getitem__
+            return [b"".join(map(ids, units)) + self.end for units in split]
+        heads = [units.pop(0) for units in split]
+        known = self.memo.get
+        found = [list(map(known, units)) for units in split]
+        new = {u for units, ids in zip(split, found) if None in ids for u, i in zip(units, ids) if i is None}
+        self._learn(new, set(heads))
+        ids, first = self.memo.__getitem__, self.firsts.__getitem__
+        return [first(h) + b"".join(map(ids, units) if None in done else done) + self.end
+                for h, units, done in zip(heads, split, found)]
+
+    def _learn(self, new: set[str], heads: set[str]) -> None:
+        """The ids of spaced units, and of those that start a text."""
+        # words with marks, also on several lines, are put together from their parts:
+        # a single line end between them is a token of its own
+        alone, marked, several = set(), [], []
+        for u in new:
+            if u.isalpha():
+                alone.add(u)
+            elif "\n" not in u:
+                if part := marked_word(u):
+                    alone.add(part[0])
+                    heads.add(part[1])
+                    marked.append((u, *part))
+                else:
+                    alone.add(u)
+            elif None in (parts := [marked_word(line) for line in u.split("\n")]):
+                alone.add(u)
+            else:
+                alone.add(parts[0][0])
+                heads.update(w for w, _ in parts[1:])
+                heads.update(m for _, m in parts if m)
+                several.append((u, parts))
+        alone.difference_update(self.memo)
+        heads.add("\n")
+        self._learn_alone(list(heads.difference(self.firsts)), self.firsts)
+        # in a text of their own, units with white space at an end (the last of a
+        # text, or around other white space) would join with their neighbours
+        apart = {u for u in alone if not u or u[0].isspace() or u[-1].isspace()}
+        self._learn_together(list(alone.difference(apart)))
+        self._learn_alone(list(apart), self.memo, " ")
+        memo, firsts = self.memo, self.firsts
+        firsts[""] = b""
+        for unit, word, marks in marked:
+            memo[unit] = memo[word] + firsts[marks]
+        for unit, ((word, marks), *lines) in several:
+            ids = memo[word] + firsts[marks]
+            for w, m in lines:
+                ids += firsts["\n"] + firsts[w] + firsts[m]
+            memo[unit] = ids
+
+    def _learn_alone(self, new: list[str], memo: dict[str, bytes], before: str = "") -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            for unit, e in zip(part, self.tokenizer.encode_batch_fast([before + u for u in part],
+                                                                      add_special_tokens=False)):
                 memo[unit] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([memo[u] for u in units]) + self.end for units in split]
+
+    def _learn_together(self, new: list[str]) -> None:
+        wide, memo = self.dtype.itemsize, self.memo
+        sizes = np.fromiter((len(u.encode()) + 1 for u in new), np.int64, len(new))
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(new):
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + NEW_BYTES)))
+            part = new[first:last]
+            text = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            # a unit ends with the token that completes its bytes
+            cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[first:last] - done) + 1) * wide).tolist()
+            raw, start = ids.tobytes(), 0
+            for unit, cut in zip(part, cuts):
+                memo[unit] = raw[start:cut]
+                start = cut
+            first = last
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

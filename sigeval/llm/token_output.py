@@ -7,7 +7,9 @@ Layout of one output folder:
   ``FixedSizeList<uint16|uint32>[L]`` and ``mask`` ``FixedSizeList<bool>[L]``,
   ``ROWS`` sequences per batch, uncompressed: sequence ``i`` of a shard is row
   ``i % ROWS`` of batch ``i // ROWS`` and is viewed in the mapped file without
-  copying. Only the last sequence of a shard is padded (mask false).
+  copying: its ids, and its mask as packed bits, least significant first
+  (``unpacked`` spreads them). Sequences have a multiple of eight ids, so a mask
+  starts at a byte. Only the last sequence of a shard is padded (mask false).
 * ``docs-SSSSS.arrow`` — ``doc_id``, ``first`` (position in the shard's id
   stream) and ``n_tokens`` of every document, in stream order.
 
@@ -112,7 +114,9 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     length: int = LENGTH) -> DataFrame:
     """Encode every document, append ``end_id`` and write the shards to
     ``folder`` (a URI that pyarrow opens on every executor). Returns the
-    manifest."""
+    manifest. ``length`` is a multiple of eight."""
+    if length < 8 or length % 8:
+        raise ValueError(f"sequence length must be a multiple of eight: {length}")
     ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
                .withColumn("_tie", F.xxhash64("text"))
                .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
@@ -144,11 +148,18 @@ def open_shard(folder: str, name: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random access: views of the ids and of the mask bits of sequence ``i``."""
+    """Random access: views of the ids and of the packed mask of sequence ``i``."""
     b = reader.get_batch(i // ROWS)
-    row = i % ROWS
-    return (b.column("input_ids")[row].values.to_numpy(zero_copy_only=True),
-            b.column("mask")[row].values.to_numpy(zero_copy_only=False))
+    ids, mask = b.column("input_ids"), b.column("mask")
+    length, row = ids.type.list_size, i % ROWS
+    bits = np.frombuffer(mask.flatten().buffers()[1], np.uint8)
+    return (ids[row].values.to_numpy(zero_copy_only=True),
+            bits[row * length // 8:(row + 1) * length // 8])
+
+
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """A packed mask as booleans, one per id."""
+    return np.unpackbits(mask, bitorder="little").view(bool)
 
 
 def id_stream(reader: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:

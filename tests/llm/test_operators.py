@@ -60,6 +60,24 @@ def test_encoder_equals_the_library(name):
         assert np.frombuffer(raw, enc.dtype).tolist() == want(text), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_on_random_texts(name):
+    """Texts of words, marks and all kinds of white space, and more new units than
+    go to the library at once."""
+    library = Tokenizer.from_file(P.path(name))
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    parts = ["word", "It's", "é", "日本", "12", "3,4", "#*", "\U0001f600", "<|endoftext|>", " ", " ", " ", " ", "  ", "\n", "\t",
+             "\xa0", "\x85", "\u3000", "\x1c", "\x00", "́"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(600)]
+    texts.append(" ".join(f"w{i * 7919 % 100003}é" for i in range(20_000)))
+    enc = Encoder(P.path(name), 2)
+    for first in range(0, len(texts), 100):
+        some = texts[first:first + 100]
+        for text, raw in zip(some, enc.encode(some)):
+            assert np.frombuffer(raw, enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids + [2], text
+
+
 # ---------------------------------------------------------------- op1
 def check_token_output(docs, rows):
     want = encoded("byte_bpe_50k.json")
@@ -85,7 +103,9 @@ def test_sequences_are_equal_and_masked(spark, edge, tmp_path):
     for m in manifest:
         reader = token_output.open_shard(str(tmp_path), m.ids_file)
         n = -(-m.n_tokens // 32)
-        masks = [token_output.sequence(reader, i) for i in range(n)]
+        views = [token_output.sequence(reader, i) for i in range(n)]
+        assert not any(a.flags.owndata or a.flags.writeable for view in views for a in view)
+        masks = [(ids, token_output.unpacked(bits)) for ids, bits in views]
         assert all(len(ids) == len(mask) == 32 for ids, mask in masks)
         assert sum(mask.sum() for _, mask in masks) == m.n_tokens
         assert all(mask.all() for _, mask in masks[:-1])
