@@ -96,11 +96,16 @@ class Encoder:
         heads = [units.pop(0) for units in split]
         known = self.memo.get
         found = [list(map(known, units)) for units in split]
-        new = {u for units, ids in zip(split, found) if None in ids for u, i in zip(units, ids) if i is None}
-        self._learn(new, set(heads))
-        ids, first = self.memo.__getitem__, self.firsts.__getitem__
-        return [first(h) + b"".join(map(ids, units) if None in done else done) + self.end
-                for h, units, done in zip(heads, split, found)]
+        missing = []
+        for units, ids in zip(split, found):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                missing.append((ids, at, units[at]))
+        self._learn({u for _, _, u in missing}, set(heads))
+        for ids, at, unit in missing:
+            ids[at] = self.memo[unit]
+        return [self.firsts[h] + b"".join(ids) + self.end for h, ids in zip(heads, found)]
 
     def _learn(self, new: set[str], heads: set[str]) -> None:
         """The ids of spaced units, and of those that start a text."""
@@ -124,7 +129,7 @@ class Encoder:
                 heads.update(w for w, _ in parts[1:])
                 heads.update(m for _, m in parts if m)
                 several.append((u, parts))
-        alone.difference_update(self.memo)
+        alone = alone.difference(self.memo)     # looks up the few, not all of the memo
         heads.add("\n")
         self._learn_alone(list(heads.difference(self.firsts)), self.firsts)
         # in a text of their own, units with white space at an end (the last of a
