@@ -4,14 +4,18 @@ The index holds, for every word of the licence templates, its postings
 ``(template, position)``. A first pass counts over all documents in how many
 each template word occurs; that gives the words' IDF. Of each template the places of
 highest IDF are looked up in a file; each occurrence of their words votes for
-the start that the template would then have. Votes that agree on a start
-intersect the postings by relative position; an alignment with enough votes is
-verified: one of the template's mandatory phrases must stand in the aligned
-stretch. Its score is the share of the template's words found in place.
-
-An alignment may lack up to ``1 - MIN_SHARE`` of the template's words. So many
-places, and ``MIN_VOTES`` more, are looked up per template: every alignment that could be verified gets its votes, however many notices a
-file has. Templates of which a file lacks too many words are left out before.
+the start that the template would then have. Votes whose starts lie near each
+other intersect the postings by relative position, so a word inserted or lost
+shifts the votes behind it but does not part them. A stretch with enough votes is
+verified: one of the template's mandatory phrases must stand in it, and it must
+hold the template's words in their order. Its score is the share of the
+template's words that it so holds.
+
+A notice may lack up to ``1 - MIN_SHARE`` of the template's words and have up to
+``SPARE_SHARE`` of its length in words between, changed ones aside. So many
+places as it may lack, and ``MIN_VOTES`` more, are looked up per template: every
+notice that could be verified gets its votes, however many a file has.
+Templates of which a file lacks too many words are left out before.
 
 Fixed phrases (:data:`PHRASES`) are found in every file, with or without an
 alignment.
@@ -26,6 +30,7 @@ row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import record_batch, slices, text_or_empty
 
 MIN_VOTES = 2
-MIN_SHARE = 0.6           # of a template's words in place
+MIN_SHARE = 0.6           # of a template's words in order
+SPARE_SHARE = 0.25        # of a template's length, more words than it has
 PHRASE_SCORE = 0.5        # of a file that has only a fixed phrase
 # fixed values: phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -80,8 +86,15 @@ class Index:
         for t, ws in enumerate(self.words):
             for i, w in enumerate(ws):
                 self.postings[w].append((t, i))
-        # words that must be in place
+        # words that must stand in order, and the longest stretch that may hold them
         self.least = [math.ceil(MIN_SHARE * len(ws)) for ws in self.words]
+        self.reach = [len(ws) + math.ceil(SPARE_SHARE * len(ws)) for ws in self.words]
+        self.places: list[dict[bytes, int]] = []        # a word's places in the template as bits
+        for ws in self.words:
+            bits: dict[bytes, int] = defaultdict(int)
+            for i, w in enumerate(ws):
+                bits[w] |= 1 << i
+            self.places.append(dict(bits))
         self.idf: dict[bytes, float] = {}
         self.rare: dict[bytes, list[tuple[int, int]]] = {}
 
@@ -94,26 +107,61 @@ class Index:
                 self.rare[ws[i]].append((t, i))
         return self
 
+    def in_order(self, t: int, stretch: list[bytes]) -> int:
+        """The most words of template ``t`` that ``stretch`` holds in their order
+        (longest common subsequence; the zero bits of ``free`` count it)."""
+        full = (1 << len(self.words[t])) - 1
+        free = full
+        for w in stretch:
+            if bits := self.places[t].get(w):
+                met = free & bits
+                free = ((free + met) | (free - met)) & full
+        return len(self.words[t]) - free.bit_count()
+
     def matches(self, words: list[bytes], present: set[bytes]) -> Iterator[tuple[str, float, int]]:
-        """Verified alignments ``(label, score, start)``."""
+        """Verified notices ``(label, score, start)``, the best of those that overlap."""
         possible = {t for t, ws in enumerate(self.words) if sum(w in present for w in ws) >= self.least[t]}
         if not possible:
             return
         rare = {w: kept for w in present.intersection(self.rare) if (kept := [x for x in self.rare[w] if x[0] in possible])}
-        votes: Counter = Counter()
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, w in enumerate(words):
-            if w in rare:
-                votes.update((t, at - i) for t, i in rare[w])
-        for (t, start), n in votes.items():
-            if n < MIN_VOTES:
-                continue
-            template, first = self.words[t], max(0, start)
-            held = words[first:max(0, start + len(template))]
-            in_place = sum(a == b for a, b in zip(template[first - start:], held))
-            if in_place < self.least[t]:
-                continue
-            if any(k == held[i:i + len(k)] for k in self.keys[t] for i in range(len(held))):
-                yield self.labels[t], in_place / len(template), first
+            for t, i in rare.get(w, ()):
+                votes[t].append((at, i))
+        for t, cast in votes.items():
+            reach, lost = self.reach[t], len(self.words[t]) - self.least[t]
+            # a stretch begins with a word of the template and holds a mandatory phrase
+            starts = {s for key in self.keys[t] for at in phrase_starts(words, key)
+                      for s in range(max(0, at + len(key) - reach), at + 1) if words[s] in self.places[t]}
+            best: tuple[int, int] | None = None
+            for s in sorted(starts):
+                near = cast[bisect_left(cast, (s, -1)):bisect_left(cast, (s + reach, -1))]
+                # words in order in the stretch vote for starts within these bounds
+                agreed = {i for at, i in near if -lost <= at - i - s <= reach - self.least[t]}
+                if len(agreed) < MIN_VOTES:
+                    continue
+                held = self.in_order(t, words[s:s + reach])
+                if held < self.least[t]:
+                    continue
+                if best and s >= best[1] + len(self.words[t]):
+                    yield self.labels[t], best[0] / len(self.words[t]), best[1]
+                    best = None
+                if best is None or held > best[0]:
+                    best = held, s
+            if best:
+                yield self.labels[t], best[0] / len(self.words[t]), best[1]
+
+
+def phrase_starts(words: list[bytes], phrase: list[bytes]) -> Iterator[int]:
+    """Every place where ``phrase`` stands."""
+    at = -1
+    while True:
+        try:
+            at = words.index(phrase[0], at + 1)
+        except ValueError:
+            return
+        if words[at:at + len(phrase)] == phrase:
+            yield at
 
 
 PHRASE_WORDS = [(words_of(p), label) for p, label in PHRASES.items()]
@@ -124,14 +172,7 @@ def phrase_places(words: list[bytes], present: set[bytes]) -> list[tuple[int, st
     out = []
     for phrase, label in PHRASE_WORDS:
         if all(w in present for w in phrase):
-            at = -1
-            while True:
-                try:
-                    at = words.index(phrase[0], at + 1)
-                except ValueError:
-                    break
-                if words[at:at + len(phrase)] == phrase:
-                    out.append((at, label))
+            out += [(at, label) for at in phrase_starts(words, phrase)]
     return out
 
 

@@ -386,6 +386,59 @@ def test_licenses_of_files_with_several_notices():
             assert label in labels(text)
 
 
+def plain_labels(text):
+    """Every stretch of the longest length against every template, by a table of overlaps."""
+    words, found = licenses.words_of(text), set()
+    for label, notice, keys in licenses.TEMPLATES:
+        template = licenses.words_of(notice)
+        reach = len(template) + math.ceil(licenses.SPARE_SHARE * len(template))
+        for s in range(len(words)):
+            stretch = words[s:s + reach]
+            if not any(licenses.words_of(k) == stretch[i:i + len(k.split())] for k in keys for i in range(len(stretch))):
+                continue
+            row = [0] * (len(template) + 1)
+            for w in stretch:
+                new = [0]
+                for i, x in enumerate(template):
+                    new.append(row[i] + 1 if x == w else max(row[i + 1], new[i]))
+                row = new
+            if row[-1] >= licenses.MIN_SHARE * len(template):
+                found.add(label)
+    return found
+
+
+def test_licenses_with_inserted_and_lost_words():
+    index = licenses.Index().weigh({}, 100)
+    def labels(text):
+        words = licenses.words_of(text)
+        return {label for label, _, _ in index.matches(words, set(words))}
+    for label, notice, keys in licenses.TEMPLATES:
+        words, key = notice.split(), keys[0].split()
+        first = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+        for at in [i for i in range(len(words) + 1) if not first < i < first + len(key)]:
+            inserted = licenses.scan_text(" ".join(["before", *words[:at], "zzz", *words[at:], "behind"]), index)
+            assert label in inserted[5].split(",") and inserted[6] == 1.0
+        for at in [i for i in range(len(words)) if not first <= i < first + len(key)]:
+            lost = licenses.scan_text(" ".join([*words[:at], *words[at + 1:]]), index)
+            assert label in lost[5].split(",") and lost[6] == pytest.approx(1 - 1 / len(words))
+    rng = np.random.default_rng(8)
+    vocabulary = sorted({w for _, notice, _ in licenses.TEMPLATES for w in notice.split()})
+    seen = Counter()
+    for _ in range(150):
+        text = []
+        for t in rng.integers(0, len(licenses.TEMPLATES), 2):
+            rate = rng.random() * 0.7
+            for w in licenses.TEMPLATES[t][1].split():
+                chance = rng.random()
+                text += [] if chance < rate / 3 else [str(rng.choice(vocabulary))] if chance < rate / 2 else [w]
+                text += [str(rng.choice(vocabulary))] if rng.random() < rate / 3 else []
+            text += ["other"] * int(rng.integers(0, 4))
+        text = " ".join(text)
+        assert labels(text) == plain_labels(text)
+        seen[len(labels(text))] += 1
+    assert len(seen) > 1
+
+
 # ---------------------------------------------------------------- op7
 def check_packing(docs, rows, size):
     want = encoded("word_bpe_49k.json")
