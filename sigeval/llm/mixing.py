@@ -12,7 +12,9 @@ text, so it is the same in every run.
 
 Cells are counted once; raking and probabilities work on the cell table
 (one row per cell that occurs) in DataFrame operations, checkpointed between
-sweeps. Documents meet their cell in one join with that small table, which Spark
+rounds of sweeps, until every marginal is within ``TOLERANCE`` of its target. Targets
+that no weights of the cells can meet are told by a warning with the distance that is left.
+Documents meet their cell in one join with that small table, which Spark
 broadcasts only below its size threshold.
 
 Edge cases: null source and language are values of their own, null text counts
@@ -24,6 +26,8 @@ repeated rows are drawn alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +35,9 @@ from .common import materialize, text_or_empty
 
 DIMS = ("source", "lang", "topic")
 TEMPERATURE = 0.7         # default targets: present shares to this power
-SWEEPS = 12
 SWEEPS_AT_ONCE = 4        # between checkpoints
+TOLERANCE = 1e-6          # of a marginal, relative to its target
+PROGRESS = 0.98           # a round that leaves more than this share of the distance is the last
 BUDGET = 0.6              # of all tokens
 CHARS_PER_TOKEN = 4
 SEED = 20
@@ -60,10 +65,17 @@ def measured(docs: DataFrame) -> dict[str, Column]:
             "draw": draw(F.col("doc_id"), text)}
 
 
+def farthest(cells: DataFrame) -> float:
+    """The largest distance of a marginal of ``weight`` from its target, relative to that."""
+    misses = [F.when(F.col(f"_goal_{d}") > 0, F.abs(F.sum("weight").over(Window.partitionBy(d)) / F.col(f"_goal_{d}") - 1))
+              .otherwise(0.0) for d in DIMS]
+    return cells.select(F.greatest(*misses).alias("miss")).agg(F.max("miss")).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE,
-         sweeps: int = SWEEPS) -> DataFrame:
+         tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (the dimensions and ``tokens``) with ``weight``, which sums to 1
-    and has the target marginals."""
+    and has the target marginals within ``tolerance``; warns where they can't be met."""
     targets = targets or {}
     for d in DIMS:
         present = F.sum("tokens").over(Window.partitionBy(d))
@@ -80,12 +92,17 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         cells = cells.withColumn(f"_goal_{d}", F.col(f"_goal_{d}") / F.lit(float(total)))
     everything = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(everything)))
-    for sweep in range(sweeps):
-        for d in DIMS:
-            held = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"_goal_{d}") / held).otherwise(0.0))
-        if (sweep + 1) % SWEEPS_AT_ONCE == 0 or sweep + 1 == sweeps:
-            cells = materialize(cells, "raked")
+    miss = float("inf")
+    while miss > tolerance:
+        for _ in range(SWEEPS_AT_ONCE):
+            for d in DIMS:
+                held = F.sum("weight").over(Window.partitionBy(d))
+                cells = cells.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"_goal_{d}") / held).otherwise(0.0))
+        cells = materialize(cells, "raked")
+        before, miss = miss, farthest(cells)
+        if miss > max(tolerance, PROGRESS * before):
+            warnings.warn(f"the target weights can't be met together: a marginal is off by {miss:.2%} of its target", stacklevel=2)
+            break
     total = cells.agg(F.sum("weight")).first()[0] or 1.0
     return cells.select(*DIMS, "tokens", (F.col("weight") / F.lit(float(total))).alias("weight"),
                         F.lit(float(everything)).alias("_all"))

@@ -535,6 +535,19 @@ def test_mixing_draws_to_the_targets(spark):
     assert {r.doc_id: r["count"] for r in rows} == {d: n for d, n in zip(got.doc_id, got.copies) if n}
 
 
+def test_raking_goes_on_until_the_marginals_meet(spark):
+    """Dimensions that nearly determine each other converge slowly; targets that
+    contradict each other are told."""
+    cells = spark.createDataFrame([("a", "x", "t", 9000), ("a", "y", "t", 20), ("b", "x", "t", 20), ("b", "y", "t", 9000)],
+                                  "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.8, "y": 0.2}, "topic": {"t": 1.0}}
+    got = mixing.rake(cells, targets).toPandas()
+    assert all(abs(got.groupby(d).weight.sum()[v] / share - 1) < 1e-5 for d in targets for v, share in targets[d].items())
+    apart = cells.where("source = 'a' AND lang = 'x' OR source = 'b' AND lang = 'y'")
+    with pytest.warns(UserWarning, match="can't be met"):
+        assert mixing.rake(apart, targets).count() == 2
+
+
 # ---------------------------------------------------------------- op10
 def test_fixity(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 40)) for i in range(3000)] + [(None, None, None), (None, "u", "v"), (7, "r", "r")]
