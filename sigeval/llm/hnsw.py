@@ -12,12 +12,13 @@ original vectors and merged by a top-k window.
 
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which is all
 that a top-k answer can hold of them, so a vector that fills the table costs
-nothing. Shards and query blocks are bounded; a query is searched in every
-shard.
+nothing. Vectors of one length are a space of their own, with its own shards. A task
+reads a shard's index once with up to about ``QUERIES_AT_ONCE`` queries; a query is
+searched in every shard of its space.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do null ids, nor vectors of another length than
-most have; with fewer than ``k`` candidates all are returned; an empty table
+components take no part, nor do null ids; a query's candidates are the vectors of its
+own length; repeated ids of different vectors are candidates each; with fewer than ``k`` candidates all are returned; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -38,7 +39,8 @@ LINKS = 16                # per member above layer 0; twice as many in layer 0
 CANDIDATES = 48           # nearest members among which links are chosen
 BEAM = 128
 EXPAND = 4                # vectors of the beam that are expanded at a time
-QUERY_BLOCK = 256
+QUERY_BLOCK = 256         # that advance together
+QUERIES_AT_ONCE = 16384   # of one task beside a shard's index
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -159,10 +161,8 @@ def valid(table: DataFrame) -> DataFrame:
     ok = (F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
           & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
           & F.exists("v", lambda x: x != 0))
-    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"),
+    return table.select(F.col("vec_id").cast("bigint").alias("vec_id"),
                         F.col("embedding").cast("array<float>").alias("v")).where(ok)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
 
 
 INDEX = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))),
@@ -170,14 +170,17 @@ INDEX = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("vectors", pa.bi
 _INDEX = ("shard long, dim int, vectors binary, ids array<array<long>>, members array<binary>, links array<binary>")
 
 
-def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """The index table (one row per shard) and the number of shards."""
+def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """The index table (one row per vector length and shard) and the number of
+    shards of each length (``dim, shards``)."""
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     distinct = materialize(rows.withColumn("_n", nth).where(F.col("_n") <= k + 1)
                            .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
-    shards = max(1, -(-distinct.count() // shard))
+    distinct = distinct.withColumn("dim", F.size("v"))
+    spaces = materialize(distinct.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards")), "spaces")
     draw = (F.pmod(F.xxhash64(F.col("ids")[0], F.lit(5)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    placed = distinct.select("v", "ids", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).alias("shard"), draw.alias("draw"))
+    placed = distinct.join(spaces, "dim").select("dim", "v", "ids", F.pmod(F.xxhash64(F.col("ids")[0]), "shards").alias("shard"),
+                                                 draw.alias("draw"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("draw").combine_chunks()      # one order, whatever order the rows came in
@@ -189,49 +192,53 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame,
             "ids": [table["ids"].to_pylist()], "members": [[m.tobytes() for m in members]],
             "links": [[x.tobytes() for x in links]]})])
 
-    return materialize(placed.groupBy("shard").applyInArrow(run, _INDEX), "graph-index"), shards
+    return materialize(placed.groupBy("dim", "shard").applyInArrow(run, _INDEX), "graph-index"), spaces
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _search_rows(k: int, beam: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                dim = row["dim"].as_py()
-                vectors = np.frombuffer(row["vectors"].as_buffer(), "<f4").reshape(-1, dim)
-                members = [np.frombuffer(m.as_buffer(), np.int32) for m in row["members"]]
-                links = [np.frombuffer(x.as_buffer(), np.int32).reshape(len(m), -1)
-                         for x, m in zip(row["links"], members)]
-                ids = row["ids"].values
-                query_ids = np.array([q["vec_id"].as_py() for q in row["queries"]])
-                queries = np.array([q["v"].values.to_numpy() for q in row["queries"]])
-                found = search(unit(vectors), members, links, unit(queries), beam)[:, :4 * k]
-                out = []
-                wide, norms = vectors.astype(np.float64), np.linalg.norm(vectors.astype(np.float64), axis=1)
-                for own, q, places in zip(query_ids.tolist(), queries.astype(np.float64), found):
-                    places = places[places >= 0]
-                    scores = (wide[places] * q).sum(1) / (norms[places] * np.sqrt((q * q).sum()))
-                    near = [(-s, c) for s, p in zip(scores.tolist(), places.tolist()) for c in ids[p].as_py() if c != own]
-                    out += [(own, c, -s) for s, c in sorted(near)[:k]]
-                if out:
-                    yield record_batch(FOUND, dict(zip(FOUND.names, map(list, zip(*out)))))
+def _search_shard(k: int, beam: int):
+    def run(asked: pa.Table, index: pa.Table) -> pa.Table:
+        if not asked.num_rows or not index.num_rows:
+            return FOUND.empty_table()
+        row = {c: index[c][0] for c in index.column_names}
+        dim = row["dim"].as_py()
+        vectors = np.frombuffer(row["vectors"].as_buffer(), "<f4").reshape(-1, dim)
+        members = [np.frombuffer(m.as_buffer(), np.int32) for m in row["members"]]
+        links = [np.frombuffer(x.as_buffer(), np.int32).reshape(len(m), -1) for x, m in zip(row["links"], members)]
+        ids = row["ids"].values
+        v, wide = unit(vectors), vectors.astype(np.float64)
+        norms = np.linalg.norm(wide, axis=1)
+        asked = asked.combine_chunks()
+        query_ids = asked["vec_id"].to_numpy()
+        queries = asked["v"].chunk(0).flatten().to_numpy().reshape(-1, dim)
+        out = []
+        for first in range(0, len(queries), QUERY_BLOCK):
+            block = queries[first:first + QUERY_BLOCK]
+            found = search(v, members, links, unit(block), beam)[:, :4 * k]
+            for own, q, places in zip(query_ids[first:].tolist(), block.astype(np.float64), found):
+                places = places[places >= 0]
+                scores = (wide[places] * q).sum(1) / (norms[places] * np.sqrt((q * q).sum()))
+                near = [(-s, c) for s, p in zip(scores.tolist(), places.tolist()) for c in ids[p].as_py() if c != own]
+                out += [(own, c, -s) for s, c in sorted(near)[:k]]
+        return pa.Table.from_batches([record_batch(FOUND, dict(zip(FOUND.names, map(list, zip(*out)))))] if out else [], FOUND)
     return run
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found in ``table``
     for every row of ``queries`` (tables with ``vec_id, embedding``)."""
-    index, shards = build_index(valid(table), k, shard)
+    index, spaces = build_index(valid(table), k, shard)
     asked = materialize(valid(queries).distinct(), "graph-queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    blocked = (asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-               .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-               .select("queries", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard")))
-    found = (blocked.repartition(shards * blocks).join(index, "shard")
-             .mapInArrow(_search_rows(k, beam), "query_id long, vec_id long, score double"))
+    parts = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    keys = ["dim", "shard", "part"]
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1))
+    asked = (asked.withColumn("dim", F.size("v")).join(spaces, "dim")
+             .select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), every.alias("shard")))
+    beside = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    found = (asked.groupBy(*keys).cogroup(beside.groupBy(*keys))
+             .applyInArrow(_search_shard(k, beam), "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -499,6 +499,32 @@ def test_nearest(spark):
     assert hnsw.nearest(none, none).count() == 0
 
 
+def test_nearest_in_spaces_of_several_lengths(spark, monkeypatch):
+    """Vectors of every length are searched, each length by itself; rows that take no
+    part change nothing."""
+    monkeypatch.setattr(hnsw, "QUERIES_AT_ONCE", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(d).astype(np.float32).tolist(), "x") for i, d in enumerate([4] * 300 + [7] * 90 + [2] * 3 + [1])]
+    table = spark.createDataFrame([*rows, (7, None, "x"), (8, [0.0] * 7, "x"), (9, [float("nan")] * 7, "x"), (None, [1.0] * 7, "x")],
+                                  "vec_id long, embedding array<float>, shard string")
+    got = hnsw.nearest(table, table.where("vec_id % 5 = 0"), shard=64).collect()
+    best = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        best[r.query_id].append((r.vec_id, round(r.score, 9)))
+    want = {}
+    for q, x, _ in rows[::5]:
+        near = []
+        for c, y, _ in rows:
+            if c != q and len(y) == len(x):
+                a, b = np.array(x, np.float64), np.array(y, np.float64)
+                near.append((-(a @ b) / np.sqrt(a @ a) / np.sqrt(b @ b), c))
+        want[q] = [(c, round(-s, 9)) for s, c in sorted(near)[:5]]
+    assert {q for q, near in want.items() if near} == set(best)
+    hits = sum(len({c for c, _ in best[q]} & {c for c, _ in near}) for q, near in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert best[390] == want[390] and len(best[390]) == 2
+
+
 # ---------------------------------------------------------------- op9
 def test_mixing(spark, edge, empty, small):
     got = mixing.sample(small, budget=0.5).toPandas()
