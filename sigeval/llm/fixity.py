@@ -4,8 +4,8 @@ Records are grouped into files and ordered in each; a leaf is a record's SHA-256
 with its byte range ``[start, stop)``. Every ``FAN`` neighbouring nodes make a
 parent: the hash of their hashes and of the range they cover. The trees of the
 files are joined the same way, by file number, up to one root per archive. The
-audit compares the roots and descends only into nodes that differ, so what it
-reads of the lower levels is the children of mismatching nodes. At the bottom,
+audit compares the roots and descends only into nodes that differ: of a lower level it
+scans the table but keeps and compares the children of mismatching nodes alone. At the bottom,
 the records of mismatching ranges are matched within their file: those of equal
 page id and hash are sound, wherever they stand; of the others, those of equal
 page id are damaged, in order of their places, and the rest is lost or added. Sound
