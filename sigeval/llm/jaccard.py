@@ -1,21 +1,24 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles. All sets are sorted in one
-order, frequent shingles last, so that the front of a set is rare. If two sets
+order, by the exact number of texts that hold a shingle, so that the front of a
+set is rare. If two sets
 of sizes ``a`` and ``b`` share what the threshold asks, then their prefixes of
 ``size - need(size) + m`` shingles share at least ``m``, where ``need(size)`` is
 the least overlap with any partner. Each document picks its own ``m``: a longer
 prefix visits more postings but must share more of them, which removes
 candidates before they are verified. The choice minimises the estimated cost,
-from the counts of frequent shingles. A pair must share ``min(m_x, m_y)``
+from those numbers. A pair must share ``min(m_x, m_y)``
 prefix shingles.
 
 Steps:
 
-1. Frequent shingles: counted per block of documents where they repeat, summed,
-   the top ``FREQUENT`` kept. This only orders the sets; any order is exact.
-2. Equal sets collapse to one; the rest works on the distinct sets, which a
-   128-bit digest of their shingles names.
+1. Equal texts collapse to one by their digest.
+2. Every shingle of the distinct texts is counted: blocks of sets are dealt out by
+   ranges of hashes, each range sorts its shingles, and only those of several texts
+   go back to their block. A set of which too many shingles stand in no other text
+   can't link (``alive`` is false) and needs no postings. Of the others, equal sets
+   collapse to one, which a 128-bit digest of the shingles names.
 3. Prefix postings are joined with one leading document per shingle. Every pair
    of a document and a leader whose sizes and overlap bounds fit is verified: a
    leader sees only the postings that it leads, so several matches can't be asked
@@ -52,13 +55,14 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, record_batch, slices, text_or_empty
 
-FREQUENT = 1 << 17        # frequent shingles that the order knows
-BLOCK_BYTES = 8 << 20     # text within which repeats are looked for
+BLOCK_BYTES = 8 << 20     # text whose sets are dealt out together
+RANGE_BYTES = 4 << 20     # text per range of hashes
 MOST_MATCHES = 4
 PASSES = 4                # over the sets when pairs are verified
 SCAN_COST, VERIFY_COST = 1.0, 20.0      # of one posting; of one candidate
@@ -89,21 +93,6 @@ def needed(size, percent: int):
     return -(-size * percent // 100)
 
 
-def _frequent(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, size=BLOCK_BYTES):
-            sets = shingle_sets(b.column("text").to_pylist(), words)
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield record_batch(schema, {"h": h[n > 3].view(np.int64), "n": n[n > 3]})
-
-    top = (docs.select("text").mapInArrow(repeats, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "h").limit(most).collect())
-    rows = sorted((r["h"], r["n"]) for r in top)
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-
-
 def choose_matches(frequencies: np.ndarray, base: int) -> int:
     """How many shared prefix shingles to ask for: ``frequencies`` are those of
     the sorted set, ``base`` is the prefix length for one match."""
@@ -119,34 +108,123 @@ def choose_matches(frequencies: np.ndarray, base: int) -> int:
     return best
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("n", pa.int64()), ("m", pa.int32()),
-                  ("mark", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-_SETS = "doc_id long, k binary, n long, m int, mark binary, prefix array<long>"
+# of a block of texts: ``info`` has the sizes, keys and marks of its sets; else the
+# shingles ``h`` that fall into a range of hashes, the places ``at`` of their sets
+# within the block, and in how many texts each is
+DEALT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("info", pa.binary()), ("at", pa.binary()),
+                   ("h", pa.binary()), ("df", pa.binary())])
+_DEALT = "part int, block long, info binary, at binary, h binary, df binary"
+INFO = np.dtype([("n", "<i8"), ("k", "V16"), ("mark", "V16")])
 
 
-def _prefixes(frequent, words: int, percent: int):
+def _deal(words: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for b in slices(batches):
-            sizes, matches, marks, prefixes = [], [], [], []
-            for s in shingle_sets(b.column("text").to_pylist(), words):
-                h = s.view(np.int64)
-                seen = np.ones(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.searchsorted(known, h).clip(0, len(known) - 1)
-                    seen = np.where(known[at] == h, counts[at], 1)
-                order = np.lexsort((h, seen))
-                base = len(h) - needed(len(h), percent) + 1
-                m = choose_matches(seen[order], base) if len(h) else 1
-                sizes.append(len(h))
-                matches.append(m)
-                marks.append(xxhash.xxh3_128_digest(s.tobytes()) if len(h) else None)
-                prefixes.append(h[order[:base + m - 1]] if len(h) else h)
-            yield record_batch(SETS, {"doc_id": b.column("doc_id"), "k": b.column("k"), "n": sizes, "m": matches,
-                                      "mark": marks, "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+        first = TaskContext.get().partitionId() << 32
+        for number, b in enumerate(slices(batches, size=BLOCK_BYTES)):
+            block, sets = first + number, shingle_sets(b.column("text").to_pylist(), words)
+            info = np.zeros(len(sets), INFO)
+            info["n"] = [len(s) for s in sets]
+            info["k"] = np.frombuffer(b"".join(b.column("k").to_pylist()), "V16")
+            info["mark"] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "V16")
+            yield record_batch(DEALT, {"part": [block % ranges], "block": [block], "info": [info.tobytes()],
+                                       "at": [None], "h": [None], "df": [None]})
+            h = np.concatenate(sets)
+            at = np.repeat(np.arange(len(sets), dtype=np.uint16), info["n"])
+            part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            h, at = h[order], at[order]
+            cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64)).tolist()
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if x < y:
+                    yield record_batch(DEALT, {"part": [i], "block": [block], "info": [None], "at": [at[x:y].tobytes()],
+                                               "h": [h[x:y].tobytes()], "df": [None]})
     return run
 
 
+def _count_range(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Of the shingles of one range, those that several texts hold."""
+    held = [np.frombuffer(r["h"], np.uint64) for r in rows]
+    if not held:
+        return
+    h = np.concatenate(held)
+    order = np.argsort(h)
+    ends = np.flatnonzero(np.concatenate([h[order[1:]] != h[order[:-1]], [True]]))
+    many = np.diff(ends, prepend=-1)
+    df = np.empty(len(h), np.uint32)
+    df[order] = np.repeat(many, many)
+    first = 0
+    for r, own in zip(rows, held):
+        n = df[first:first + len(own)]
+        first += len(own)
+        shared = n > 1
+        if shared.any():
+            yield record_batch(DEALT, {"part": [r["part"]], "block": [r["block"]], "info": [None],
+                                       "at": [np.frombuffer(r["at"], np.uint16)[shared].tobytes()],
+                                       "h": [own[shared].tobytes()], "df": [n[shared].tobytes()]})
+
+
+def _count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows come sorted by ``part``; a range is held at once."""
+    part, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["part"] != part:
+                yield from _count_range(rows)
+                part, rows = r["part"], []
+            if r["info"] is not None:
+                yield record_batch(DEALT, {c: [v] for c, v in r.items()})
+            else:
+                rows.append(r)
+    yield from _count_range(rows)
+
+
+SETS = pa.schema([("k", pa.binary()), ("n", pa.int64()), ("m", pa.int32()), ("mark", pa.binary()), ("alive", pa.bool_()),
+                  ("first", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_SETS = "k binary, n long, m int, mark binary, alive boolean, first long, prefix array<long>"
+
+
+def _prefixes(percent: int):
+    """The sets of one block: ``prefix`` has the shingles of the prefix that other
+    texts hold too, of which the first stands at place ``first`` of the sorted set."""
+    def run(block: pa.Table) -> pa.Table:
+        info, found = None, []
+        for r in block.to_pylist():
+            if r["info"] is not None:
+                info = np.frombuffer(r["info"], INFO)
+            else:
+                found.append(tuple(np.frombuffer(r[c], t) for c, t in (("at", np.uint16), ("h", np.int64), ("df", np.uint32))))
+        at, h, df = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.uint16, np.int64, np.uint32))
+        order = np.lexsort((h, df, at))
+        h, df = h[order], df[order].astype(np.int64)
+        cuts = np.searchsorted(at[order], np.arange(len(info) + 1)).tolist()
+        matches, alive, firsts, prefixes = [], [], [], []
+        for n, x, y in zip(info["n"].tolist(), cuts, cuts[1:]):
+            alone, m, prefix = n - (y - x), 1, h[:0]
+            lives = n > 0 and y - x >= needed(n, percent)
+            if lives:
+                base = n - needed(n, percent) + 1
+                m = choose_matches(np.concatenate([np.ones(alone, np.int64), df[x:y]]), base)
+                prefix = h[x:x + base + m - 1 - alone]
+            matches.append(m)
+            alive.append(lives)
+            firsts.append(alone)
+            prefixes.append(prefix)
+        return pa.Table.from_batches([record_batch(SETS, {
+            "k": [v.tobytes() for v in info["k"]], "n": info["n"], "m": matches,
+            "mark": [v.tobytes() if n else None for n, v in zip(info["n"].tolist(), info["mark"])],
+            "alive": alive, "first": firsts, "prefix": pa.array(prefixes, pa.list_(pa.int64()))})])
+    return run
+
+
+def prefix_sets(texts: DataFrame, total: int, words: int, percent: int) -> DataFrame:
+    """``k, n, m, mark, alive, first, prefix`` of every row of ``texts`` (``k, text``,
+    about ``total`` bytes of text)."""
+    ranges = max(8, -(-total // RANGE_BYTES))
+    dealt = texts.select("k", "text").mapInArrow(_deal(words, ranges), _DEALT)
+    counted = dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_count_ranges, _DEALT)
+    return counted.groupBy("block").applyInArrow(_prefixes(percent), _SETS)
+
+
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """:func:`_measured` of all pairs, written in ``PASSES`` passes by the hash of
     ``b``: a pass shuffles only the sets that its pairs name, and its shuffles are
@@ -241,24 +319,31 @@ def identified(docs: DataFrame) -> DataFrame:
                        F.unhex(F.md5(text.cast("binary"))).alias("k"))
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, d, k, n_shingles, component_id`` per row of ``docs``, and the
     key ``(keep_d, keep_k)`` of the document that stands for its component (of
     smallest id; its own key where the set is empty)."""
     spark = docs.sparkSession
     source = identified(docs)
-    known = spark.sparkContext.broadcast(_frequent(source, words, frequent))
-    sets = materialize(source.select("doc_id", "k", "text").mapInArrow(_prefixes(known, words, percent), _SETS), "sets")
-    sets = sets.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
-
+    rows = materialize(source.select("doc_id", "d", "k", F.octet_length("text").alias("bytes")), "document-keys")
+    # equal texts: one stands for all
+    same = materialize(rows.groupBy("k").agg(F.min("doc_id").alias("least"), F.max("d").alias("top"), F.min("d").alias("low"),
+                                             F.min(F.struct(F.col("doc_id").isNull().alias("o"), "d", "k")).alias("lead")),
+                       "equal-texts")
+    # written before the join with the texts, so that its size is known there: a small
+    # list goes to the texts, and they stay unshuffled
+    copies = materialize(rows.join(same.where("low < top").select("k", F.col("lead.d").alias("first")), "k").where("d != first")
+                         .select("d", "k").distinct(), "copies")
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    sets = materialize(prefix_sets(source.join(copies, ["d", "k"], "left_anti"), total, words, percent), "sets")
+    kinds = materialize(sets.select("k", "n", "mark", "alive").dropDuplicates(["k"])
+                        .join(same.select("k", "least", "lead"), "k"), "kinds")
     # equal sets: one stands for all
-    whole = sets.where(F.col("mark").isNotNull())
-    equal = materialize(whole.groupBy("mark").agg(F.min("doc_id").alias("least"),
-                                                  F.min(F.struct(F.col("doc_id").isNull().alias("o"), "d", "k")).alias("lead")),
+    equal = materialize(kinds.where("alive").groupBy("mark").agg(F.min("least").alias("least"), F.min("lead").alias("lead")),
                         "equal-sets")
-    reps = whole.join(equal.select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")), ["mark", "d", "k"],
-                      "left_semi").select("mark", "n", "m", "prefix").dropDuplicates(["mark"])
-    posts = materialize(reps.select(F.col("mark").alias("r"), "n", "m", F.posexplode("prefix").alias("at", "h")), "postings")
+    reps = sets.where("alive").select("mark", "n", "m", "first", "prefix").dropDuplicates(["mark"])
+    posts = materialize(reps.select(F.col("mark").alias("r"), "n", "m", "first", F.posexplode("prefix").alias("at", "h"))
+                        .withColumn("at", F.col("at") + F.col("first")).drop("first"), "postings")
     several = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
     # only shingles of several documents. What precedes a posting in its prefix
     # and is in no other prefix is in no partner either, since a partner with
@@ -283,8 +368,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     stars = (shared.join(heads, "h").where((F.col("r") != F.col("a")) & fits("n", "na", "cap", "cap_a"))
              .groupBy("a", F.col("r").alias("b")).agg(F.min(F.least("m", "ma")).alias("m")).select("a", "b"))
     stars = materialize(stars, "star-pairs")
-    wanted = (equal.join(shared.select(F.col("r").alias("mark")).distinct(), "mark", "left_semi")
-              .select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")))
+    wanted = materialize(equal.join(shared.select(F.col("r").alias("mark")).distinct(), "mark", "left_semi")
+                         .select("mark", F.col("lead.d").alias("d"), F.col("lead.k").alias("k")), "wanted")
     # repeated rows go while they lie together by (d, k), before the larger sets are made
     texts = source.select("d", "k", "text").join(wanted, ["d", "k"]).dropDuplicates(["d", "k"]).select("mark", "text")
     held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary"), "shingles")
@@ -351,13 +436,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = FRE
     more = materialize(measured(pairs, held, percent).where("linked").select("a", "b"), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else parts
 
-    names = equal.join(final, F.col("mark") == F.col("v"), "left").select("mark", F.coalesce("c", "mark").alias("c"),
-                                                                            "least", "lead")
+    names = (kinds.join(final, F.col("mark") == F.col("v"), "left")
+             .select("k", "n", "least", "lead", F.coalesce("c", F.when(F.col("alive"), F.col("mark")), "k").alias("c")))
     ids = names.groupBy("c").agg(F.min("least").alias("component_id"), F.min("lead").alias("lead"))
-    named = names.select("mark", "c").join(ids, "c").select("mark", "component_id", "lead")
-    empty = F.col("mark").isNull()
-    return (sets.select("doc_id", "d", "k", F.col("n").alias("n_shingles"), "mark").join(named, "mark", "left")
-            .select("doc_id", "d", "k", "n_shingles",
+    named = names.select("k", "n", "c").join(ids, "c").select("k", "n", "component_id", "lead")
+    empty = F.col("n") == 0
+    return (rows.select("doc_id", "d", "k").join(named, "k")
+            .select("doc_id", "d", "k", F.col("n").alias("n_shingles"),
                     F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.when(empty, F.col("d")).otherwise(F.col("lead.d")).alias("keep_d"),
                     F.when(empty, F.col("k")).otherwise(F.col("lead.k")).alias("keep_k")))

@@ -291,6 +291,21 @@ def test_jaccard_equals_brute_force(spark, n, percent, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, n, percent)
 
 
+def test_jaccard_postings_are_of_shared_shingles_only(spark):
+    """A passage that every text holds makes no postings where the rest of a text is
+    its own; near copies keep the rarest shingles that they share."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"u{i}x{j}" for j in range(60)) for i in range(30)]
+    texts += [texts[0] + " end", ""]
+    docs = spark.createDataFrame([(bytes([i]) * 16, t) for i, t in enumerate(texts)], "k binary, text string")
+    got = {r.k[0]: r for r in jaccard.prefix_sets(docs, 10_000, 4, 85).collect()}
+    assert len(got) == len(texts) and {i for i, r in got.items() if r.alive} == {0, 30}
+    assert all(r.n == (97 if i < 30 else 98 if i == 30 else 0) for i, r in got.items())
+    own = {i: {s.tobytes() for s in jaccard.shingle_sets([t], 4)[0].view(np.int64)} for i, t in enumerate(texts[:2])}
+    assert [len(r.prefix) for r in (got[0], got[1])] == [97 - 83 + got[0].m, 0] and (got[0].first, got[30].first) == (0, 1)
+    assert not {np.int64(h).tobytes() for h in got[0].prefix} & own[1]
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = jaccard.near_duplicates(edge, 4, 85).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(ROWS, 4, 85)
