@@ -177,6 +177,23 @@ def test_lm_counts_beyond_two_bytes():
     assert want.max() > 1 << 16 and (got == want).all()
 
 
+def test_lm_looks_up_equal_contexts_once(monkeypatch):
+    """Every byte counts, but those in equal contexts are worked on together."""
+    texts = [b"the same words again and again " * 40] * 50 + [b"other words"]
+    data, starts = lm_score.joined(texts)
+    held = lm_score.windows(data, starts, 0, int(starts[-1]))
+    one, many, order = lm_score.distinct(held)
+    assert Counter(held.tolist()) == dict(zip(one.tolist(), many.tolist())) and (held[order] == np.repeat(one, many)).all()
+    looked, rows_of = [], lm_score.rows_of
+    monkeypatch.setattr(lm_score, "rows_of", lambda h: looked.append(len(h)) or rows_of(h))
+    table = np.random.default_rng(3).integers(-200, 200, (lm_score.ROWS, 16)).astype(np.int16)
+    lm_score.text_scores(table, texts)
+    gates = lm_score.Gates()
+    gates.learn(lm_score.codes(table, np.zeros_like(table, np.uint8)), texts)
+    lm_score.FoldCounts().add(texts)
+    assert 0 < sum(looked) <= 3 * len(one) < len(held) / 100
+
+
 def test_lm_scores_do_not_depend_on_their_neighbours():
     rng = np.random.default_rng(2)
     table = rng.integers(-200, 200, (lm_score.ROWS, 16)).astype(np.int16)
@@ -306,6 +323,36 @@ def test_jaccard_postings_are_of_shared_shingles_only(spark):
     assert not {np.int64(h).tobytes() for h in got[0].prefix} & own[1]
 
 
+def test_jaccard_postings_face_bands_of_sizes(spark, monkeypatch):
+    """However many sizes hold a passage, a posting faces a fixed number of their bands."""
+    made, write = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: made.setdefault(name, write(df, name)) if name.endswith("postings") else write(df, name))
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(24)]
+    rows = []
+    for i in range(160):
+        words = " ".join(pool[j] for j in rng.permutation(24)[:int(rng.integers(8, 20))]).split()
+        rows.append((i, " ".join(words[:len(words) - int(rng.integers(0, 12))])))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows, 2, 80)
+    opened, shared = made["open-postings"].count(), made["shared-postings"].count()
+    assert shared < opened < (2 * jaccard.BANDS + 3) * shared
+
+
+def test_jaccard_picks_the_wanted_texts(spark):
+    docs = spark.range(20_000).selectExpr("id AS d", "unhex(md5(cast(cast(id % 9000 AS string) AS binary))) AS k", "concat('text ', id) AS text")
+    wanted = docs.where("d % 100 = 7").select("d", "k")
+    got = {r.d: r.text for r in jaccard.among(docs, wanted).collect()}
+    assert {d for d in range(20_000) if d % 100 == 7} <= set(got) and len(got) < 300
+    assert all(t == f"text {d}" for d, t in got.items())
+    assert jaccard.among(docs, wanted.limit(0)).count() == 0
+
+
+def test_jaccard_blocks_hold_equal_texts_once(spark):
+    docs = spark.createDataFrame([(bytes([i % 3]) * 16, f"a b c d e {i % 3}") for i in range(30)], "k binary, text string")
+    assert jaccard.prefix_sets(docs.coalesce(1), 10_000, 4, 85).count() == 3
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = jaccard.near_duplicates(edge, 4, 85).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(ROWS, 4, 85)
