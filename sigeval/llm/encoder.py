@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from .common import REMEMBERED
+
 MEMO_UNITS = 1_200_000      # units a worker remembers before it starts afresh
 
 NEW_BYTES = 1 << 16         # text handed to the library at once
@@ -175,6 +177,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+REMEMBERED.append(_ENCODERS.clear)
 
 
 def encoder(path: str, end_id: int | None = None) -> Encoder:
