@@ -31,8 +31,10 @@ Steps:
    overlap and by the documents' ``m``, and verified. Postings whose size no band of
    partners' sizes can match are dropped before pairs are formed, and so are those that the
    leader rules out: documents that fall short of the leader must share what the
-   leader lacks (see ``_beside_leaders``). No link between components is lost,
-   and none is formed inside one.
+   leader lacks (see ``_beside_leaders``). Most of such documents meet by what they
+   have in common beside the leader (``_met_beside``), the rest by the leader's
+   shingle (``_meeting``). No link between components is lost, and none is formed
+   inside one.
 5. The links of 3 and 4 are connected again.
 
 Verification intersects whole sets exactly (shingles are 64-bit hashes); only
@@ -314,6 +316,67 @@ def _beside_leaders(compared: DataFrame, percent: int) -> DataFrame:
                     F.when(F.col("near"), F.coalesce("s", F.lit(0))).otherwise(F.col("n") - F.col("o")).alias("s")))
 
 
+def _across(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The pairs of rows of ``left`` (component ``ca``) and ``right`` (``cb``) with equal
+    keys and ``ca < cb``. Components are paired before their members, so that none is
+    paired with itself."""
+    both = left.select(*keys, "ca").distinct().join(right.select(*keys, "cb").distinct(), keys).where("ca < cb")
+    return both.join(left, [*keys, "ca"]).join(right, [*keys, "cb"])
+
+
+def _meeting(placed: DataFrame, percent: int) -> DataFrame:
+    """The postings whose documents must be paired by their common shingle.
+
+    With q = percent / (100 + percent), a pair needs q * (n_x + n_y), of which the leader
+    holds min(o_x, o_y) at most. What else it needs both have beside the leader:
+    :func:`_met_beside` finds those pairs, whose common shingles beside it are few, where
+    the leader's are in all its copies. Left are the pairs of two kinds:
+
+    0. the leader may hold all they need. A document's partner then has at most o / q - n
+       shingles, and one of two documents of different components is none of the leader's.
+    1. one shares so little with the leader that its ``rest`` is not kept (o < q * n), and
+       neither is near the leader (see ``_beside_leaders``)."""
+    placed = (placed.withColumn("reach", F.floor(F.col("o") * (100 + percent) / percent) - F.col("n"))
+              .withColumn("bare", (100 + percent) * F.col("o") < percent * F.col("n")))
+    facing = (placed.groupBy("h", F.col("band2").alias("band"), F.col("band").alias("band2"))
+              .agg(F.max("reach").alias("most"), F.max(F.when(F.col("c") != F.col("lead"), F.col("reach"))).alias("outside"),
+                   F.max("bare").alias("bare2")))
+    inside = ((F.col("n") <= F.when(F.col("c") == F.col("lead"), F.col("outside")).otherwise(F.col("most")))
+              & (F.col("reach") >= F.col("small2")))
+    away = ((100 + percent) * (F.col("n") - F.col("o")) >= percent * F.col("n")) & (F.col("bare") | F.col("bare2"))
+    kinds = F.filter(F.array(F.when(inside, 0), F.when(away, 1)), lambda kind: kind.isNotNull())
+    return placed.join(facing, ["h", "band", "band2"]).withColumn("kind", F.explode(kinds))
+
+
+def _met_beside(placed: DataFrame, overlaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``ra, rb`` of documents of one leader and different components that need
+    more than the leader can hold of their overlap and may have as much in common beside it.
+
+    Only shingles beside the leader that different components have can be common to such a
+    pair. A document needs at least ``need`` of its ``size`` ones, so those but the
+    ``need - 1`` of most documents find its partners."""
+    least = F.greatest(F.col("small2"), F.ceil(F.col("n") * percent / 100))
+    open_ones = (placed.where("a != r").groupBy("a", "r", "n", "c", "o").agg(F.min(least).alias("least"))
+                 .withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("least")) * percent / (100 + percent)) - F.col("o"))))
+    beside = (overlaps.where("rest is not null").select("a", F.col("b").alias("r"), F.explode("rest").alias("z"))
+              .join(open_ones, ["a", "r"]))
+    split = (beside.groupBy("a", "z").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("low"), F.max("c").alias("high"))
+             .where("low < high").select("a", "z", "df"))
+    own = Window.partitionBy("a", "r")
+    beside = materialize(beside.join(split, ["a", "z"])
+                         .withColumn("at", F.row_number().over(own.orderBy("df", "z")) - 1)
+                         .withColumn("size", F.count(F.lit(1)).over(own)).where("at <= size - need")
+                         .select("a", "z", "c", "n", "o", "r", "at", "size"), "split-beside")
+    side = lambda x: beside.select("a", "z", *(F.col(c).alias(c + x) for c in ("c", "n", "o", "r", "at", "size")))
+    need = percent * (F.col("na") + F.col("nb"))
+    after = F.least(F.max("sizea") - F.max("ata"), F.max("sizeb") - F.max("atb")) - 1
+    return (_across(side("a"), side("b"), ["a", "z"])
+            .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("oa", "ob") < need))
+            .groupBy("a", "ra", "rb", "na", "nb", F.least("oa", "ob").alias("o"))
+            .agg(F.count(F.lit(1)).alias("k"), after.alias("after"))
+            .where((100 + percent) * (F.col("o") + F.col("k") + F.col("after")) >= need).select("ra", "rb"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(v, c)``: the smallest mark that each mark of ``links`` reaches."""
     edges = materialize(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
@@ -466,8 +529,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     asked = placed.where("a != r").select("a", F.col("r").alias("b")).distinct()
     unmet = materialize(asked.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "unmet-pairs")
     rest = measured(unmet, held, percent)
-    beside = materialize(_beside_leaders(
-        materialize(compared.join(asked, ["a", "b"], "left_semi").unionByName(rest), "overlaps"), percent), "beside-leaders")
+    overlaps = materialize(compared.join(asked, ["a", "b"], "left_semi").unionByName(rest), "overlaps")
+    beside = materialize(_beside_leaders(overlaps, percent), "beside-leaders")
     placed = (placed.join(beside, ["a", "r"], "left")
               .withColumn("s", F.when(F.col("a") == F.col("r"), 0).otherwise(F.col("s")))
               .withColumn("o", F.when(F.col("a") == F.col("r"), F.col("n")).otherwise(F.col("o"))))
@@ -477,27 +540,28 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = materialize(placed.join(far, ["h", "band", "band2"])
                          .withColumn("cap", F.least("cap", F.least("o", "far") + F.col("s")))
                          .where((100 + percent) * F.col("cap") >= percent * (F.col("n") + least))
-                         .select("h", "n", "band", "band2", "r", "m", "cap", "at", "c", "o", "s"), "facing-postings")
-    groups = placed.select("h", "band", "band2", "c").distinct()
-    across = (groups.select("h", F.col("band").alias("pa"), F.col("band2").alias("pb"), F.col("c").alias("ca"))
-              .join(groups.select("h", F.col("band2").alias("pa"), F.col("band").alias("pb"), F.col("c").alias("cb")), ["h", "pa", "pb"])
-              .where("ca < cb"))
-    left = placed.select("h", F.col("band").alias("pa"), F.col("band2").alias("pb"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("r").alias("ra"),
-                         F.col("m").alias("ma"), F.col("cap").alias("cap_a"), F.col("at").alias("at_a"), F.col("o").alias("oa"),
-                         F.col("s").alias("sa"))
-    right = placed.select("h", F.col("band2").alias("pa"), F.col("band").alias("pb"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("r").alias("rb"),
-                          F.col("m").alias("mb"), F.col("cap").alias("cap_b"), F.col("at").alias("at_b"), F.col("o").alias("ob"),
-                          F.col("s").alias("sb"))
+                         .select("h", "n", "band", "band2", "small2", "r", "m", "cap", "at", "c", "a", "lead", "o", "s"),
+                         "facing-postings")
+    met = _meeting(placed, percent)
+    side = lambda x, band, band2: met.select(
+        "h", "kind", F.col(band).alias("pa"), F.col(band2).alias("pb"), F.col("c").alias("c" + x), F.col("n").alias("n" + x),
+        F.col("r").alias("r" + x), F.col("m").alias("m" + x), F.col("cap").alias("cap_" + x), F.col("at").alias("at_" + x),
+        F.col("o").alias("o" + x), F.col("s").alias("s" + x))
+    held_by_leader = (100 + percent) * F.least("oa", "ob") >= percent * (F.col("na") + F.col("nb"))
+    uncounted = (((100 + percent) * F.col("oa") < percent * F.col("na"))
+                 | ((100 + percent) * F.col("ob") < percent * F.col("nb")))
     # the overlap is at most what the prefixes share and what follows the last of it
     after = F.least(F.max(F.col("na")) - F.max("at_a"), F.max(F.col("nb")) - F.max("at_b")) - 1
-    pairs = (across.join(left, ["h", "pa", "pb", "ca"]).join(right, ["h", "pa", "pb", "cb"])
-             .where(fits("na", "nb", "cap_a", "cap_b")
+    pairs = (_across(side("a", "band", "band2"), side("b", "band2", "band"), ["h", "pa", "pb", "kind"])
+             .where(fits("na", "nb", "cap_a", "cap_b") & F.when(F.col("kind") == 0, held_by_leader).otherwise(~held_by_leader & uncounted)
                     & ((100 + percent) * (F.least("oa", "ob") + F.least("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))))
              .groupBy("ra", "rb")
              .agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ma", "mb")).alias("m"), after.alias("after"),
                   F.max(F.col("na") + F.col("nb")).alias("both"))
              .where((F.col("k") >= F.col("m")) & ((100 + percent) * (F.col("k") + F.col("after")) >= percent * F.col("both")))
-             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
+             .select("ra", "rb"))
+    pairs = (pairs.unionAll(_met_beside(placed, overlaps, percent))
+             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = materialize(measured(pairs, held, percent).where("linked").select("a", "b"), "cross-links")

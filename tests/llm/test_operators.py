@@ -339,6 +339,37 @@ def test_jaccard_postings_face_bands_of_sizes(spark, monkeypatch):
     assert shared < opened < (2 * jaccard.BANDS + 3) * shared
 
 
+def test_jaccard_pairs_copies_beside_their_leader(spark, monkeypatch):
+    """Copies of one text, of which many fall short of it, meet by what they share
+    beside it, not by what all of them have."""
+    joined, across = {}, jaccard._across
+
+    def counted(left, right, keys):
+        out = across(left, right, keys)
+        joined[keys[0]] = out.count()
+        return out
+    monkeypatch.setattr(jaccard, "_across", counted)
+    rng = np.random.default_rng(1)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(25, int(rng.choice([1, 2, 4, 5])), replace=False).tolist():
+            words[4 * at] = f"x{at}y{int(rng.integers(0, 2))}"
+        rows.append((i, " ".join(words)))
+    # shorter than what leads them, and parts that stand in texts that share little else
+    rows += [(200 + i, " ".join(base[i:i + int(rng.integers(72, 90))])) for i in range(10)]
+    pool = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(12)] + [" ".join(base[40:60])]
+    rows += [(300 + i, " ".join(pool[j] for j in rng.permutation(13)[:int(rng.integers(4, 9))])) for i in range(60)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    want = components(rows, 5, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    # the pairs that one shingle of all the copies would make
+    copies = Counter(c for i, _, c in want if i < 150)
+    apart = (150 ** 2 - sum(n * n for n in copies.values())) // 2
+    assert joined["h"] < apart and joined["a"] < 4 * apart
+
+
 def test_jaccard_picks_the_wanted_texts(spark):
     docs = spark.range(20_000).selectExpr("id AS d", "unhex(md5(cast(cast(id % 9000 AS string) AS binary))) AS k", "concat('text ', id) AS text")
     wanted = docs.where("d % 100 = 7").select("d", "k")
