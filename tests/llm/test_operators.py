@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,17 @@ def test_lm_looks_up_equal_contexts_once(monkeypatch):
     assert 0 < sum(looked) <= 3 * len(one) < len(held) / 100
 
 
+def test_lm_words_are_split_at_ascii_white_space_only():
+    rng = np.random.default_rng(4)
+    texts = ["", " ", "a B\tb a", *("".join(rng.choice(list(" \t\n\x0b\x0c\r\x00\x1c\x85\u00a0aB\u0130\u212a\u2028"), 9)) for _ in range(500))]
+    column = pa.array(["cut off", *texts, None]).slice(1, len(texts))
+    which, ones, starts = lm_score.words_of(column)
+    want = [t.encode().lower().split() for t in texts]
+    assert [[ones[i] for i in which[x:y]] for x, y in zip(starts, starts[1:])] == want
+    assert ones == list(dict.fromkeys(w for ws in want for w in ws))
+    assert [len(x) for x in lm_score.words_of(column.slice(0, 0))] == [0, 0, 1]
+
+
 def test_lm_scores_do_not_depend_on_their_neighbours():
     rng = np.random.default_rng(2)
     table = rng.integers(-200, 200, (lm_score.ROWS, 16)).astype(np.int16)
