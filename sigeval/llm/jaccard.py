@@ -72,7 +72,8 @@ RANGE_BYTES = 4 << 20     # text per range of hashes
 MOST_MATCHES = 4
 MOST_BITS = 1 << 26       # of the filter that picks texts
 BANDS = 3                 # of sizes, over which sizes grow from one to the largest it links with
-PASSES = 4                # over the sets when pairs are verified
+PASSES = 4                # over the sets when pairs are verified, at most
+PASS_BYTES = 96 << 20        # text whose sets one pass may shuffle
 SCAN_COST, VERIFY_COST = 1.0, 20.0      # of one posting; of one candidate
 
 
@@ -253,13 +254,15 @@ def prefix_sets(texts: DataFrame, total: int, words: int, percent: int) -> DataF
     return counted.groupBy("block").applyInArrow(_prefixes(percent), _SETS)
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """:func:`_measured` of all pairs, written in ``PASSES`` passes by the hash of
+def measured(pairs: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
+    """:func:`_measured` of all pairs, written in passes by the hash of
     ``b``: a pass shuffles only the sets that its pairs name, and its shuffles are
-    freed before the next one, so the disk holds a fraction of the sets twice."""
-    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES))
+    freed before the next one, so the disk holds a fraction of the sets twice. The sets
+    of few texts (``total`` bytes) take fewer passes, as each has its own jobs."""
+    passes = min(PASSES, 1 + total // PASS_BYTES)
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(passes))
     parts = []
-    for i in range(PASSES):
+    for i in range(passes):
         few = pairs.where(turn("b") == i).select("a", "b")
         leaders = materialize(few.select(F.col("a").alias("mark")).distinct(), "leaders")
         parts.append(materialize(_measured(few, sets.where(turn("mark") == i), sets.join(leaders, "mark", "left_semi"),
@@ -423,7 +426,7 @@ def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     filled = (wanted.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 15).alias("piece"))
               .agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("held")))
     bitmap = np.zeros(bits >> 3, np.uint8)
-    for r in filled.toLocalIterator():
+    for r in filled.collect():      # of bounded size; one job, not one per partition
         bitmap[r["piece"] << 12:(r["piece"] + 1) << 12] = np.frombuffer(r["held"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -492,7 +495,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
              .dropDuplicates(["d", "k"]).select("mark", "text"))
     with small_batches(spark):
         held = materialize(texts.mapInArrow(_shingle_bytes(words), "mark binary, shingles binary"), "shingles")
-    compared = measured(stars, held, percent)
+    compared = measured(stars, held, total, percent)
     links = compared.where("linked").select("a", "b")
 
     # postings whose documents are not all connected yet
@@ -528,7 +531,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # in common with the leader
     asked = placed.where("a != r").select("a", F.col("r").alias("b")).distinct()
     unmet = materialize(asked.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "unmet-pairs")
-    rest = measured(unmet, held, percent)
+    rest = measured(unmet, held, total, percent)
     overlaps = materialize(compared.join(asked, ["a", "b"], "left_semi").unionByName(rest), "overlaps")
     beside = materialize(_beside_leaders(overlaps, percent), "beside-leaders")
     placed = (placed.join(beside, ["a", "r"], "left")
@@ -564,7 +567,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
              .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(measured(pairs, held, percent).where("linked").select("a", "b"), "cross-links")
+    more = materialize(measured(pairs, held, total, percent).where("linked").select("a", "b"), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else parts
 
     names = (kinds.join(final, F.col("mark") == F.col("v"), "left")

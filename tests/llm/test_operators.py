@@ -391,6 +391,37 @@ def test_jaccard_picks_the_wanted_texts(spark):
     assert jaccard.among(docs, wanted.limit(0)).count() == 0
 
 
+def test_jaccard_small_inputs_take_few_jobs(spark, monkeypatch):
+    """The sets of few texts are verified in one pass, those of many in several, with the
+    same rows; the filter of wanted texts isn't read by a job per partition."""
+    made, write = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: made.append(name) or write(df, name))
+    rows = near_copies(4, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = lambda: Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, 4, 85).collect())
+    want = components(rows, 4, 85)
+    assert counted() == want and made.count("measured") == 3
+    made.clear()
+    monkeypatch.setattr(jaccard, "PASS_BYTES", 1)
+    assert counted() == want and made.count("measured") == 3 * jaccard.PASSES
+
+    texts = spark.range(3000).selectExpr("id AS d", "unhex(md5(cast(cast(id AS string) AS binary))) AS k", "'text' AS text")
+    wanted = texts.select("d", "k").cache()
+    name, held = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup("among", "among")
+    try:
+        jaccard.among(texts, wanted)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("among"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        wanted.unpersist()
+    assert 0 < jobs < 10
+
+
 def test_jaccard_blocks_hold_equal_texts_once(spark):
     docs = spark.createDataFrame([(bytes([i % 3]) * 16, f"a b c d e {i % 3}") for i in range(30)], "k binary, text string")
     assert jaccard.prefix_sets(docs.coalesce(1), 10_000, 4, 85).count() == 3
