@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -206,6 +207,25 @@ def test_lm_words_are_split_at_ascii_white_space_only():
     assert [len(x) for x in lm_score.words_of(column.slice(0, 0))] == [0, 0, 1]
 
 
+def test_lm_windows_are_put_together_in_little_memory():
+    """What a chunk of windows takes beside the result stays in a core's cache, and
+    windows and their distinct ones are as if worked out one by one."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 100, int(n), np.uint8).tobytes() for n in (*rng.integers(0, 4000, 150), 300_000, 0, 1, 2)]
+    data, starts = lm_score.joined(texts)
+    tracemalloc.start()
+    held = lm_score.windows(data, starts, 5, int(starts[-1]))
+    extra = tracemalloc.get_traced_memory()[1] - held.nbytes
+    tracemalloc.stop()
+    assert extra < 3 << 20
+    want = [int.from_bytes((bytes(lm_score.WIDTH) + t + b"\xff")[i:i + lm_score.WIDTH + 1], "big") for t in texts for i in range(len(t) + 1)]
+    assert held.tolist() == want[5:]
+    one, many, order = lm_score.distinct(held)
+    assert sorted(order.tolist()) == list(range(len(held))) and len(held) > 4 * lm_score.HASHED
+    assert np.array_equal(np.repeat(one, many), held[order])
+    assert len(one) < 1.01 * len(np.unique(held))
+
+
 def test_lm_scores_do_not_depend_on_their_neighbours():
     rng = np.random.default_rng(2)
     table = rng.integers(-200, 200, (lm_score.ROWS, 16)).astype(np.int16)
